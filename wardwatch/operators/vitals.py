@@ -412,7 +412,7 @@ def record_stats(
     return marked.groupBy(*KEYS).agg(
         exact_round(F.min(x), 1).alias("min"),
         exact_round(F.max(x), 1).alias("max"),
-        exact_round(F.avg(x), 1).alias("mean"),
+        exact_round(F.round(F.avg(x), 9), 1).alias("mean"),
         exact_round(total / dbl(fs), 1).alias("duration_s"),
         F.when(total >= n, F.floor((total - n) / F.lit(step)).cast("long") + 1).otherwise(F.lit(0).cast("long")).alias("n_windows"),
         count_where(F.col("invalid")).alias("n_invalid"),

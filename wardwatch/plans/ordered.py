@@ -73,9 +73,8 @@ def carried(
     column, ``<name>_before``: its value on the row before.
     """
     sums, last, following = dict(sums or {}), dict(last or {}), dict(following or {})
-    rows = df.withColumn(CHUNK, chunk if chunk is not None else chunk_of(pos, length))
-    for name, expr in {**sums, **last, **following}.items():
-        rows = rows.withColumn(f"_v_{name}", expr)
+    values = {f"_v_{name}": expr for name, expr in {**sums, **last, **following}.items()}
+    rows = df.withColumns({CHUNK: chunk if chunk is not None else chunk_of(pos, length), **values})
     order = [F.col(pos), *[F.col(c) for c in tiebreak]]
     rank = F.struct(*order) if tiebreak else F.col(pos)
 
