@@ -11,9 +11,10 @@ from wardwatch.functions.guards import dbl
 
 
 def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, low: float, high: float, bins: int = 4096
+    df: DataFrame, keys: Sequence[str], value: str, q: float, low: float, high: float, bins: int = 4096, nth: bool = False
 ) -> DataFrame:
-    """Linearly interpolated ``q`` quantile per key, for values in [low, high].
+    """Linearly interpolated ``q`` quantile per key, for values in [low, high]; with
+    ``nth`` the element ``int(q * n)`` of the sorted values instead.
 
     Values are counted in equal bins (combined map-side); the bins holding the two
     order statistics are found from the counts, and only their rows are ranked.
@@ -33,7 +34,7 @@ def exact_quantile(
         binned.groupBy(*keys, "_bin")
         .agg(F.sum("_n").alias("_m"))
         .withColumn("_cum", F.sum("_m").over(upto))
-        .withColumn("_rank", (F.sum("_m").over(whole) - 1) * dbl(q))
+        .withColumn("_rank", F.floor(F.sum("_m").over(whole) * dbl(q)).cast("double") if nth else (F.sum("_m").over(whole) - 1) * dbl(q))
         .withColumn("_base", F.col("_cum") - F.col("_m"))
         .filter((F.col("_cum") > F.floor("_rank")) & (F.col("_base") <= F.ceil("_rank")))
         .select(*keys, "_bin", "_base", "_rank")
