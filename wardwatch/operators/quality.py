@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardwatch.functions.guards import col, count_where, dbl, ratio
 
 
-def _metrics(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+def metrics_of_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     precision = ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     recall = ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     scored = counts.select(
@@ -27,7 +27,7 @@ def binary_metrics(
     counts = df.groupBy(*by).agg(
         count_where(t & p).alias("tp"), count_where(~t & p).alias("fp"), count_where(t & ~p).alias("fn")
     )
-    return _metrics(counts, by)
+    return metrics_of_counts(counts, by)
 
 
 def zero_filled(metrics: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def one_vs_rest(df: DataFrame, truth: str, predicted: str, classes: Sequence[str
         return F.coalesce(F.sum(F.when(cond, F.col("_n"))), F.lit(0))
 
     counts = joined.groupBy("class").agg(total(t & p).alias("tp"), total(~t & p).alias("fp"), total(t & ~p).alias("fn"))
-    return _metrics(counts, ["class"])
+    return metrics_of_counts(counts, ["class"])
 
 
 def prevalence(df: DataFrame, truth: str | Column, by: Sequence[str] = ()) -> DataFrame:
