@@ -8,7 +8,7 @@ chunk. A hot record is thus scored by as many tasks as it has chunks.
 
 from __future__ import annotations
 
-
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -56,10 +56,13 @@ def grow_and_score(pool: np.ndarray, rows: np.ndarray, seed: int, trees: int, su
     n_nodes = trees
     for level in range(depth + 1):
         size = np.bincount(node, minlength=n_nodes)
+        order = np.argsort(node, kind="stable")
+        filled = np.flatnonzero(size)
+        starts = np.concatenate([[0], np.cumsum(size[filled])[:-1]])
         low = np.full((n_nodes, x.shape[1]), np.inf)
         high = np.full((n_nodes, x.shape[1]), -np.inf)
-        np.minimum.at(low, node, x)
-        np.maximum.at(high, node, x)
+        low[filled] = np.minimum.reduceat(x[order], starts, axis=0)
+        high[filled] = np.maximum.reduceat(x[order], starts, axis=0)
         varies = high > low
         n_var = varies.sum(axis=1)
         splits = (size > 1) & (n_var > 0) if level < depth else np.zeros(n_nodes, dtype=bool)
@@ -97,44 +100,41 @@ def isolation_forest(
     ``1 - contamination`` quantile. Fewer than ten valid windows give NULL."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be in (0, 0.5]")
-    valid = features.filter("valid").select(*KEYS, "k", F.array(*FEATURES).alias("_f"))
-    counts = valid.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.max("k").alias("_last"))
-    enough = counts.filter(F.col("_n") >= MIN_WINDOWS)
+    counts = (
+        features.filter("valid").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.max("k").alias("_last"))
+    )
+    known = features.join(counts, list(KEYS), "left")
+    trained = F.col("valid") & (F.coalesce("_n", F.lit(0)) >= MIN_WINDOWS)
     share = F.pmod(F.xxhash64(*KEYS, "k", F.lit(seed)), F.lit(1 << 53)) / dbl(1 << 53)
     wanted = dbl(POOL + 6 * POOL**0.5)
-    drawn = valid.join(enough, list(KEYS)).select(
-        *KEYS,
-        "k",
-        "_f",
-        share.alias("_u"),
-        F.floor(F.col("k") / chunk).alias("_home"),
-        F.floor(F.col("_last") / chunk).alias("_max"),
-        "_n",
+    home, end = F.floor(F.col("k") / chunk).cast("long"), F.floor(F.col("_last") / chunk).cast("long")
+    drawn = known.filter(trained).select(
+        *features.columns, share.alias("_u"), (share * F.col("_n") < wanted).alias("_pool"), home.alias("_home"), end.alias("_max")
     )
-    drawn = drawn.withColumn("_pool", F.col("_u") * F.col("_n") < wanted)
-    placed = drawn.withColumn(
-        "_part", F.explode(F.when(F.col("_pool"), F.sequence(F.lit(0).cast("long"), F.col("_max"))).otherwise(F.array("_home")))
-    ).select(*KEYS, "_part", "k", "_f", "_u", "_pool", (F.col("_home") == F.col("_part")).alias("_own"))
+    names = features.columns
+    types = {f.name: f.dataType.simpleString() for f in features.schema}
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in names], "score double", "flag boolean"])
 
     def score_part(pdf: pd.DataFrame) -> pd.DataFrame:
         pool = pdf[pdf["_pool"]].sort_values(["_u", "k"]).head(POOL)
-        own = pdf[pdf["_own"]].sort_values("k")
+        own = pdf[pdf["_home"] == pdf["_part"]].sort_values("k")
         record = "|".join(str(pdf[c].iloc[0]) for c in KEYS)
-        mixed = int(pd.util.hash_array(np.array([f"{seed}|{record}"], dtype=object))[0])
-        out = own[[*KEYS, "k"]].copy()
-        rows = np.array(own["_f"].tolist(), dtype=float).reshape(len(own), len(FEATURES))
-        train = np.array(pool["_f"].tolist(), dtype=float)
-        blocks = [
-            grow_and_score(train, rows[i : i + 2048], mixed, trees, subsample) for i in range(0, len(rows), 2048)
-        ]
-        out["score"] = np.concatenate(blocks) if blocks else np.array([], dtype=float)
-        return out
-
-    types = dict(features.dtypes)
-    schema = ", ".join([*[f"{c} {types[c]}" for c in KEYS], "k long", "score double"])
-    scored = placed.groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
-    limit = exact_quantile(scored, KEYS, "score", 1.0 - contamination, 0.0, 1.0)
-    flagged = scored.join(limit, list(KEYS)).select(*KEYS, "k", "score", gt_num(F.col("score"), F.col("quantile")).alias("flag"))
-    return features.join(flagged, [*KEYS, "k"], "left")
-
-
+        mixed = int.from_bytes(hashlib.sha256(f"{seed}|{record}".encode()).digest()[:8], "little")
+        train, rows = pool[FEATURES].to_numpy(dtype=float), own[FEATURES].to_numpy(dtype=float)
+        blocks = [grow_and_score(train, rows[i : i + 2048], mixed, trees, subsample) for i in range(0, len(rows), 2048)]
+        score = np.concatenate(blocks) if blocks else np.array([], dtype=float)
+        limit = np.quantile(score, 1.0 - contamination) if len(score) else np.nan
+        return own[names].assign(score=score, flag=score > limit)
+
+    # a record of one part sees all its scores; only longer ones need the counted quantile
+    short = drawn.filter("_max = 0").withColumn("_part", F.lit(0).cast("long"))
+    short = short.groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
+    targets = F.when(F.col("_pool"), F.sequence(F.lit(0).cast("long"), F.col("_max"))).otherwise(F.array("_home"))
+    long = drawn.filter("_max > 0").withColumn("_part", F.explode(targets))
+    long = long.groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
+    limit = exact_quantile(long, KEYS, "score", 1.0 - contamination, 0.0, 1.0)
+    long = long.join(limit, list(KEYS)).select(*names, "score", gt_num(F.col("score"), F.col("quantile")).alias("flag"))
+    rest = known.filter(~trained).select(
+        *names, F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flag")
+    )
+    return short.unionByName(long).unionByName(rest)

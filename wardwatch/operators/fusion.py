@@ -130,6 +130,14 @@ def latest_per_modality(
     Events: ``patient_id, modality, t, severity, summary, evidence_id, seq``; ``seq``
     is arrival order, so of two events at the same time the later arrival wins.
     """
+    return chunked_grid(events, weights, step, chunk).drop(CHUNK)
+
+
+def chunked_grid(
+    events: DataFrame, weights: Mapping[str, float] = WEIGHTS, step: float = STEP_S, chunk: int = GRID_CHUNK
+) -> DataFrame:
+    """``latest_per_modality`` with the chunk of each grid point, by which the rows
+    already lie; later scans over the grid reuse that layout."""
     names = list(weights)
     event = F.struct("t", "seq", "severity", "summary", "evidence_id")
     marks = (
@@ -161,7 +169,7 @@ def latest_per_modality(
         filled.withColumn("_end", end)
         .withColumn("k", F.explode(F.sequence(F.col("k"), F.col("_end"))))
         .withColumn("t", F.col("k") * dbl(step))
-        .select("patient_id", "k", "t", *names)
+        .select("patient_id", CHUNK, "k", "t", *names)
     )
 
 
@@ -174,7 +182,7 @@ def risk_points(
 ) -> DataFrame:
     """Score, contributions, missing modalities and contributing events per grid point."""
     names = list(weights)
-    grid = latest_per_modality(events, weights, step, chunk)
+    grid = chunked_grid(events, weights, step, chunk)
     part = {
         m: dbl(weights[m]) * F.col(f"{m}.severity") * half_life_decay(F.col("t") - F.col(f"{m}.t"), half_life)
         for m in names
@@ -202,6 +210,7 @@ def risk_points(
     )
     return grid.select(
         "patient_id",
+        CHUNK,
         "k",
         "t",
         score.alias("score"),
@@ -238,6 +247,7 @@ def hysteresis_level(
         keys,
         pos,
         chunk,
+        chunk=F.col(CHUNK) if CHUNK in points.columns else None,
         last={
             "_reset": F.when(lo == hi, F.struct(at.alias("at"), lo.alias("to"))),
             "_raise": F.when((lo == 1) & (hi == 2), at),
@@ -254,7 +264,8 @@ def hysteresis_level(
         value = F.when((to == 0) & up, 1).when((to == 2) & down, 1).otherwise(to)
         return F.when(value == 2, LEVELS[2]).when(value == 1, LEVELS[1]).otherwise(LEVELS[0])
 
-    return out.select(*points.columns, level("").alias("level"), level("_before").alias("previous_level"))
+    kept = [c for c in points.columns if c != CHUNK]
+    return out.select(*kept, level("").alias("level"), level("_before").alias("previous_level"))
 
 
 def transitions(levelled: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ the rows of a key are cut into chunks of fixed position length, and
 
 * ``with_halo`` copies the few rows next to a cut into the neighbouring chunk,
   enough for every computation with bounded look-back or look-ahead;
-* ``carried`` computes unbounded scans (running sums, last / next known value)
+* ``carried`` computes unbounded scans (running sums, last known value)
   in two levels: one small row per chunk is scanned per key, and its result is
   joined to the chunk, whose rows are then scanned locally.
 
@@ -59,7 +59,6 @@ def carried(
     length: int = DEFAULT_CHUNK,
     sums: Mapping[str, Column] | None = None,
     last: Mapping[str, Column] | None = None,
-    following: Mapping[str, Column] | None = None,
     chunk: Column | None = None,
     keep_chunk: bool = False,
     tiebreak: Sequence[str] = (),
@@ -67,14 +66,15 @@ def carried(
 ) -> DataFrame:
     """Whole-key scans in ``pos`` order, inclusive of the current row.
 
-    ``sums``: running sum; ``last``: most recent non-NULL value; ``following``:
-    nearest non-NULL value at or after the row.  ``chunk`` overrides the cut (any
-    expression monotone in ``pos``). ``with_before`` also adds, for every ``last``
+    ``sums``: running sum; ``last``: most recent non-NULL value. ``chunk`` overrides the cut (any
+    expression monotone in ``pos``; a ``_chunk`` column already there is kept as it is,
+    and with it the layout of the rows). ``with_before`` also adds, for every ``last``
     column, ``<name>_before``: its value on the row before.
     """
-    sums, last, following = dict(sums or {}), dict(last or {}), dict(following or {})
-    values = {f"_v_{name}": expr for name, expr in {**sums, **last, **following}.items()}
-    rows = df.withColumns({CHUNK: chunk if chunk is not None else chunk_of(pos, length), **values})
+    sums, last = dict(sums or {}), dict(last or {})
+    values = {f"_v_{name}": expr for name, expr in {**sums, **last}.items()}
+    laid_out = CHUNK in df.columns and chunk is not None
+    rows = df.withColumns(values if laid_out else {CHUNK: chunk if chunk is not None else chunk_of(pos, length), **values})
     order = [F.col(pos), *[F.col(c) for c in tiebreak]]
     rank = F.struct(*order) if tiebreak else F.col(pos)
 
@@ -83,10 +83,8 @@ def carried(
 
     partials = [F.sum(f"_v_{n}").alias(f"_c_{n}") for n in sums]
     partials += [F.max_by(f"_v_{n}", known(n)).alias(f"_c_{n}") for n in last]
-    partials += [F.min_by(f"_v_{n}", known(n)).alias(f"_c_{n}") for n in following]
     by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
     before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    beyond = by_chunk.rowsBetween(1, Window.unboundedFollowing)
     carry = (
         rows.groupBy(*keys, CHUNK)
         .agg(*partials)
@@ -95,28 +93,24 @@ def carried(
             CHUNK,
             *[F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums],
             *[F.last(f"_c_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in last],
-            *[F.first(f"_c_{n}", ignorenulls=True).over(beyond).alias(f"_c_{n}") for n in following],
         )
     )
     inside = chunk_window(keys, *order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    onward = inside.rowsBetween(0, Window.unboundedFollowing)
     joined = rows.join(carry, [*keys, CHUNK], "inner")
     scanned = [(F.col(f"_c_{n}") + F.coalesce(F.sum(f"_v_{n}").over(upto), F.lit(0))).alias(n) for n in sums]
     scanned += [
         F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(upto), F.col(f"_c_{n}")).alias(n) for n in last
     ]
-    scanned += [
-        F.coalesce(F.first(f"_v_{n}", ignorenulls=True).over(onward), F.col(f"_c_{n}")).alias(n) for n in following
-    ]
     if with_before:
         earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
         scanned += [
             F.coalesce(F.last(f"_v_{n}", ignorenulls=True).over(earlier), F.col(f"_c_{n}")).alias(f"{n}_before")
             for n in last
         ]
-    fresh = {*sums, *last, *following}
-    out = joined.select(*[c for c in df.columns if c not in fresh], *([CHUNK] if keep_chunk else []), *scanned)
+    fresh = {*sums, *last}
+    kept = [c for c in df.columns if c not in fresh and c != CHUNK]
+    out = joined.select(*kept, *([CHUNK] if keep_chunk else []), *scanned)
     return out
 
 
