@@ -12,7 +12,7 @@ from wardwatch.functions.guards import dbl
 from wardwatch.functions.tables import literal_table
 from wardwatch.functions.text import exact_round
 from wardwatch.operators.quality import metrics_of_counts
-from wardwatch.session import ensure_checkpoint_dir
+from wardwatch.plans.materialise import written
 
 IOU_LIMIT = 0.5
 CELL = 64.0
@@ -72,23 +72,21 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     both leave the table. Every round settles at least the strongest detection left,
     in each image and class at once. The table is checkpointed between rounds.
     """
-    spark = pairs.sparkSession
-    ensure_checkpoint_dir(spark)
     group = ["image", "class"]
     order = F.struct(-F.col("confidence"), F.col("det"))
-    left = pairs.checkpoint()
+    left = written(pairs)
     done = None
     while True:
         best = left.groupBy(*group, "det").agg(
             F.min_by(F.struct("truth", "iou", "confidence"), F.struct(-F.col("iou"), F.col("truth"))).alias("_b")
         ).select(*group, "det", F.col("_b.truth").alias("truth"), F.col("_b.iou").alias("iou"), F.col("_b.confidence").alias("confidence"))
         first = left.groupBy(*group, "truth").agg(F.min_by("det", order).alias("det"))
-        settled = best.join(first, [*group, "truth", "det"]).checkpoint()
+        settled = written(best.join(first, [*group, "truth", "det"]))
         done = settled if done is None else done.unionByName(settled)
         rest = left.join(settled.select(*group, "det"), [*group, "det"], "left_anti").join(
             settled.select(*group, "truth"), [*group, "truth"], "left_anti"
         )
-        left = rest.checkpoint()
+        left = written(rest)
         if left.isEmpty():
             return done.select(*group, "det", "truth", "iou", "confidence")
 

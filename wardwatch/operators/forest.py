@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wardwatch.functions.guards import dbl, gt_num
 from wardwatch.operators.vitals import FEATURES, KEYS
+from wardwatch.plans.materialise import written
 from wardwatch.plans.quantiles import exact_quantile
 
 MIN_WINDOWS = 10
@@ -100,6 +101,7 @@ def isolation_forest(
     ``1 - contamination`` quantile. Fewer than ten valid windows give NULL."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be in (0, 0.5]")
+    features = written(features)
     counts = (
         features.filter("valid").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), F.max("k").alias("_last"))
     )
@@ -126,12 +128,15 @@ def isolation_forest(
         limit = np.quantile(score, 1.0 - contamination) if len(score) else np.nan
         return own[names].assign(score=score, flag=score > limit)
 
+    # a fixed partition count keeps small inputs from being coalesced into few Python workers
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     # a record of one part sees all its scores; only longer ones need the counted quantile
     short = drawn.filter("_max = 0").withColumn("_part", F.lit(0).cast("long"))
-    short = short.groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
+    short = short.repartition(parts, *KEYS, "_part").groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
     targets = F.when(F.col("_pool"), F.sequence(F.lit(0).cast("long"), F.col("_max"))).otherwise(F.array("_home"))
     long = drawn.filter("_max > 0").withColumn("_part", F.explode(targets))
-    long = long.groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
+    long = long.repartition(parts, *KEYS, "_part").groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
     limit = exact_quantile(long, KEYS, "score", 1.0 - contamination, 0.0, 1.0)
     long = long.join(limit, list(KEYS)).select(*names, "score", gt_num(F.col("score"), F.col("quantile")).alias("flag"))
     rest = known.filter(~trained).select(

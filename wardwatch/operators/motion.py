@@ -20,6 +20,7 @@ from wardwatch.functions.text import exact_round, fixed
 from wardwatch.operators.quality import binary_metrics
 from wardwatch.operators.vitals import window_numbers
 from wardwatch.plans.joins import interval_join
+from wardwatch.plans.materialise import written
 from wardwatch.plans.ordered import DEFAULT_CHUNK, chunk_window, core_rows, dense_index, with_halo
 from wardwatch.plans.quantiles import exact_quantile
 from wardwatch.plans.runs import mark_runs, runs
@@ -567,8 +568,13 @@ def analyze_sequence(
     motion: DataFrame, sequences: DataFrame, fps: float = 30.0, lim: MotionLimits = LIMITS, chunk: int = DEFAULT_CHUNK
 ) -> DataFrame:
     """All findings per sequence: one validated fall, and agitation and bed exit of
-    lying people. Tracks that hardly appear are left out."""
-    stats = timeline_stats(motion, sequences, fps, lim, chunk)
+    lying people. Tracks that hardly appear are left out.
+
+    The per-pose numbers and the per-track statistics are written once, because the
+    window, streak, block and fall rules all read them.
+    """
+    motion, sequences = written(motion), written(sequences)
+    stats = written(timeline_stats(motion, sequences, fps, lim, chunk))
     people = people_count(stats, lim)
     real = stats.filter(F.col("n_valid") / F.col("n_frames") >= dbl(lim.min_coverage))
     windows = movement_windows(motion, sequences, lim.fall_window, lim.fall_stride)
@@ -723,6 +729,7 @@ def track_diagnostics(
     """Per track: coverage, torso, hip height, velocities raw, scaled and normalised,
     tilt, recumbency flags, streak and displacement. Tracks under 3 frames are dropped."""
     scale = fps / 30.0
+    motion, sequences = written(motion), written(sequences)
     base = timeline_stats(motion, sequences, fps, lim, chunk).select(*TRACK, "n_frames", "n_valid", "recumbent", "initially_recumbent")
     f, hy, v = F.col("frame_idx"), F.col("hy"), F.col("v")
     extra = motion.groupBy(*TRACK).agg(
