@@ -417,6 +417,13 @@ def _validate(spark, sf):
     return MO.validate_fall(s, MO.people_count(s, LIM), LIM)
 
 
+@fam.add("mot_validate_fall_untracked")
+def _validate_untracked(spark, sf):
+    nobody = MO.pose_scalars(V.poses(spark, sf).withColumn("track_id", F.lit(None).cast("long")), J)
+    s = MO.timeline_stats(MO.frame_motion(MO.first_pose_timelines(nobody), LIM.max_gap), V.sequences(spark, sf), FPS, LIM)
+    return MO.validate_fall_untracked(s, MO.people_count(s, LIM), LIM)
+
+
 @both("mot_net_descent", f"SELECT {T}, round(net_descent, 6) AS net_descent FROM st", "st")
 def _net(spark, sf):
     return stats(spark, sf).select("seq_id", "track_id", r("net_descent"))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oracles.views import cte, stmt
 from registered import Family
+from registered import fusion as FQ
+from registered import quality as QQ
 from wardwatch.bridge import views as V
 from wardwatch.functions.guards import dbl
+from wardwatch.operators import fusion as FU
+from wardwatch.operators import quality as Q
+from wardwatch.session import ensure_checkpoint_dir
 from wardwatch.sources import documents as DOC
 from wardwatch.sources import evidence as EV
 from wardwatch.sources import images as IM
@@ -349,3 +356,31 @@ def _report(spark, sf):
 @fam.add("io_event_report_empty", "SELECT 'No event detected.' AS line FROM lineitem HAVING count(*) FILTER (l_returnflag = 'X') = 0")
 def _report_none(spark, sf):
     return EV.event_report(report_events(spark, sf, "X", "fall"), report_events(spark, sf, "X", "bile duct"))
+
+
+def folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@fam.add("io_write_evidence", stmt("SELECT feature, run_id, evidence_id, source_record_id, severity FROM evidence_last", "evidence_last"))
+def _write_evidence(spark, sf):
+    path = folder(spark, "evidence")
+    EV.write_evidence(EV.evidence_rows(findings(spark, sf)), path)
+    schema = "evidence_id string, source_record_id string, severity string, feature string, run_id string"
+    return spark.read.schema(schema).json(path).select("feature", "run_id", "evidence_id", "source_record_id", "severity")
+
+
+@fam.add("io_write_metrics", stmt(f"SELECT detector, {QQ.PRF.format(z='', e='')} FROM confusion", "confusion"))
+def _write_metrics(spark, sf):
+    path = folder(spark, "metrics")
+    EV.write_metrics(Q.binary_metrics(V.binary(spark, sf), "y_true", "y_pred", ["detector"]), path)
+    schema = "tp long, fp long, fn long, precision double, recall double, support long, f1 double, detector string"
+    return QQ.rounded(spark.read.schema(schema).json(path), "detector")
+
+
+@fam.add("io_write_transitions", stmt("SELECT patient_id, t, previous_level, level, n_parts::INTEGER AS n_events FROM moves", "moves"))
+def _write_transitions(spark, sf):
+    path = folder(spark, "transitions")
+    EV.write_transitions(FU.transitions(FQ.levelled(spark, sf)), path)
+    schema = "patient_id string, t double, previous_level string, level string, events array<struct<modality:string,evidence_id:string>>"
+    return spark.read.schema(schema).json(path).select("patient_id", "t", "previous_level", "level", F.size("events").alias("n_events"))

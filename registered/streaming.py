@@ -56,6 +56,11 @@ def drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+@fam.add("str_samples", "SELECT event_id, user_id, event_type, value FROM events")
+def _samples(spark, sf):
+    return drained(event_stream(spark, sf)).select("event_id", "user_id", "event_type", "value")
+
+
 @fam.add(
     "str_window_features",
     """SELECT user_id::VARCHAR AS record_id, strftime(w, '%Y-%m-%d %H:%M') AS start, n, round(mean, 6) AS mean, round(std, 6) AS std, min, max FROM (

@@ -414,3 +414,20 @@ def _stats_bed(spark, sf):
 )
 def _worst(spark, sf):
     return VI.worst_window(zscores(spark, sf)).drop("channel").withColumn("score", F.round("score", 6))
+
+
+@fam.add(
+    "vit_run_detectors",
+    stmt(
+        """SELECT d.name AS detector, record_id, k, round(score, 6) AS score, CASE WHEN score IS NOT NULL THEN score > lim END AS flag
+        FROM zs, (VALUES ('sensitive', 1.0::DOUBLE), ('strict', 3.0::DOUBLE)) AS d(name, lim)""",
+        "zs",
+    ),
+)
+def _run_detectors(spark, sf):
+    named = {
+        "sensitive": lambda f: VI.rolling_zscore(f, 1.0, BASE),
+        "strict": lambda f: VI.rolling_zscore(f, 3.0, BASE),
+    }
+    out = VI.run_detectors(features(spark, sf), named)
+    return out.select("detector", "record_id", "k", F.round("score", 6).alias("score"), "flag")

@@ -63,7 +63,7 @@ def test_untracked_fall(table):
     first = MO.first_pose_timelines(MO.pose_scalars(table(rows, POSES)))
     stats = MO.timeline_stats(MO.frame_motion(first), sequence(table, 60))
     out = MO.validate_fall_untracked(stats, MO.people_count(stats)).first()
-    assert (out.verdict, out.velocity_score, out.peak_frame) == ("fall", 0.1, 25) or out.verdict == "fall"
+    assert (out.verdict, out.velocity_score) == ("fall", 0.1) and 21 <= out.peak_frame <= 25
 
 
 BOX = "seq_id string, frame_idx long, box_idx long, x1 double, y1 double, x2 double, y2 double"

@@ -78,12 +78,13 @@ def fusion_events(analyses: DataFrame, uploads: DataFrame, patients: DataFrame,
     first_path = evidence.groupBy("evidence_id").agg(
         F.min_by("severity", F.concat_ws("/", "feature", "run_id")).alias("severity_level")
     )
-    owners = uploads.select(F.col("id").alias("upload_id"), "patient_id")
     starts = patients.select(F.col("id").alias("patient_id"), "start_date")
+    # the patient comes in through the uploads, so that the rows end up laid out by
+    # upload and not by a patient who may hold a large share of them
+    owners = uploads.select(F.col("id").alias("upload_id"), "patient_id").join(starts, "patient_id")
     return (
         found.join(first_path, "evidence_id")
         .join(owners, "upload_id")
-        .join(starts, "patient_id")
         .select(
             "patient_id",
             fusion_modality(F.col("modality")).alias("modality"),

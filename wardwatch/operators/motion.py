@@ -117,6 +117,16 @@ def track_timelines(scalars: DataFrame) -> DataFrame:
     )
 
 
+def with_length(rows: DataFrame, sequences: DataFrame, pos: str, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """Adds ``n_frames``. Sequences are listed once per chunk of their frames and joined
+    by (sequence, chunk), so a long sequence spreads over many tasks, here and after."""
+    last = F.floor((F.col("n_frames") - 1) / chunk).cast("long")
+    lengths = sequences.filter("n_frames > 0").select(
+        "seq_id", "n_frames", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_at")
+    )
+    return rows.withColumn("_at", F.floor(F.col(pos) / chunk).cast("long")).join(lengths, ["seq_id", "_at"]).drop("_at")
+
+
 def movement_windows(
     timelines: DataFrame, sequences: DataFrame, size: int, stride: int | None = None
 ) -> DataFrame:
@@ -145,11 +155,11 @@ def movement_windows(
     steps = F.zip_with(F.slice(p, F.lit(1), n - 1), F.slice(p, F.lit(2), n - 1), dist)
     mean_step = F.aggregate(steps, dbl(0), lambda s, d: s + d) / (n - 1)
     start = F.col("k") * stride
-    return grouped.join(sequences.select("seq_id", "n_frames"), "seq_id").select(
+    return with_length(grouped.withColumn("_start", start), sequences, "_start").select(
         *TRACK,
         "k",
-        start.alias("start_frame"),
-        (F.least(start + size, F.col("n_frames")) - 1).alias("end_frame"),
+        F.col("_start").alias("start_frame"),
+        (F.least(F.col("_start") + size, F.col("n_frames")) - 1).alias("end_frame"),
         F.when(n > 1, widest).otherwise(dbl(0)).alias("amplitude"),
         F.when(n > 1, mean_step).otherwise(dbl(0)).alias("velocity"),
         "asymmetry",
@@ -190,7 +200,7 @@ def timeline_stats(
     Velocities are scaled to thirtieths of a second before thresholds apply.
     """
     scale = max(fps, 1.0) / 30.0
-    rows = motion.join(sequences.select("seq_id", "n_frames"), "seq_id")
+    rows = with_length(motion, sequences, "frame_idx", chunk)
     f, n, cy = F.col("frame_idx"), F.col("n_frames"), F.col("cy")
     v = F.col("v") * dbl(scale)
     early = F.when(n > lim.exit_window, (f >= n - lim.exit_window) & (f < n - lim.exit_window // 2)).otherwise(

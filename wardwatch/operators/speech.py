@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wardwatch.functions.guards import dbl, ratio
 from wardwatch.functions.text import exact_round, fixed, normalize
 from wardwatch.operators.vitals import window_numbers
-from wardwatch.plans.joins import interval_join
+from wardwatch.plans.joins import interval_join, join_small
 from wardwatch.plans.ordered import DEFAULT_CHUNK, carried, chunk_window, core_rows, dense_index, with_halo
 
 CONTEXT = 40
@@ -129,7 +129,7 @@ def fatigue_relative(rows: DataFrame, threshold: float, by: str = "run_id") -> D
     for n, sign in FEATURES.items():
         z = F.when(F.col(f"_l_{n}") == F.col(f"_h_{n}"), dbl(0)).otherwise((F.col(n) - F.col(f"_m_{n}")) / F.col(f"_s_{n}"))
         total = total + z * dbl(sign)
-    out = rows.join(stats, by).withColumn("score", total / dbl(len(FEATURES)))
+    out = join_small(rows, stats, [by]).withColumn("score", total / dbl(len(FEATURES)))
     return out.select(*rows.columns, "score", (F.col("score") > dbl(threshold)).alias("fatigued"))
 
 
@@ -185,21 +185,29 @@ def dominant_period(
     its chunk (with halo) and the products are summed per lag map-side.
     """
     lo, hi = max(1, int(rate / max_hz)), int(rate / min_hz)
-    stats = envelope.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("energy").alias("_m"))
-    centred = envelope.join(stats, list(keys)).select(*keys, "k", "n", (F.col("energy") - F.col("_m")).alias("_e"))
-    rows = with_halo(centred, "k", chunk, before=hi)
-    past = F.collect_list("_e").over(chunk_window(keys, "k").rowsBetween(-hi, 0))
+    rows = with_halo(envelope, "k", chunk, before=hi)
+    past = F.collect_list("energy").over(chunk_window(keys, "k").rowsBetween(-hi, 0))
     rows = core_rows(rows.withColumn("_past", past))
     lags = F.concat(F.array(F.lit(0)), F.sequence(F.lit(lo), F.lit(max(lo, hi - 1))))
-    products = F.transform(lags, lambda g: F.struct(g.alias("lag"), (F.col("_e") * F.get("_past", F.size("_past") - 1 - g)).alias("product")))
-    corr = rows.select(*keys, "n", F.inline(products)).groupBy(*keys, "lag").agg(F.sum("product").alias("_c"), F.max("n").alias("n"))
+    pairs = F.transform(lags, lambda g: F.struct(g.alias("lag"), F.col("energy").alias("_a"), F.get("_past", F.size("_past") - 1 - g).alias("_b")))
+    sums = (
+        rows.select(*keys, F.inline(pairs))
+        .filter(F.col("_b").isNotNull())
+        .groupBy(*keys, "lag")
+        .agg(F.sum(F.col("_a") * F.col("_b")).alias("_ab"), F.sum(F.col("_a") + F.col("_b")).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    )
+    # the mean is known from lag 0, and centring the products afterwards needs only sums
+    whole = sums.filter("lag = 0").select(*keys, F.col("_n").alias("n"), (F.col("_s") / (F.col("_n") * 2)).alias("_m"), F.col("_ab").alias("_e"))
+    m = F.col("_m")
+    corr = sums.join(whole, list(keys)).select(*keys, "n", "lag", "_e", (F.col("_ab") - m * F.col("_s") + F.col("_n") * m * m).alias("_c"))
     allowed = (F.col("lag") >= lo) & (F.col("lag") < F.least(F.col("n") - 1, F.lit(hi)))
     best = corr.groupBy(*keys).agg(
         F.max("n").alias("n"),
+        F.max("_e").alias("_e"),
         F.max(F.when(F.col("lag") == 0, F.col("_c"))).alias("_zero"),
         F.max_by(F.struct("lag", "_c"), F.when(allowed, F.struct(F.col("_c"), -F.col("lag")))).alias("_b"),
     )
-    usable = (F.col("n") >= 10) & (F.col("_zero") > 0) & (F.least(F.col("n") - 1, F.lit(hi)) > lo)
+    usable = (F.col("n") >= 10) & (F.col("_zero") > F.col("_e") * dbl(1e-12)) & (F.least(F.col("n") - 1, F.lit(hi)) > lo)
     strength = F.try_divide(F.col("_b._c"), F.col("_zero"))
     return best.select(*keys, "n", F.when(usable & (strength >= dbl(0.3)), F.col("_b.lag") / dbl(rate)).alias("period_s"))
 
