@@ -152,7 +152,11 @@ cte(
 )
 
 
+RAW: dict[str, tuple[str, tuple[str, ...]]] = {}
+
+
 def both(name: str, sql: str, *needs: str):
+    RAW[name] = (sql, needs)
     return fam.add(name, stmt(sql, *needs))
 
 
@@ -453,7 +457,24 @@ def _analyze(spark, sf):
     return found(spark, sf)
 
 
-@fam.add("mot_summarise_findings")
+cte("devs", RAW["mot_postural_deviations"][0], *RAW["mot_postural_deviations"][1])
+cte("tilts", RAW["mot_tilt_findings"][0], *RAW["mot_tilt_findings"][1])
+
+
+@both(
+    "mot_summarise_findings",
+    """SELECT seq_id, string_agg(line, ' | ' ORDER BY rk, line) || '.' AS summary, printf('%.3f', max(score))::DOUBLE AS score FROM (
+      SELECT seq_id, '2' || joint AS rk, 'Limited flexion of ' || joint || ' (smallest angle ' || printf('%.0f', w.m) || '°, expected above ' || printf('%.0f', w.e) || '°) in ' || n || ' frames' AS line, w.s AS score FROM (
+        SELECT seq_id, joint, arg_min({'m': measured, 'e': expected, 's': score}, (measured, frame_idx)) AS w, greatest(1, floor(round(sum(duration_s) * 30, 6))::BIGINT) AS n FROM devs GROUP BY 1, 2)
+      UNION ALL
+      SELECT seq_id, CASE finding WHEN 'fall_detected' THEN '0' WHEN 'trunk_tilt' THEN '3' ELSE '1' || finding END, CASE finding WHEN 'fall_detected' THEN 'Fall detected'
+        WHEN 'trunk_tilt' THEN 'Sustained trunk tilt during the exercise' WHEN 'agitation' THEN 'Agitation (' || printf('%.0f', w.m) || ' changes/min)' ELSE 'Bed exit (rise=' || printf('%.3f', w.m) || ')' END,
+        CASE finding WHEN 'fall_detected' THEN greatest(top, 0.8::DOUBLE) WHEN 'trunk_tilt' THEN w.s ELSE top END FROM (
+        SELECT seq_id, finding, arg_max({'m': measured, 's': score}, (measured, -frame_idx)) AS w, max(score) AS top FROM (SELECT * FROM found UNION ALL BY NAME SELECT * FROM tilts) GROUP BY 1, 2)) GROUP BY seq_id""",
+    "found",
+    "devs",
+    "tilts",
+)
 def _summarise(spark, sf):
     t = timelines(spark, sf)
     everything = found(spark, sf).unionByName(MO.postural_deviations(t, TARGETS, 2, FPS)).unionByName(MO.tilt_findings(t, 60.0, 2, FPS))
