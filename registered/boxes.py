@@ -40,7 +40,26 @@ def _iou(spark, sf):
     return out.select("image", "class", "det", "truth", F.round("iou", 6).alias("iou"))
 
 
-@fam.add("box_match_detections")
+cte("dets", "SELECT image, class, box_id AS det, row_number() OVER (PARTITION BY image, class ORDER BY confidence DESC, box_id) AS rk FROM boxes WHERE status = 'O'", "boxes")
+cte("near", "SELECT image, class, det, truth, iou FROM pairs WHERE iou >= 0.5::DOUBLE", "pairs")
+cte(
+    "walk",
+    """SELECT DISTINCT image, class, 0::BIGINT AS rk, []::VARCHAR[] AS taken FROM near UNION ALL
+    SELECT w.image, w.class, w.rk + 1, list_concat(w.taken, coalesce([arg_min(g.truth, (-g.iou, g.truth)) FILTER (g.truth IS NOT NULL AND NOT list_contains(w.taken, g.truth))], []))
+    FROM walk w JOIN dets d ON d.image = w.image AND d.class = w.class AND d.rk = w.rk + 1 LEFT JOIN near g ON g.image = d.image AND g.class = d.class AND g.det = d.det
+    GROUP BY w.image, w.class, w.rk, w.taken""",
+    "dets",
+    "near",
+)
+MATCH = """SELECT class, tp, fp, fn, tp + fn AS support, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall,
+    round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1 FROM (
+    SELECT class, coalesce(m, 0)::BIGINT AS tp, coalesce(nd, 0) - coalesce(m, 0)::BIGINT AS fp, coalesce(ng, 0) - coalesce(m, 0)::BIGINT AS fn FROM (VALUES ('A'), ('N'), ('R'), ('X')) AS c(class)
+    LEFT JOIN (SELECT class, count(*) AS nd FROM boxes WHERE status = 'O' AND image IN (SELECT image FROM boxes WHERE status = 'F') GROUP BY 1) USING (class)
+    LEFT JOIN (SELECT class, count(*) AS ng FROM boxes WHERE status = 'F' GROUP BY 1) USING (class)
+    LEFT JOIN (SELECT class, sum(n) AS m FROM (SELECT image, class, max(len(list_filter(taken, lambda t: t IS NOT NULL))) AS n FROM walk GROUP BY 1, 2) GROUP BY 1) USING (class))"""
+
+
+@fam.add("box_match_detections", stmt(MATCH, "boxes", "walk").replace("WITH ", "WITH RECURSIVE ", 1))
 def _match(spark, sf):
     out = BX.match_detections(truths(spark, sf), detections(spark, sf), ["A", "N", "R", "X"])
     return out.select("class", "tp", "fp", "fn", "support", *[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1"]])
