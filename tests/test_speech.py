@@ -54,3 +54,15 @@ def test_period_of_a_sine(table):
     for chunk in (10, 1000):
         got = {r.record_id: r.period_s for r in SP.dominant_period(env, 2.0, 0.15, 0.5, chunk=chunk).collect()}
         assert got == {"r": 4.0, "s": None, "t": None}
+
+
+def test_cycle_classifier_learns_and_repeats(table):
+    import random
+
+    rng = random.Random(0)
+    rows = [(i, "crackle" if i % 5 == 0 else "normal", [rng.random() + (3 if i % 5 == 0 else 0), rng.random()]) for i in range(100)]
+    cycles = table(rows, "cycle_index long, label string, features array<double>").coalesce(1)
+    once, again = (SP.predict_cycles(SP.train_cycle_classifier(cycles, trees=20, depth=4), cycles) for _ in range(2))
+    got = {r.cycle_index: (r.label, r.predicted_label, r.confidence) for r in once.collect()}
+    assert got == {r.cycle_index: (r.label, r.predicted_label, r.confidence) for r in again.collect()}
+    assert all(a == b and 0.5 <= c <= 1.0 for a, b, c in got.values())
