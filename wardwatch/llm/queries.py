@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardwatch.llm import packing, tokens, warc
+from wardwatch.llm import ngram_join, packing, tokens, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,3 +52,25 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_file_index(_table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+@query
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+SQL["op8_ngram_jaccard_join"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) END) AS s FROM w),
+d AS (SELECT DISTINCT doc_id, s FROM g),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM d a JOIN d b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v WHERE r.c < l.b)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.v = documents.doc_id GROUP BY ALL
+"""
