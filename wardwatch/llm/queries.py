@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardwatch.llm import ngram_join, packing, tokens, warc
+from wardwatch.llm import embedding_dedup, ngram_join, packing, tokens, warc
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -74,3 +74,23 @@ r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM
 SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.c) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.v = documents.doc_id GROUP BY ALL
 """
+
+
+@query
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op9_embedding_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v WHERE r.c < l.b),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id JOIN m ON m.v = e.vec_id
+"""
