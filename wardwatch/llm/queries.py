@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wardwatch.llm import embedding_dedup, ngram_join, packing, tokens, warc
+from wardwatch.llm import embedding_dedup, license_scan, ngram_join, packing, secret_scan, tokens, url_filter, warc
+from wardwatch.llm.url_filter import Rule
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -94,3 +95,31 @@ m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
 FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id JOIN m ON m.v = e.vec_id
 """
+
+
+# The url rules of the contract.
+URL_RULES = [
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+]
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled table is what the rules decide; the model judges the other urls."""
+    pages = _table(spark, sf_dir, "pages")
+    model = url_filter.fit_table(url_filter.labelled_by_rules(pages, URL_RULES))
+    return url_filter.judge(pages, URL_RULES, model)
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
