@@ -257,8 +257,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller doc_id: one document of
-    each group stays. Rows with a null doc_id, which nothing can name, all stay."""
-    judged = jaccard_components(docs, k, num, den)
-    drop = judged.filter("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    """``docs`` with one document of each group: rows whose component has a smaller
+    doc_id go, and of rows with equal doc_id and text one stays. Rows with a null doc_id,
+    which nothing can name, all stay."""
+    judged = stored(jaccard_components(docs, k, num, den), "judged")
+    drop = stored(judged.filter("doc_id > component_id").select("doc_id").distinct(), "dropped")
+    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    again = stored(judged.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(single.select(docs.columns))

@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardwatch.llm import embedding_dedup, license_scan, ngram_join, packing, secret_scan, tokens, url_filter, warc
+from wardwatch.llm import embedding_dedup, license_scan, mixing, ngram_join, packing, quality, secret_scan, tokens, url_filter, warc
 from wardwatch.llm.url_filter import Rule
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
+
+# Share of each domain in the mixture; the clean documents set the scale.
+MIXTURE = {"clean": 0.95, "low": 0.04, "toxic": 0.01}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +128,28 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def domain_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, domain) of the labelled table; rows with a null label have none."""
+    low, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    domain = F.when(toxic, "toxic").when(low, "low").when(~low & ~toxic, "clean")
+    return _table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain")).filter("domain is not null")
+
+
+@query
+def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.mix(docs, domain_labels(spark, sf_dir), MIXTURE, "clean")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run  # it imports this module
+
+    return run(spark, sf_dir)

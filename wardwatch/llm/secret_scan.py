@@ -172,33 +172,34 @@ def _found(text: str) -> tuple[list[dict], list[dict]]:
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], more
 
 
-def find(docs: DataFrame, *extra: str) -> DataFrame:
-    """(doc_id, base, candidates) per row, with the columns ``extra`` beside them."""
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, base, candidates) per row."""
 
     def rows(batches):
         for batch in batches:
             found = [_found(t.as_py() or "") for t in batch.column("text")]
             base = pa.array([b for b, _ in found], pa.list_(_ARROW_SPAN))
             more = pa.array([c for _, c in found], pa.list_(_ARROW_CANDIDATE))
-            keep = [n for n in batch.schema.names if n != "text" or "text" in extra]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], base, more], names=[*keep, "base", "candidates"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), base, more], names=["doc_id", "base", "candidates"])
 
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in extra if c != "text"])
-    kinds = dict(kept.dtypes)
-    shown = [f"{c} {kinds[c]}" for c in ("text",) if c in extra] + [f"`{c}` {kinds[c]}" for c in extra if c != "text"]
-    return kept.mapInArrow(rows, ", ".join(["doc_id long", *shown, f"base array<{SPAN}>", f"candidates {CANDIDATES}"]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, FOUND)
 
 
-def with_spans(found: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """``found`` with ``spans``: base spans and the candidates not rejected as ordinary
-    strings. Candidates are counted by stratum and grid number over the whole corpus, a
-    table of fixed size; per stratum a share of ``alpha`` at most of what is rejected is
-    expected to be random strings."""
+def rejections(found: DataFrame, alpha: float) -> dict[str, int]:
+    """``rejection_bins`` of all candidates: counted by stratum and grid number over the
+    whole corpus, a table of fixed size."""
     cells = found.select(F.explode("candidates").alias("c")).groupBy("c.stratum", "c.bin").count()
     counts: dict[str, dict[int, int]] = {}
     for name, b, n in cells.collect():  # encodings x lengths x BINS rows at most
         counts.setdefault(name, {})[b] = n
-    least = rejection_bins(counts, alpha)
+    return rejection_bins(counts, alpha)
+
+
+def with_spans(found: DataFrame, alpha: float = 0.01) -> DataFrame:
+    """``found`` with ``spans``: base spans and the candidates not rejected as ordinary
+    strings. Per stratum, a share of ``alpha`` at most of what is rejected is expected to
+    be random strings."""
+    least = rejections(found, alpha)
     passed = F.col("candidates")
     if least:
         limit = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
@@ -223,3 +224,42 @@ def scan(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
     return marked.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
     )
+
+
+def redacted(docs: DataFrame, alpha: float = 0.01, mark: str = "<secret>") -> DataFrame:
+    """``docs`` with every span of a secret replaced by ``mark``; n_chars, where there is
+    such a column, follows the text. A first pass gathers the error control's counts, a
+    second one rewrites, so texts are neither stored nor shuffled. Texts without a
+    secret, null ones included, stay as they are."""
+    least = rejections(stored(find(docs), "secrets"), alpha)
+
+    def rows(batches):
+        for batch in batches:
+            texts, changed = batch.column("text").to_pylist(), False
+            for i, text in enumerate(texts):
+                base, more = _found(text or "")
+                spans = [(s["start"], s["end"]) for s in base] + [(c["start"], c["end"]) for c in more if c["bin"] < least[c["stratum"]]]
+                if spans:
+                    texts[i], changed = _without(text, sorted(spans), mark), True
+            if changed:
+                at = batch.schema.get_field_index("text")
+                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            yield batch
+
+    given = docs.withColumn("text", F.col("text").cast("string"))
+    clean = given.mapInArrow(rows, given.schema)
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        same = F.col("n_chars").isNull() | F.col("text").isNull()
+        clean = clean.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+    return clean
+
+
+def _without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """Spans that overlap are replaced together."""
+    parts, at = [], 0
+    for a, b in spans:
+        if a >= at:
+            parts += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*parts, text[at:]])
