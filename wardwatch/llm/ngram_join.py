@@ -63,12 +63,11 @@ def occurrence_sketch(docs: DataFrame, k: int, bits: int = 21, fan_in: int = 64)
             if part.any():
                 yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "task": pa.array([task], pa.int32()), "cells": pa.array([_pack(part)], pa.binary())})
 
-    def add(key, batches):
+    def add(key, table):
         total = np.zeros(1 << BLOCK_BITS, np.int64)
-        for batch in batches:
-            for cells in batch.column("cells"):
-                total += np.frombuffer(cells.as_py(), np.uint32)
-        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([_pack(total)], pa.binary())})
+        for cells in table.column("cells"):
+            total += np.frombuffer(cells.as_py(), np.uint32)
+        return pa.Table.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([_pack(total)], pa.binary())})
 
     schema = "block int, task int, cells binary"
     part = stored(_texts(docs).select("text").mapInArrow(count, schema), "sketch")

@@ -133,8 +133,8 @@ def _measures(text: str, lang: str | None, enc, known: frozenset[str]) -> dict:
     }
 
 
-def bands(rows: DataFrame, widths: dict[str, float], steps: float = 1e-4) -> DataFrame:
-    """(_stratum, _low_*, _high_*): quartiles -/+ width x interquartile range per stratum.
+def bands(rows: DataFrame, widths: dict[str, tuple[float, float]], steps: float = 1e-4) -> DataFrame:
+    """(_stratum, _low_*, _high_*): quartiles -/+ widths x interquartile range per stratum.
 
     Quartiles are exact on a grid of ``steps``: rows are counted by stratum and grid
     value, map-side combined, and only those counts are ordered."""
@@ -146,16 +146,19 @@ def bands(rows: DataFrame, widths: dict[str, float], steps: float = 1e-4) -> Dat
     found = counts.groupBy("stratum", "measure").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, c))
     edges = []
-    for m, width in widths.items():
-        reach = F.lit(width) * (F.col("q3") - F.col("q1")) + steps
-        edges += [pick(m, F.col("q1") - reach).alias(f"_low_{m}"), pick(m, F.col("q3") + reach).alias(f"_high_{m}")]
+    spread = F.col("q3") - F.col("q1")
+    for m, (below, above) in widths.items():
+        edges.append(pick(m, F.col("q1") - below * spread - steps).alias(f"_low_{m}"))
+        edges.append(pick(m, F.col("q3") + above * spread + steps).alias(f"_high_{m}"))
     return found.groupBy(F.col("stratum").alias("_stratum")).agg(*edges)
 
 
-WIDTHS = {"chars_per_token": 4.0, "token_entropy": 2.0, "byte_share": 8.0}
+# Interquartile ranges below the first and above the third quartile. Repetition and
+# markup lower the entropy; short lists of rare words raise it, and are no fault.
+WIDTHS = {"chars_per_token": (5.0, 6.0), "token_entropy": (2.0, 6.0), "byte_share": (8.0, 8.0)}
 
 
-def judged(docs: DataFrame, byte_bpe: str, fallback: str, widths: dict[str, float] | None = None, carry: bool = False) -> DataFrame:
+def judged(docs: DataFrame, byte_bpe: str, fallback: str, widths: dict[str, tuple[float, float]] | None = None, carry: bool = False) -> DataFrame:
     """``measured`` rows with ``kept``, written once: the bands need all rows first.
 
     A text fails at the base with fewer than 10 words, or if over a fifth of them lie in
@@ -170,7 +173,7 @@ def judged(docs: DataFrame, byte_bpe: str, fallback: str, widths: dict[str, floa
     return joined.withColumn("_kept", ~F.col("_m.base_failed") & F.coalesce(inside, F.lit(False))).select(*rows.columns, "_kept")
 
 
-def judge(docs: DataFrame, byte_bpe: str, fallback: str, widths: dict[str, float] | None = None) -> DataFrame:
+def judge(docs: DataFrame, byte_bpe: str, fallback: str, widths: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """One row per document: counts, base_failed, kept and the measures.
 
     Null and empty texts fail at the base. Repeated rows count each; columns but doc_id,
