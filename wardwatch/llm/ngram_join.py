@@ -141,7 +141,7 @@ def _neighbours(posts: DataFrame, num: int, den: int, reach: int = 4) -> DataFra
     w = Window.partitionBy("token", "band").orderBy(F.xxhash64("token", "gid"))
     this = F.struct("gid", "n", "pos")
     before = F.collect_list(this).over(w.rowsBetween(-reach, -1))
-    near = posts.select("gid", "n", "pos", F.explode(before).alias("o"))
+    near = posts.withColumn("_before", before).select("gid", "n", "pos", F.explode("_before").alias("o"))
     near = near.filter(_allowed(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos"), num, den))
     return near.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct()
 
