@@ -136,14 +136,21 @@ def _bands(n, num: int, den: int):
 
 
 def _neighbours(posts: DataFrame, num: int, den: int, reach: int = 4) -> DataFrame:
-    """Group pairs that stand at most ``reach`` places apart in a posting list, in an
-    order that differs from token to token inside a size band."""
-    w = Window.partitionBy("token", "band").orderBy(F.xxhash64("token", "gid"))
-    this = F.struct("gid", "n", "pos")
-    before = F.collect_list(this).over(w.rowsBetween(-reach, -1))
-    near = posts.withColumn("_before", before).select("gid", "n", "pos", F.explode("_before").alias("o"))
-    near = near.filter(_allowed(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos"), num, den))
-    return near.select(F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")).distinct()
+    """Group pairs of a posting list, linear in its length: those that stand at most
+    ``reach`` places apart in an order that differs from token to token, and every group
+    with the ``reach`` groups that have the fewest rarer tokens. Among near copies of one
+    text those are the ones that differ least from it, and so link with the most."""
+    key = ["token", "band"]
+    pair = [F.least("gid", "o.gid").alias("a"), F.greatest("gid", "o.gid").alias("b")]
+    this = F.struct("gid", "n", "pos").alias("o")
+    allowed = _allowed(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos"), num, den) & (F.col("gid") != F.col("o.gid"))
+    mixed_order = Window.partitionBy(key).orderBy(F.xxhash64("token", "gid"))
+    near = posts.withColumn("_before", F.collect_list(this).over(mixed_order.rowsBetween(-reach, -1))).select("gid", "n", "pos", F.explode("_before").alias("o"))
+    first = Window.partitionBy(key).orderBy("pos", F.xxhash64("gid"))
+    leads = posts.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= reach)
+    leads = leads.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), this)
+    led = posts.join(leads, key).select("gid", "n", "pos", "o")
+    return near.union(led).filter(allowed).select(*pair).distinct()
 
 
 def _between(posts: DataFrame, num: int, den: int) -> DataFrame:
@@ -158,7 +165,7 @@ def _between(posts: DataFrame, num: int, den: int) -> DataFrame:
         & ((F.col("_band") < F.col("band")) | (F.col("_gid") < F.col("gid")))
         & _allowed(F.col("n"), F.col("_n"), F.col("pos"), F.col("_pos"), num, den)
     )
-    return found.select(F.col("_gid").alias("ga"), F.col("_comp").alias("ca"), F.col("gid").alias("gb"), F.col("comp").alias("cb")).distinct()
+    return found.select(F.col("_gid").alias("a"), F.col("_comp").alias("ca"), F.col("gid").alias("b"), F.col("comp").alias("cb")).distinct()
 
 
 def _member_sets(docs: DataFrame, members: DataFrame, k: int, bloom_bits: int = 23) -> DataFrame:
@@ -189,25 +196,27 @@ def _member_sets(docs: DataFrame, members: DataFrame, k: int, bloom_bits: int =
     return stored(made.join(members.select("rid", "digest"), "digest").dropDuplicates(["rid"]).select("rid", "items"), "sets")
 
 
-def _prefixes_allow(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes leave the threshold open.
+def _prefixes_allow(pairs: DataFrame, posts: DataFrame, keep: list[str], num: int, den: int) -> DataFrame:
+    """The group pairs (a, b) whose prefixes leave the threshold open.
 
     Let w be the earlier of the two last prefix tokens. Shared members up to w are in both
     prefixes, and the set whose prefix ends at w has only its rest beyond, so the overlap
-    is at most what the prefixes share and the larger rest.
+    is at most what the prefixes share and the larger rest. Tokens of one group are
+    shared with none, so posted tokens say all about what is shared.
     """
-    asked = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    known = stored(rows.select("rid", F.col("n_shingles").alias("n"), "prefix").join(asked, "rid", "left_semi"), "asked")
-    side = lambda x: known.select(F.col("rid").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"p_{x}"))
+    asked = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
+    known = posts.join(asked, "gid", "left_semi").groupBy("gid").agg(F.first("n").alias("n"), F.collect_list("token").alias("p"))
+    known = stored(known, "asked")
+    side = lambda x: known.select(F.col("gid").alias(x), F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    rest = F.greatest(F.col("n_a") - F.size("p_a"), F.col("n_b") - F.size("p_b"))
+    most = F.greatest("n_a", "n_b")
+    rest = F.ceil(F.lit(num) * most / den) - 1  # what follows the prefix
     shared = F.size(F.array_intersect("p_a", "p_b"))
-    return both.filter((num + den) * (shared + rest) >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return both.filter((num + den) * (shared + rest) >= num * (F.col("n_a") + F.col("n_b"))).select(keep)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of members whose whole sets reach the threshold. Prefixes, a
-    tenth of the sets or so, decide most pairs that do not."""
+def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of members whose whole sets reach the threshold."""
 
     def test(batches):
         for batch in batches:
@@ -218,7 +227,6 @@ def _verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, members: DataF
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = stored(_prefixes_allow(pairs, rows, num, den), "pairs")
     asked = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
     sets = _member_sets(docs, members.join(asked, "rid", "left_semi"), k)
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("items").alias("x")), "a")
@@ -251,23 +259,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     posts = tokens.withColumn("_lo", F.min("gid").over(of_token)).withColumn("_hi", F.max("gid").over(of_token)).filter("_lo < _hi")
     posts = stored(posts.select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), _bands(F.col("n"), num, den).alias("band")), "posts")
 
-    # first round: neighbours in posting lists, and in a group each to the one before it
+    # first round: a few partners in each posting list, and in a group each to the one before it
     several = members.filter("size > 1").select("gid", "rid")
     chain = several.select(F.lag("rid").over(Window.partitionBy("gid").orderBy("rid")).alias("a"), F.col("rid").alias("b")).filter("a is not null")
-    first = _verified(docs, stored(_neighbours(posts, num, den).union(chain), "pairs"), rows, members, k, num, den)
-    near = stored(components(first, "a", "b"), "near")
+    near = _prefixes_allow(stored(_neighbours(posts, num, den), "near"), posts, ["a", "b"], num, den)
+    first = _verified(docs, stored(near.union(chain), "pairs"), members, k, num, den)
+    found = components(first, "a", "b")
 
     # second round: all pairs between the components that remain
-    placed = members.select("rid", "gid", "size").join(near, F.col("rid") == F.col("node"), "left")
+    placed = members.select("rid", "gid", "size").join(found, F.col("rid") == F.col("node"), "left")
     placed = stored(placed.select("rid", "gid", "size", F.coalesce("root", "rid").alias("comp")), "placed")
     parts = placed.select("gid", "comp").distinct()
-    pairs = _between(posts.join(parts, "gid"), num, den)
-    pairs = pairs.join(placed.select(F.col("gid").alias("ga"), F.col("comp").alias("ca"), F.col("rid").alias("a")), ["ga", "ca"])
-    pairs = pairs.join(placed.select(F.col("gid").alias("gb"), F.col("comp").alias("cb"), F.col("rid").alias("b")), ["gb", "cb"]).select("a", "b")
+    between = stored(_between(posts.join(parts, "gid"), num, den), "between")
+    pairs = _prefixes_allow(between, posts, ["a", "b", "ca", "cb"], num, den)
+    of = placed.select("gid", "comp", "rid")
+    pairs = pairs.join(of.select(F.col("gid").alias("a"), F.col("comp").alias("ca"), F.col("rid").alias("ra")), ["a", "ca"])
+    pairs = pairs.join(of.select(F.col("gid").alias("b"), F.col("comp").alias("cb"), F.col("rid").alias("rb")), ["b", "cb"])
+    pairs = pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     one = placed.filter("size > 1")
     other = one.select("gid", F.col("rid").alias("b"), F.col("comp").alias("_comp"))
     inside = one.join(other, "gid").filter((F.col("rid") < F.col("b")) & (F.col("comp") != F.col("_comp"))).select(F.col("rid").alias("a"), "b")
-    second = _verified(docs, stored(pairs.union(inside), "pairs"), rows, members, k, num, den)
+    second = _verified(docs, stored(pairs.union(inside), "pairs"), members, k, num, den)
 
     roots = components(first.union(second), "a", "b")
     named = slim.join(members.select("digest", F.col("rid").alias("node")), "digest", "left").join(roots, "node", "left")
