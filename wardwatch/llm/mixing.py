@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwatch.llm.shared import stored
+from wardwatch.llm.vocabulary import forget_encoders
 from wardwatch.llm.words import WordHashes
 
 SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -121,6 +122,7 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x domains, fixed
 
     def rows(batches):
+        forget_encoders()
         m = shared.value
         cells = FeatureCells(m.bits)
         for batch in batches:
@@ -152,7 +154,7 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, k)
 
 
-def fit_rates(docs: DataFrame, targets: np.ndarray, ridge: float = 1e-3, steps: int = 60, tolerance: float = 1e-6) -> list[tuple[np.ndarray, float, float]]:
+def fit_rates(docs: DataFrame, targets: np.ndarray, ridge: float = 1e-3, steps: int = 40, tolerance: float = 1e-5) -> list[tuple[np.ndarray, float, float]]:
     """Steps of accelerated projected gradient for nonnegative rates r that minimise
 
         1/2 sum_k ((S_k - T_k) / T)^2 + ridge/2 sum_i w_i (r_i - 1)^2,
@@ -227,7 +229,7 @@ def _unit(seed: int):
     return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, ridge: float = 1e-3, steps: int = 60, max_rows: int = 3000, seed: int = 11) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, ridge: float = 1e-3, steps: int = 40, max_rows: int = 3000, seed: int = 11) -> DataFrame:
     """(doc_id, n_tokens, posterior, rate, copies) per row of ``docs``.
 
     ``weights`` gives each domain's share of the mixture; totals are scaled so that
@@ -250,7 +252,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: s
     return rated.withColumn("copies", F.floor(F.col("rate") + _unit(seed)).cast("long"))
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, ridge: float = 1e-3, steps: int = 60, max_rows: int = 3000, seed: int = 11) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, ridge: float = 1e-3, steps: int = 40, max_rows: int = 3000, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` that the mixture uses, each once: a rate below one is the
     chance to stay, a higher one is not repeated. A second pass rates each row with its
     columns beside it, so texts are not shuffled; null doc_ids share one chance."""
@@ -259,6 +261,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float
     columns = docs.columns
 
     def rows(batches):
+        forget_encoders()
         f = shared.value
         cells = FeatureCells(f.model.bits)
         for b in batches:

@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardwatch.llm.components import components
-from wardwatch.llm.shared import stored
+from wardwatch.llm.shared import discard, stored
+from wardwatch.llm.vocabulary import forget_encoders
 from wardwatch.llm.words import shingle_set
 
 ROWS = "doc_id long, n_shingles long, digest binary, prefix_digest long, prefix array<long>"
@@ -53,6 +54,7 @@ def occurrence_sketch(docs: DataFrame, k: int, bits: int = 21, fan_in: int = 64)
     shift = np.uint64(64 - bits)
 
     def count(batches):
+        forget_encoders()
         cells = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for text in batch.column(0):
@@ -71,7 +73,7 @@ def occurrence_sketch(docs: DataFrame, k: int, bits: int = 21, fan_in: int = 64)
         return pa.Table.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([_pack(total)], pa.binary())})
 
     schema = "block int, task int, cells binary"
-    part = stored(_texts(docs).select("text").mapInArrow(count, schema), "sketch")
+    made = part = stored(_texts(docs).select("text").mapInArrow(count, schema), "sketch")
     most = part.agg(F.max("task")).first()[0]
     while most:
         most //= fan_in
@@ -80,6 +82,7 @@ def occurrence_sketch(docs: DataFrame, k: int, bits: int = 21, fan_in: int = 64)
     total = np.zeros((blocks, 1 << BLOCK_BITS), np.uint32)
     for row in part.select("block", "cells").toLocalIterator():
         total[row["block"]] = np.frombuffer(row["cells"], np.uint32)
+    discard(made)
     return total.reshape(-1)
 
 
@@ -94,6 +97,7 @@ def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int)
     shift = np.uint64(64 - int(math.log2(len(sketch))))
 
     def rows(batches):
+        forget_encoders()
         seen = shared.value
         for batch in batches:
             out = []
@@ -137,7 +141,7 @@ def _bands(n, num: int, den: int):
 
 def _neighbours(posts: DataFrame, num: int, den: int, reach: int = 4) -> DataFrame:
     """Group pairs of a posting list, linear in its length: those that stand at most
-    ``reach`` places apart in an order that differs from token to token, and every group
+    two places apart in an order that differs from token to token, and every group
     with the ``reach`` groups that have the fewest rarer tokens. Among near copies of one
     text those are the ones that differ least from it, and so link with the most."""
     key = ["token", "band"]
@@ -145,7 +149,7 @@ def _neighbours(posts: DataFrame, num: int, den: int, reach: int = 4) -> DataFra
     this = F.struct("gid", "n", "pos").alias("o")
     allowed = _allowed(F.col("n"), F.col("o.n"), F.col("pos"), F.col("o.pos"), num, den) & (F.col("gid") != F.col("o.gid"))
     mixed_order = Window.partitionBy(key).orderBy(F.xxhash64("token", "gid"))
-    near = posts.withColumn("_before", F.collect_list(this).over(mixed_order.rowsBetween(-reach, -1))).select("gid", "n", "pos", F.explode("_before").alias("o"))
+    near = posts.withColumn("_before", F.collect_list(this).over(mixed_order.rowsBetween(-2, -1))).select("gid", "n", "pos", F.explode("_before").alias("o"))
     first = Window.partitionBy(key).orderBy("pos", F.xxhash64("gid"))
     leads = posts.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= reach)
     leads = leads.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), this)
@@ -180,6 +184,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, k: int, bloom_bits: int =
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
     def rows(batches):
+        forget_encoders()
         wanted = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             keep = wanted[np.asarray(batch.column(2))]
@@ -193,7 +198,8 @@ def _member_sets(docs: DataFrame, members: DataFrame, k: int, bloom_bits: int =
             yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "items": pa.array(sets, pa.binary())})
 
     made = _texts(docs).select("doc_id", "text", cells.alias("cell")).mapInArrow(rows, "digest binary, items binary")
-    return stored(made.join(members.select("rid", "digest"), "digest").dropDuplicates(["rid"]).select("rid", "items"), "sets")
+    # members have one row per digest; repeated rows of a doc_id may make a set twice
+    return stored(made.dropDuplicates(["digest"]).join(members.select("rid", "digest"), "digest").select("rid", "items"), "sets")
 
 
 def _prefixes_allow(pairs: DataFrame, posts: DataFrame, keep: list[str], num: int, den: int) -> DataFrame:
@@ -231,7 +237,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, k: int, num
     sets = _member_sets(docs, members.join(asked, "rid", "left_semi"), k)
     both = pairs.join(sets.select(F.col("rid").alias("a"), F.col("items").alias("x")), "a")
     both = both.join(sets.select(F.col("rid").alias("b"), F.col("items").alias("y")), "b")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
+    links = stored(both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, sketch_bits: int = 21) -> DataFrame:
@@ -258,6 +266,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     of_token = Window.partitionBy("token")  # a token of one group posts nothing
     posts = tokens.withColumn("_lo", F.min("gid").over(of_token)).withColumn("_hi", F.max("gid").over(of_token)).filter("_lo < _hi")
     posts = stored(posts.select("token", "gid", "n", F.col("pos").cast("long").alias("pos"), _bands(F.col("n"), num, den).alias("band")), "posts")
+    slim = stored(slim, "rows")
+    discard(rows)
 
     # first round: a few partners in each posting list, and in a group each to the one before it
     several = members.filter("size > 1").select("gid", "rid")

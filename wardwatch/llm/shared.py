@@ -26,6 +26,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing will read again."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.delete_dir(root)
+
+
 @contextmanager
 def task_file(folder: str, name: str) -> Iterator:
     """A binary file written by one task: under an attempt's own name first, then renamed,

@@ -67,3 +67,8 @@ class Encoder(dict):
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker and vocabulary."""
     return Encoder(path)
+
+
+def forget_encoders() -> None:
+    """Free what a reused Python worker still remembers of an earlier operator."""
+    encoder.cache_clear()
