@@ -20,7 +20,7 @@ class FeatureCells(dict):
     """Cells of a word: that of its lower-case form, and that of its shape (upper, lower,
     digit, and its other characters, runs counted once)."""
 
-    def __init__(self, bits: int, limit: int = 300_000):
+    def __init__(self, bits: int, limit: int = 150_000):
         super().__init__()
         self.hash, self.shift, self.limit = WordHashes(limit), 64 - bits, limit
 

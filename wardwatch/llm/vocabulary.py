@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 # Letters that end no run early: each is a letter to the vocabulary's own splitter too.
@@ -30,21 +32,28 @@ class Encoder(dict):
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A text is cut only where the vocabulary's splitter always cuts, so its ids are those
-    of its pieces in a row; the pieces' ids are remembered for up to ``limit`` pieces.
+    of its pieces in a row. The ids of up to twice ``limit`` pieces are remembered: when
+    one generation is full it becomes the former one, from which pieces met again return.
     Texts with apostrophes or unusual characters are cut at single spaces alone.
     """
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 180_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.limit = limit
+        self.former: dict[str, bytes] = {}
         self._letters = _byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
+            self.former = dict(self)
             self.clear()
+        value = self.former.get(piece)
+        if value is not None:
+            self[piece] = value
+            return value
         if WORD.match(piece):
             ids = [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self._letters))]
         else:
@@ -71,4 +80,7 @@ def encoder(path: str) -> Encoder:
 
 def forget_encoders() -> None:
     """Free what a reused Python worker still remembers of an earlier operator."""
-    encoder.cache_clear()
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

@@ -12,7 +12,7 @@ SHIFT = np.uint64(32)
 class WordHashes(dict):
     """64-bit hash of a word's bytes, remembered for up to ``limit`` words."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
