@@ -6,41 +6,42 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwatch.llm.shared import stored
-from wardwatch.llm.vocabulary import forget_encoders
-from wardwatch.llm.words import WordHashes
+from wardwatch.llm.vocabulary import release_memory
 
-SHAPE = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+CLASSES = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+PLAIN = bytes([*range(97, 123), *range(128, 256)])
 
 
 class FeatureCells(dict):
-    """Cells of a word: that of its lower-case form, and that of its shape (upper, lower,
-    digit, and its other characters, runs counted once)."""
+    """The two cells of a word as one number: that of its lower-case form, and that of
+    its shape (first and last three of its capitals, digits and other characters, without
+    small letters; a capital counts as A, a digit as 0)."""
 
     def __init__(self, bits: int, limit: int = 150_000):
         super().__init__()
-        self.hash, self.shift, self.limit = WordHashes(limit), 64 - bits, limit
+        self.bits, self.limit = bits, limit
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        shape = word.translate(SHAPE)
-        short = bytes(b for a, b in zip(b"\0" + shape, shape, strict=False) if a != b)
-        cells = self.hash[word.lower()] >> self.shift, self.hash[b"\0" + short] >> self.shift
-        self[word] = cells
-        return cells
+        shape = word.translate(CLASSES, PLAIN)
+        shift = 64 - self.bits
+        own = xxhash.xxh3_64_intdigest(word.lower()) >> shift
+        value = self[word] = own << self.bits | xxhash.xxh3_64_intdigest(b"\0" + shape[:1] + shape[-3:]) >> shift
+        return value
 
 
 def features(text: str | None, cells: FeatureCells) -> tuple[np.ndarray, int]:
     """(distinct cells, number of words) of a text; null has none."""
     words = text.encode("utf-8", "surrogatepass").split() if text else []
-    if not words:
-        return np.zeros(0, np.int64), 0
-    found = np.fromiter((c for w in set(words) for c in cells[w]), np.int64)
-    return np.unique(found), len(words)
+    distinct = set(words)
+    both = np.fromiter(map(cells.__getitem__, distinct), np.int64, len(distinct))
+    return np.unique(np.concatenate([both >> cells.bits, both & ((1 << cells.bits) - 1)])), len(words)
 
 
 @dataclass
@@ -122,7 +123,7 @@ def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits x domains, fixed
 
     def rows(batches):
-        forget_encoders()
+        release_memory()
         m = shared.value
         cells = FeatureCells(m.bits)
         for batch in batches:
@@ -261,7 +262,7 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float
     columns = docs.columns
 
     def rows(batches):
-        forget_encoders()
+        release_memory()
         f = shared.value
         cells = FeatureCells(f.model.bits)
         for b in batches:

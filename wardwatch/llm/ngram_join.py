@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from wardwatch.llm.components import components
 from wardwatch.llm.shared import discard, stored
-from wardwatch.llm.vocabulary import forget_encoders
+from wardwatch.llm.vocabulary import release_memory
 from wardwatch.llm.words import shingle_set
 
 ROWS = "doc_id long, n_shingles long, digest binary, prefix_digest long, prefix array<long>"
@@ -54,7 +54,7 @@ def occurrence_sketch(docs: DataFrame, k: int, bits: int = 21, fan_in: int = 64)
     shift = np.uint64(64 - bits)
 
     def count(batches):
-        forget_encoders()
+        release_memory()
         cells = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for text in batch.column(0):
@@ -97,7 +97,7 @@ def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int)
     shift = np.uint64(64 - int(math.log2(len(sketch))))
 
     def rows(batches):
-        forget_encoders()
+        release_memory()
         seen = shared.value
         for batch in batches:
             out = []
@@ -184,7 +184,7 @@ def _member_sets(docs: DataFrame, members: DataFrame, k: int, bloom_bits: int =
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
     def rows(batches):
-        forget_encoders()
+        release_memory()
         wanted = np.unpackbits(shared.value).view(bool)
         for batch in batches:
             keep = wanted[np.asarray(batch.column(2))]

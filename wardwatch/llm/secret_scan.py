@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwatch.llm.shared import stored
-from wardwatch.llm.vocabulary import forget_encoders
+from wardwatch.llm.vocabulary import release_memory
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -177,7 +177,7 @@ def find(docs: DataFrame) -> DataFrame:
     """(doc_id, base, candidates) per row."""
 
     def rows(batches):
-        forget_encoders()
+        release_memory()
         for batch in batches:
             found = [_found(t.as_py() or "") for t in batch.column("text")]
             base = pa.array([b for b, _ in found], pa.list_(_ARROW_SPAN))

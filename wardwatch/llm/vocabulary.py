@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from functools import lru_cache
@@ -78,9 +79,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def forget_encoders() -> None:
-    """Free what a reused Python worker still remembers of an earlier operator."""
-    if encoder.cache_info().currsize:
-        encoder.cache_clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
+def release_memory() -> None:
+    """Give back what a reused Python worker still holds of an earlier operator: its
+    encoders, Arrow's spare memory, and, where the C library can, freed heap."""
+    encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
