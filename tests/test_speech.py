@@ -22,7 +22,7 @@ def test_occurrences_do_not_overlap(spark, text, term, at):
 
 
 def test_sentiment(spark):
-    words = SP.POSITIVE.split(), SP.NEGATIVE.split()
+    words = SP.POSITIVE, SP.NEGATIVE
     say = lambda s: spark.range(1).select(SP.lexicon_sentiment(F.lit(s), *words).alias("m")).first().m
     assert tuple(say("Estou ótimo, feliz")) == ("positive", 1.0)
     assert tuple(say("dor e febre, mas melhor"))[0] == "negative"

@@ -96,3 +96,9 @@ def test_forest_invariants(spark):
     cut = pick(isolation_forest(df, 0.1, 42, chunk=16))
     assert {k: v[1] for k, v in cut.items()} == {k: v[1] for k, v in whole.items()}
     assert pick(isolation_forest(df, 0.1, 43)) != whole
+
+
+def test_zero_is_loss_on_heart_rate_alone(spark):
+    rows = [("FHR", 0.0), ("UC", 0.0), ("FHR", None), ("UC", None), ("UC", float("nan")), ("FHR", 1.0), (None, 0.0)]
+    marked = VI.mark_signal_loss(spark.createDataFrame(rows, "channel string, x double"))
+    assert [r["invalid"] for r in marked.collect()] == [True, False, True, True, True, False, False]

@@ -22,11 +22,40 @@ CRITICAL = ["cystic_artery", "cystic_duct", "cystic_plate"]
 
 # Scene labels of clinical interest and what they stand for.
 SCENE = {
-    "object": "Wheelchair, Cane, Stretcher, Stethoscope, Monitor, Thermometer, X-Ray, Ct Scan, Ultrasound, First Aid, "
-    "Bed, Infant Bed, Shower, Toilet, Handrail, Guard Rail, Elevator",
-    "environment": "Hospital, Clinic, Operating Theatre, Waiting Room, Pharmacy, Bedroom, Bathroom, Corridor, Hallway, Reception",
-    "person": "Doctor, Nurse, Patient, Person",
-    "action": "Sitting, Standing, Walking",
+    "Wheelchair": "object",
+    "Cane": "object",
+    "Stretcher": "object",
+    "Stethoscope": "object",
+    "Monitor": "object",
+    "Thermometer": "object",
+    "X-Ray": "object",
+    "Ct Scan": "object",
+    "Ultrasound": "object",
+    "First Aid": "object",
+    "Bed": "object",
+    "Infant Bed": "object",
+    "Shower": "object",
+    "Toilet": "object",
+    "Handrail": "object",
+    "Guard Rail": "object",
+    "Elevator": "object",
+    "Hospital": "environment",
+    "Clinic": "environment",
+    "Operating Theatre": "environment",
+    "Waiting Room": "environment",
+    "Pharmacy": "environment",
+    "Bedroom": "environment",
+    "Bathroom": "environment",
+    "Corridor": "environment",
+    "Hallway": "environment",
+    "Reception": "environment",
+    "Doctor": "person",
+    "Nurse": "person",
+    "Patient": "person",
+    "Person": "person",
+    "Sitting": "action",
+    "Standing": "action",
+    "Walking": "action",
 }
 SCENE_CONFIDENCE = 0.70
 
@@ -150,7 +179,7 @@ def best_keyframe(
 
 
 def scene_dictionary(spark: SparkSession) -> DataFrame:
-    rows = [(name.strip(), kind) for kind, names in SCENE.items() for name in names.split(",")]
+    rows = list(SCENE.items())
     return literal_table(spark, rows, "name string, kind string")
 
 

@@ -23,24 +23,126 @@ SENTIMENT_THRESHOLD = 0.2
 JITTER_LIMIT, SHIMMER_LIMIT, HNR_LIMIT = 0.0104, 0.0381, 15.0
 
 # Clinical terms searched in transcripts.
-TERMS = """dor, doendo, doer, dói, dolor, dolorido, dolorida,
-falta de ar, dificuldade para respirar, chiado, cansaço, cansaço excessivo, fôlego curto,
-não consigo dobrar, não consigo mexer, travado, travada, inchado, inchada, inflamado, inflamada, rigidez, rígido,
-tontura, tonto, tonta, desmaio, desmaiar, formigamento, dormência, convulsão,
-dor no peito, palpitação, coração acelerado, pressão alta, pressão baixa,
-febre, febril, náusea, vômito, vomitar, suor frio, mal-estar, fraqueza"""
+TERMS = [
+    "dor",
+    "doendo",
+    "doer",
+    "dói",
+    "dolor",
+    "dolorido",
+    "dolorida",
+    "falta de ar",
+    "dificuldade para respirar",
+    "chiado",
+    "cansaço",
+    "cansaço excessivo",
+    "fôlego curto",
+    "não consigo dobrar",
+    "não consigo mexer",
+    "travado",
+    "travada",
+    "inchado",
+    "inchada",
+    "inflamado",
+    "inflamada",
+    "rigidez",
+    "rígido",
+    "tontura",
+    "tonto",
+    "tonta",
+    "desmaio",
+    "desmaiar",
+    "formigamento",
+    "dormência",
+    "convulsão",
+    "dor no peito",
+    "palpitação",
+    "coração acelerado",
+    "pressão alta",
+    "pressão baixa",
+    "febre",
+    "febril",
+    "náusea",
+    "vômito",
+    "vomitar",
+    "suor frio",
+    "mal-estar",
+    "fraqueza",
+]
 
 # Positive and negative words of the sentiment lexicon.
-POSITIVE = """bem otimo otima melhor melhorando tranquilo tranquila aliviado aliviada feliz calmo calma confortavel"""
-NEGATIVE = """mal dor doendo doer doi dolor dolorido dolorida doem
-pior piorando piorou ruim grave forte intensa intenso
-preocupado preocupada cansado cansada triste assustado assustada sofrendo nervoso nervosa ansioso ansiosa
-travado travada inchado inchada inflamado inflamada rigido rigida limitado limitada dificil dificuldade
-febre nausea vomito vomitar tontura tonto tonta fraqueza falta desmaio"""
+POSITIVE = [
+    "bem",
+    "otimo",
+    "otima",
+    "melhor",
+    "melhorando",
+    "tranquilo",
+    "tranquila",
+    "aliviado",
+    "aliviada",
+    "feliz",
+    "calmo",
+    "calma",
+    "confortavel",
+]
+NEGATIVE = [
+    "mal",
+    "dor",
+    "doendo",
+    "doer",
+    "doi",
+    "dolor",
+    "dolorido",
+    "dolorida",
+    "doem",
+    "pior",
+    "piorando",
+    "piorou",
+    "ruim",
+    "grave",
+    "forte",
+    "intensa",
+    "intenso",
+    "preocupado",
+    "preocupada",
+    "cansado",
+    "cansada",
+    "triste",
+    "assustado",
+    "assustada",
+    "sofrendo",
+    "nervoso",
+    "nervosa",
+    "ansioso",
+    "ansiosa",
+    "travado",
+    "travada",
+    "inchado",
+    "inchada",
+    "inflamado",
+    "inflamada",
+    "rigido",
+    "rigida",
+    "limitado",
+    "limitada",
+    "dificil",
+    "dificuldade",
+    "febre",
+    "nausea",
+    "vomito",
+    "vomitar",
+    "tontura",
+    "tonto",
+    "tonta",
+    "fraqueza",
+    "falta",
+    "desmaio",
+]
 
 
 def default_terms() -> list[str]:
-    return [t.strip() for t in TERMS.replace("\n", " ").split(",")]
+    return list(TERMS)
 
 
 def assemble_transcript(segments: DataFrame, threshold: float = NO_SPEECH) -> DataFrame:

@@ -37,16 +37,18 @@ SPO2_LOW, SUSTAINED = 90.0, 0.5
 FEATURES = ["mean", "std", "min", "max", "baseline", "short_term_variability", "deceleration_count"]
 
 
-def mark_signal_loss(samples: DataFrame, mode: str = "ctg") -> DataFrame:
-    """``ctg``: zero or NaN is loss; ``bedside``: NaN or not positive is loss."""
+def mark_signal_loss(samples: DataFrame, mode: str = "ctg", zero_channels: tuple[str, ...] = ("FHR",)) -> DataFrame:
+    """``ctg``: NaN is loss, and so is zero on ``zero_channels``; on others, such as
+    contractions, zero is a genuine value. ``bedside``: NaN or not positive is loss. A
+    null sample is loss in either mode."""
     x = F.col("x")
     if mode == "ctg":
-        lost = (x == 0) | F.isnan(x)
+        lost = F.isnan(x) | ((x == 0) & F.coalesce(F.col("channel").isin(*zero_channels), F.lit(False)))
     elif mode == "bedside":
         lost = F.isnan(x) | (x <= 0)
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    return samples.withColumn("invalid", lost)
+    return samples.withColumn("invalid", x.isNull() | F.coalesce(lost, F.lit(False)))
 
 
 def invalid_runs(marked: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
