@@ -25,9 +25,13 @@ def local_session(cores: int = 8, app: str = "wardwatch", shuffle_partitions: in
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for cut lineage: the cluster's setting, or a scratch one if unset."""
+    """Shared folder for cut lineage: the cluster's setting. Only a local session, as in
+    tests, may do without; executors elsewhere would not see a scratch folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="wardwatch-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     spark.sparkContext.setCheckpointDir(folder)
