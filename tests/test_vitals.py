@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardwatch.operators import vitals as VI
-from wardwatch.operators.forest import isolation_forest
+from wardwatch.operators.forest import drawn_windows, isolation_forest
 
 SAMPLES = "record_id string, channel string, idx long, x double"
 WINDOWS = "record_id string, channel string, k long, mean double, valid boolean"
@@ -98,6 +98,28 @@ def test_forest_invariants(spark):
     assert pick(isolation_forest(df, 0.1, 43)) != whole
 
 
+def test_forest_of_a_long_record_draws_from_all_windows(spark):
+    values = [F.rand(i).alias(f) for i, f in enumerate(VI.FEATURES)]
+    df = spark.range(20_500).select(F.lit("r").alias("record_id"), F.lit("FHR").alias("channel"), F.col("id").alias("k"), F.lit(True).alias("valid"), *values)
+    drawn = drawn_windows(df.withColumn("_n", F.lit(20_500)), 1, 100, 256).selectExpr("k", "explode(_trees) AS tree")
+    per_tree = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+    assert len(per_tree) == 100 and min(per_tree) >= 256
+    assert drawn.select("k").distinct().count() > 15_000
+    out = isolation_forest(df, 0.1, 1, trees=20)
+    assert out.filter("score IS NULL OR flag IS NULL").count() == 0 and out.filter("flag").count() == 2050
+
+
+def test_composing_fails_on_a_declared_record_without_samples(spark):
+    order = spark.createDataFrame([("t", 1, "a"), ("t", 2, "b")], "timeline_id string, ord long, record_id string")
+    records = spark.createDataFrame([("a", 4.0, 7.3), ("b", 4.0, 7.0)], "record_id string, fs double, ph double")
+    some = spark.createDataFrame([("a", "FHR", 0, 1.0)], SAMPLES)
+    for part in VI.compose_timeline(some, records, order):
+        with pytest.raises(Exception, match="declared record without samples: b"):
+            part.collect()
+    whole = some.union(spark.createDataFrame([("b", "FHR", 0, 2.0)], SAMPLES))
+    assert [r["ph"] for r in VI.compose_timeline(whole, records, order)[2].collect()] == [7.0]
+
+
 def test_zero_is_loss_on_heart_rate_alone(spark):
     rows = [("FHR", 0.0), ("UC", 0.0), ("FHR", None), ("UC", None), ("UC", float("nan")), ("FHR", 1.0), (None, 0.0)]
     marked = VI.mark_signal_loss(spark.createDataFrame(rows, "channel string, x double"))

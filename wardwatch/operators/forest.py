@@ -1,9 +1,10 @@
 """Isolation forest per record (Liu, Ting and Zhou, 2008), grown inside Spark tasks.
 
-Every record gets its own forest. A bounded random pool of its valid windows,
-chosen by hash and therefore the same on every run and partitioning, travels to
-each chunk of the record; the task grows the forest from the pool and scores the
-chunk. A hot record is thus scored by as many tasks as it has chunks.
+Every record gets its own forest, and every tree its own draw from all valid windows
+of the record. Draws are made by hash, and are therefore the same on every run and
+partitioning; only drawn windows are shuffled to where the record's forest is grown,
+once, as a table of nodes. The nodes travel to each chunk of the record, so a hot
+record is scored by as many tasks as it has chunks.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from wardwatch.plans.quantiles import exact_quantile
 MIN_WINDOWS = 10
 TREES = 100
 SUBSAMPLE = 256
-POOL = 4096
+SPARE = 8.0  # standard deviations drawn beyond the subsample
 CHUNK_WINDOWS = 20_000
 
 
@@ -38,55 +39,74 @@ def average_path(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow_and_score(pool: np.ndarray, rows: np.ndarray, seed: int, trees: int, subsample: int) -> np.ndarray:
-    """Scores of ``rows`` under a forest grown on ``pool``.
+def grow(x: np.ndarray, tree: np.ndarray, trees: int, depth: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
+    """Nodes of a forest: feature, cut, left child (-1 at a leaf; the right one follows
+    it) and the path length that a row ending there has. Node i is the root of tree i.
 
-    All trees are grown together, one level per step: points carry the number of
-    their (tree, node); a level draws a feature and a cut per node, and both the
-    training points and the scored rows move to the child on their side.
+    All trees are grown together, one level per step: points carry the number of their
+    node, and a level draws a feature and a cut per node.
     """
-    rng = np.random.default_rng(seed)
-    psi = min(subsample, len(pool))
-    depth = int(np.ceil(np.log2(max(psi, 2))))
-    picks = np.argsort(rng.random((trees, len(pool))), axis=1, kind="stable")[:, :psi]
-    x = pool[picks.ravel()]
-    node = np.repeat(np.arange(trees), psi)
-    at = np.tile(np.arange(trees)[:, None], (1, len(rows)))
-    path = np.zeros((trees, len(rows)))
-    live = np.ones((trees, len(rows)), dtype=bool)
-    n_nodes = trees
+    node, n_nodes, base = tree, trees, 0
+    made: dict[str, list[np.ndarray]] = {"feature": [], "cut": [], "left": [], "path": []}
     for level in range(depth + 1):
         size = np.bincount(node, minlength=n_nodes)
-        order = np.argsort(node, kind="stable")
-        filled = np.flatnonzero(size)
-        starts = np.concatenate([[0], np.cumsum(size[filled])[:-1]])
         low = np.full((n_nodes, x.shape[1]), np.inf)
         high = np.full((n_nodes, x.shape[1]), -np.inf)
-        low[filled] = np.minimum.reduceat(x[order], starts, axis=0)
-        high[filled] = np.maximum.reduceat(x[order], starts, axis=0)
+        filled = np.flatnonzero(size)
+        if len(filled):
+            order = np.argsort(node, kind="stable")
+            starts = np.concatenate([[0], np.cumsum(size[filled])[:-1]])
+            low[filled] = np.minimum.reduceat(x[order], starts, axis=0)
+            high[filled] = np.maximum.reduceat(x[order], starts, axis=0)
         varies = high > low
         n_var = varies.sum(axis=1)
         splits = (size > 1) & (n_var > 0) if level < depth else np.zeros(n_nodes, dtype=bool)
-        ended = live & ~splits[at]
-        path[ended] = level + average_path(size)[at[ended]]
-        live &= ~ended
-        if not splits.any():
-            break
         nth = (rng.random(n_nodes) * np.maximum(n_var, 1)).astype(int)
         feature = np.argmax(np.cumsum(varies, axis=1) > nth[:, None], axis=1)
         lo, hi = low[np.arange(n_nodes), feature], high[np.arange(n_nodes), feature]
-        cut = np.where(splits, lo + rng.random(n_nodes) * np.where(splits, hi - lo, 0.0), np.nan)
-        left = np.full(n_nodes, -1)
-        left[splits] = 2 * np.arange(splits.sum())
+        cut = np.where(splits, lo + rng.random(n_nodes) * np.where(splits, hi - lo, 0.0), 0.0)
+        child = np.full(n_nodes, -1)
+        child[splits] = 2 * np.arange(splits.sum())
+        made["feature"].append(feature)
+        made["cut"].append(cut)
+        made["left"].append(np.where(splits, base + n_nodes + child, -1))
+        made["path"].append(level + average_path(size))
         keep = splits[node]
         x, node = x[keep], node[keep]
-        node = left[node] + (x[np.arange(len(x)), feature[node]] > cut[node])
-        t, r = np.nonzero(live)
-        here = at[t, r]
-        at[t, r] = left[here] + (rows[r, feature[here]] > cut[here])
-        at[~live] = 0
+        node = child[node] + (x[np.arange(len(x)), feature[node]] > cut[node])
+        base += n_nodes
         n_nodes = 2 * int(splits.sum())
-    return np.power(2.0, -path.mean(axis=0) / average_path(np.array([psi]))[0])
+        if not n_nodes:
+            break
+    return {name: np.concatenate(parts) for name, parts in made.items()}
+
+
+def score(nodes: dict[str, np.ndarray], rows: np.ndarray, trees: int, psi: int, block: int = 2048) -> np.ndarray:
+    """Anomaly score of each row, in blocks of rows."""
+    out = [np.array([], dtype=float)]
+    for start in range(0, len(rows), block):
+        part = rows[start : start + block]
+        at = np.tile(np.arange(trees)[:, None], (1, len(part)))
+        t, r = np.nonzero(nodes["left"][at] >= 0)
+        while len(t):
+            here = at[t, r]
+            at[t, r] = nodes["left"][here] + (part[r, nodes["feature"][here]] > nodes["cut"][here])
+            inner = nodes["left"][at[t, r]] >= 0
+            t, r = t[inner], r[inner]
+        out.append(np.power(2.0, -nodes["path"][at].mean(axis=0) / average_path(np.array([psi]))[0]))
+    return np.concatenate(out)
+
+
+def drawn_windows(known: DataFrame, seed: int, trees: int, subsample: int) -> DataFrame:
+    """Windows that at least one tree may use, with those trees in ``_trees``. Each tree
+    draws every window of a record (``_n`` of them) by its own hash, a few more than
+    ``subsample`` on average, so that enough remain after chance has played."""
+    wanted = dbl(subsample + SPARE * subsample**0.5)
+    own = known.withColumn("_h", F.xxhash64(*KEYS, "k", F.lit(seed)))
+    unit = lambda t: F.pmod(F.xxhash64("_h", t), F.lit(1 << 53)) / dbl(1 << 53)
+    numbers = F.array(*[F.lit(t).cast("short") for t in range(trees)])
+    picked = own.withColumn("_trees", F.filter(numbers, lambda t: unit(t) * F.col("_n") < wanted))
+    return picked.filter(F.size("_trees") > 0).drop("_h")
 
 
 def isolation_forest(
@@ -107,39 +127,48 @@ def isolation_forest(
     )
     known = features.join(counts, list(KEYS), "left")
     trained = F.col("valid") & (F.coalesce("_n", F.lit(0)) >= MIN_WINDOWS)
-    share = F.pmod(F.xxhash64(*KEYS, "k", F.lit(seed)), F.lit(1 << 53)) / dbl(1 << 53)
-    wanted = dbl(POOL + 6 * POOL**0.5)
-    home, end = F.floor(F.col("k") / chunk).cast("long"), F.floor(F.col("_last") / chunk).cast("long")
-    drawn = known.filter(trained).select(
-        *features.columns, share.alias("_u"), (share * F.col("_n") < wanted).alias("_pool"), home.alias("_home"), end.alias("_max")
-    )
     names = features.columns
     types = {f.name: f.dataType.simpleString() for f in features.schema}
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in names], "score double", "flag boolean"])
+    keys = ", ".join(f"`{c}` {types[c]}" for c in KEYS)
+    depth = int(np.ceil(np.log2(max(subsample, 2))))
 
-    def score_part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pool = pdf[pdf["_pool"]].sort_values(["_u", "k"]).head(POOL)
-        own = pdf[pdf["_home"] == pdf["_part"]].sort_values("k")
+    def grow_record(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k", kind="stable")
         record = "|".join(str(pdf[c].iloc[0]) for c in KEYS)
-        mixed = int.from_bytes(hashlib.sha256(f"{seed}|{record}".encode()).digest()[:8], "little")
-        train, rows = pool[FEATURES].to_numpy(dtype=float), own[FEATURES].to_numpy(dtype=float)
-        blocks = [grow_and_score(train, rows[i : i + 2048], mixed, trees, subsample) for i in range(0, len(rows), 2048)]
-        score = np.concatenate(blocks) if blocks else np.array([], dtype=float)
-        limit = np.quantile(score, 1.0 - contamination) if len(score) else np.nan
-        return own[names].assign(score=score, flag=score > limit)
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}|{record}".encode()).digest()[:8], "little"))
+        row = np.repeat(np.arange(len(pdf)), pdf["_trees"].map(len))
+        tree = np.concatenate(pdf["_trees"].to_list()).astype(int)
+        order = np.lexsort((rng.random(len(tree)), tree))
+        row, tree = row[order], tree[order]
+        kept = np.arange(len(tree)) - np.searchsorted(tree, tree) < subsample
+        row, tree = row[kept], tree[kept]
+        psi = min(subsample, int(pdf["_n"].iloc[0]))
+        levels = min(depth, int(np.ceil(np.log2(max(psi, 2)))))
+        nodes = grow(pdf[FEATURES].to_numpy(dtype=float)[row], tree, trees, levels, rng)
+        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in KEYS}, "_last": pdf["_last"].iloc[0], "psi": psi, **nodes}])
+
+    def score_part(own: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return own[names].assign(score=0.0)
+        one = forest.iloc[0]
+        nodes = {c: np.asarray(one[c]) for c in ("feature", "cut", "left", "path")}
+        return own[names].assign(score=score(nodes, own[FEATURES].to_numpy(dtype=float), trees, int(one["psi"])))
 
     # a fixed partition count keeps small inputs from being coalesced into few Python workers
     parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    # a record of one part sees all its scores; only longer ones need the counted quantile
-    short = drawn.filter("_max = 0").withColumn("_part", F.lit(0).cast("long"))
-    short = short.repartition(parts, *KEYS, "_part").groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
-    targets = F.when(F.col("_pool"), F.sequence(F.lit(0).cast("long"), F.col("_max"))).otherwise(F.array("_home"))
-    long = drawn.filter("_max > 0").withColumn("_part", F.explode(targets))
-    long = long.repartition(parts, *KEYS, "_part").groupBy(*KEYS, "_part").applyInPandas(score_part, schema)
-    limit = exact_quantile(long, KEYS, "score", 1.0 - contamination, 0.0, 1.0)
-    long = long.join(limit, list(KEYS)).select(*names, "score", gt_num(F.col("score"), F.col("quantile")).alias("flag"))
+    used = known.filter(trained)
+    drawn = drawn_windows(used.select(*KEYS, "k", *FEATURES, "_n", "_last"), seed, trees, subsample).repartition(parts, *KEYS)
+    forests = drawn.groupBy(*KEYS).applyInPandas(
+        grow_record, f"{keys}, _last long, psi int, feature array<int>, cut array<double>, left array<int>, path array<double>"
+    )
+    forests = forests.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / chunk).cast("long"))))
+    own = used.select(*names, F.floor(F.col("k") / chunk).cast("long").alias("_part")).repartition(parts, *KEYS, "_part")
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in names], "score double"])
+    scored = own.groupBy(*KEYS, "_part").cogroup(forests.groupBy(*KEYS, "_part")).applyInPandas(score_part, schema)
+    scored = written(scored)
+    limit = exact_quantile(scored, KEYS, "score", 1.0 - contamination, 0.0, 1.0)
+    scored = scored.join(limit, list(KEYS)).select(*names, "score", gt_num(F.col("score"), F.col("quantile")).alias("flag"))
     rest = known.filter(~trained).select(
         *names, F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flag")
     )
-    return short.unionByName(long).unionByName(rest)
+    return scored.unionByName(rest)
