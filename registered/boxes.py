@@ -54,14 +54,15 @@ cte(
 MATCH = """SELECT class, tp, fp, fn, tp + fn AS support, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS precision, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS recall,
     round(2 * tp / nullif(2 * tp + fp + fn, 0)::DOUBLE, 6) AS f1 FROM (
     SELECT class, coalesce(m, 0)::BIGINT AS tp, coalesce(nd, 0) - coalesce(m, 0)::BIGINT AS fp, coalesce(ng, 0) - coalesce(m, 0)::BIGINT AS fn FROM (VALUES ('A'), ('N'), ('R'), ('X')) AS c(class)
-    LEFT JOIN (SELECT class, count(*) AS nd FROM boxes WHERE status = 'O' AND image IN (SELECT image FROM boxes WHERE status = 'F') GROUP BY 1) USING (class)
+    LEFT JOIN (SELECT class, count(*) AS nd FROM boxes WHERE status = 'O' AND image IN (SELECT image FROM boxes WHERE status = 'F' UNION SELECT o_orderkey FROM orders WHERE o_orderpriority < '3') GROUP BY 1) USING (class)
     LEFT JOIN (SELECT class, count(*) AS ng FROM boxes WHERE status = 'F' GROUP BY 1) USING (class)
     LEFT JOIN (SELECT class, sum(n) AS m FROM (SELECT image, class, max(len(list_filter(taken, lambda t: t IS NOT NULL))) AS n FROM walk GROUP BY 1, 2) GROUP BY 1) USING (class))"""
 
 
 @fam.add("box_match_detections", stmt(MATCH, "boxes", "walk").replace("WITH ", "WITH RECURSIVE ", 1))
 def _match(spark, sf):
-    out = BX.match_detections(truths(spark, sf), detections(spark, sf), ["A", "N", "R", "X"])
+    urgent = V.table(spark, sf, "orders").filter("o_orderpriority < '3'").select(F.col("o_orderkey").alias("image"))
+    out = BX.match_detections(truths(spark, sf), detections(spark, sf), ["A", "N", "R", "X"], annotated=urgent)
     return out.select("class", "tp", "fp", "fn", "support", *[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1"]])
 
 

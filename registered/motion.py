@@ -514,15 +514,14 @@ def _main(spark, sf):
 
 def peaks(spark, sf) -> DataFrame:
     t = timelines(spark, sf)
-    every = t.filter(F.col("frame_idx") % 4 == 0)
     ident = F.concat_ws("-", "seq_id", "track_id", "frame_idx")
     lost = F.when(F.col("frame_idx") % 8 == 0, F.col("track_id")).otherwise(F.lit(7).cast("long"))
-    return every.select(ident.alias("finding_id"), "seq_id", lost.alias("track_id"), F.col("frame_idx").alias("peak_frame"))
+    return t.select(ident.alias("finding_id"), "seq_id", lost.alias("track_id"), F.col("frame_idx").alias("peak_frame"))
 
 
 @both(
     "mot_evidence_frame",
-    """WITH fd AS (SELECT concat_ws('-', seq_id, track_id, frame_idx) AS finding_id, seq_id, CASE WHEN frame_idx % 8 = 0 THEN track_id ELSE 7 END AS t, frame_idx AS pk FROM tl WHERE frame_idx % 4 = 0),
+    """WITH fd AS (SELECT concat_ws('-', seq_id, track_id, frame_idx) AS finding_id, seq_id, CASE WHEN frame_idx % 8 = 0 THEN track_id ELSE 7 END AS t, frame_idx AS pk FROM tl),
     nr AS (SELECT finding_id, frame_idx, pose_idx FROM fd JOIN tl ON tl.seq_id = fd.seq_id AND tl.track_id = t AND frame_idx >= pk AND frame_idx < pk + 6
       QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY mean_y DESC, frame_idx) = 1)
     SELECT fd.finding_id, fd.seq_id, coalesce(nr.frame_idx, CASE WHEN f.p IS NOT NULL THEN pk END) AS frame_idx, coalesce(nr.pose_idx, f.p) AS pose_idx FROM fd LEFT JOIN nr USING (finding_id)

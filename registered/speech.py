@@ -327,7 +327,7 @@ def _split(spark, sf):
 @fam.add("spk_classify_cycles")
 def _classify(spark, sf):
     train, test = SP.group_split(patient_cycles(spark, sf), 0.3, 42)
-    model = SP.train_cycle_classifier(train, trees=200, seed=42, depth=8)
+    model = SP.train_cycle_classifier(train, trees=200, seed=42)
     return SP.predict_cycles(model, test).select("patient_id", "cycle_index", "label", "predicted_label", F.round("confidence", 6).alias("confidence"))
 
 
@@ -381,18 +381,19 @@ def _cycle_evidence(spark, sf):
     ).replace(
         "WITH ",
         """WITH consult_acoustic AS (SELECT conv_id::VARCHAR AS recording_id, max(length(text)) / 1000.0::DOUBLE AS jitter, min(length(text)) / 1000.0::DOUBLE AS shimmer,
-        max(turn)::DOUBLE AS hnr, (conv_id % 7)::DOUBLE AS pause, (conv_id % 5)::DOUBLE AS rate FROM conversations WHERE conv_id % 4 <> 0 GROUP BY conv_id), """,
+        max(turn)::DOUBLE AS hnr, (conv_id % 7)::DOUBLE AS pause, (conv_id % 5)::DOUBLE AS rate FROM conversations GROUP BY conv_id HAVING min(length(text)) >= 40), """,
         1,
     ),
 )
 def _consult(spark, sf):
-    c = V.table(spark, sf, "conversations").filter(F.col("conv_id") % 4 != 0)
+    c = V.table(spark, sf, "conversations")
     acoustic = c.groupBy("conv_id").agg(
         (F.max(F.length("text")) / dbl(1000)).alias("jitter_local"),
         (F.min(F.length("text")) / dbl(1000)).alias("shimmer_local"),
         F.max("turn").cast("double").alias("hnr_db"),
     )
-    acoustic = acoustic.select(
+    # a recording with a turn too short to measure has no acoustic row
+    acoustic = acoustic.filter("shimmer_local >= 0.04D").select(
         F.col("conv_id").cast("string").alias("recording_id"),
         F.lit("run").alias("run_id"),
         "jitter_local",

@@ -180,7 +180,7 @@ def _tracks(spark, sf):
 
 @fam.add(
     "str_evidence_sink",
-    """SELECT 'vitals' AS feature, 'run-' || (user_id % 3) AS run_id, 'e' || (event_id // 2) AS evidence_id, count(*) > 0 AS stored FROM events GROUP BY 1, 2, 3""",
+    """SELECT 'vitals' AS feature, 'run-' || (user_id % 3) AS run_id, 'e' || (event_id // 2) AS evidence_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2, 3""",
 )
 def _sink(spark, sf):
     ev = event_stream(spark, sf)
@@ -189,8 +189,9 @@ def _sink(spark, sf):
         F.concat(F.lit("run-"), (F.col("user_id") % 3).cast("string")).alias("run_id"),
         F.concat(F.lit("e"), F.floor(F.col("event_id") / 2).cast("string")).alias("evidence_id"),
         "value",
+        "event_id",
     )
     root = f"{ensure_checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
-    ST.stream_evidence_sink(rows, f"{root}/out", f"{root}/log").trigger(availableNow=True).start().awaitTermination()
-    out = ST.read_evidence_sink(spark, f"{root}/out")
-    return out.select("feature", "run_id", "evidence_id", F.col("value").isNotNull().alias("stored"))
+    ST.stream_evidence_sink(rows, f"{root}/out", f"{root}/log", ["event_id"]).trigger(availableNow=True).start().awaitTermination()
+    out = ST.read_evidence_sink(spark, f"{root}/out", ["event_id"])
+    return out.select("feature", "run_id", "evidence_id", "value")

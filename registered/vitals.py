@@ -163,9 +163,9 @@ def _features(spark, sf):
     return features(spark, sf).select("record_id", "k", "valid", *[F.round(f, 6).alias(f) for f in VI.FEATURES])
 
 
-@fam.add("vit_deceleration_count", stmt("SELECT record_id, k, deceleration_count FROM features WHERE deceleration_count > 0", "features"))
+@fam.add("vit_deceleration_count", stmt("SELECT record_id, k, deceleration_count FROM features", "features"))
 def _decel(spark, sf):
-    return features(spark, sf).filter("deceleration_count > 0").select("record_id", "k", "deceleration_count")
+    return features(spark, sf).select("record_id", "k", "deceleration_count")
 
 
 @fam.add("vit_rolling_zscore", stmt("SELECT record_id, k, round(score, 6) AS score, flag FROM zs", "zs"))

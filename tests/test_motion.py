@@ -92,6 +92,9 @@ def test_match_cases(table):
     near = table([("i", "a", "d1", 102.0, 102.0, 48.0, 48.0, 0.9), ("i", "a", "d2", 500.0, 500.0, 20.0, 20.0, 0.8), ("zz", "a", "d3", 1.0, 1.0, 1.0, 1.0, 0.9)], boxes)
     got = {r["class"]: (r.tp, r.fp, r.fn, r.precision, r.support) for r in BX.match_detections(truth, near, ["a", "b", "c"]).collect()}
     assert got == {"a": (1, 1, 0, 0.5, 1), "b": (0, 0, 1, None, 1), "c": (0, 0, 0, None, 0)}
+    empty = table([("zz",)], "image string")
+    got = {r["class"]: (r.tp, r.fp, r.fn) for r in BX.match_detections(truth, near, ["a"], annotated=empty).collect()}
+    assert got == {"a": (1, 2, 0)}
 
 
 def box_iou(a, b):

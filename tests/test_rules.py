@@ -86,6 +86,11 @@ def test_evidence_is_idempotent(spark, tmp_path, table):
     back = spark.read.json(str(tmp_path / "out")).collect()
     assert sorted((r.feature, r.source_record_id, r.severity, r.status) for r in back) == [("video", "src", "MEDIUM", "positive"), ("vitals", "newer", "MEDIUM", "positive")]
 
+    second = table([("vitals", "r1", "e2", "src", 1, 7), ("vitals", "r1", "e1", "last", 1, 8)], "feature string, run_id string, evidence_id string, source_record_id string, seq long, extra long")
+    evidence.write_evidence(evidence.evidence_rows(second), str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out")).collect()
+    assert sorted((r.run_id, r.evidence_id, r.source_record_id) for r in back) == [("r1", "e1", "last"), ("r1", "e2", "src"), ("r2", "e1", "src")]
+
 
 def test_metric_and_transition_sinks(spark, tmp_path, table):
     evidence.write_metrics(table([("z", 1.0)], "detector string, f1 double"), str(tmp_path / "m"))

@@ -33,17 +33,9 @@ NEGATIVE = ["of", "ou", "und", "la"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, spread over the cores when its few files give fewer splits than that
-    (a tiny table in one row group would otherwise keep one core busy)."""
+    """A table as Parquet gives it; its splits follow spark.sql.files.*."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores and small(df) else df
-
-
-def small(df: DataFrame, limit: int = 256 << 20) -> bool:
-    """Whether the planner's size estimate, from the file sizes, is under ``limit``."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < limit
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def micros(ts: str) -> Column:

@@ -121,12 +121,14 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
 
 
 def match_detections(
-    truths: DataFrame, detections: DataFrame, classes: Sequence[str] | None = None, limit: float = IOU_LIMIT, cell: float = CELL
+    truths: DataFrame, detections: DataFrame, classes: Sequence[str] | None = None, limit: float = IOU_LIMIT, cell: float = CELL, annotated: DataFrame | None = None
 ) -> DataFrame:
-    """Quality per class from greedy matching. Detections on images without any truth
-    row in ``truths`` are ignored; asked classes without rows have support 0."""
-    annotated = truths.select("image").distinct()
-    usable = detections.join(annotated, "image", "left_semi")
+    """Quality per class from greedy matching. Images count as annotated if they are in
+    ``annotated`` (image), which names those annotated as empty, or have a truth row;
+    detections elsewhere are ignored. Asked classes without rows have support 0."""
+    images = truths.select("image")
+    images = (images if annotated is None else images.union(annotated.select("image"))).distinct()
+    usable = detections.join(images, "image", "left_semi")
     matched = greedy_matches(overlapping_pairs(usable, truths, limit, cell)).groupBy("class").agg(F.count(F.lit(1)).alias("tp"))
     n_det = usable.groupBy("class").agg(F.count(F.lit(1)).alias("_d"))
     n_truth = truths.groupBy("class").agg(F.count(F.lit(1)).alias("_g"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wardwatch.functions.guards import dbl, ratio
 from wardwatch.functions.text import exact_round, fixed, normalize
 from wardwatch.operators.vitals import window_numbers
-from wardwatch.plans.joins import interval_join, join_small
+from wardwatch.plans.joins import interval_join
 from wardwatch.plans.ordered import DEFAULT_CHUNK, carried, chunk_window, core_rows, dense_index, with_halo
 
 CONTEXT = 40
@@ -231,7 +231,7 @@ def fatigue_relative(rows: DataFrame, threshold: float, by: str = "run_id") -> D
     for n, sign in FEATURES.items():
         z = F.when(F.col(f"_l_{n}") == F.col(f"_h_{n}"), dbl(0)).otherwise((F.col(n) - F.col(f"_m_{n}")) / F.col(f"_s_{n}"))
         total = total + z * dbl(sign)
-    out = join_small(rows, stats, [by]).withColumn("score", total / dbl(len(FEATURES)))
+    out = rows.join(stats, [by]).withColumn("score", total / dbl(len(FEATURES)))
     return out.select(*rows.columns, "score", (F.col("score") > dbl(threshold)).alias("fatigued"))
 
 
@@ -423,8 +423,9 @@ def group_split(cycles: DataFrame, test_size: float = 0.3, seed: int = 42) -> tu
     return cycles.join(test, "patient_id", "left_anti"), cycles.join(test, "patient_id", "left_semi")
 
 
-def train_cycle_classifier(train: DataFrame, label: str = "label", features: str = "features", trees: int = 200, seed: int = 42, depth: int = 10):
-    """Random forest over array features; rows weigh inversely to their class size."""
+def train_cycle_classifier(train: DataFrame, label: str = "label", features: str = "features", trees: int = 200, seed: int = 42, depth: int = 30):
+    """Random forest over array features; rows weigh inversely to their class size.
+    Trees end at ``depth`` levels, by default the deepest that Spark grows."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer

@@ -258,11 +258,14 @@ def compose_timeline(samples: DataFrame, records: DataFrame, order: DataFrame) -
     """Concatenate records in the declared order ``(timeline_id, ord, record_id)``.
 
     Returns the re-indexed samples, the provenance segments (half-open ranges), and
-    one row per timeline with the rate of its first record and its lowest pH.
+    one row per timeline with the rate of its first record and its lowest pH. Each of
+    them fails when a declared record has no samples; ``missing_records`` lists those.
     """
     lengths = samples.groupBy("record_id").agg((F.max("idx") + 1).alias("_n"))
     upto = Window.partitionBy("timeline_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    placed = order.join(lengths, "record_id").withColumn("start_idx", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    absent = F.raise_error(F.concat(F.lit("declared record without samples: "), F.col("record_id"))).cast("long")
+    declared = order.join(lengths, "record_id", "left").withColumn("_n", F.coalesce("_n", absent))
+    placed = declared.withColumn("start_idx", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     provenance = placed.select(
         "timeline_id", "ord", "record_id", "start_idx", (F.col("start_idx") + F.col("_n")).alias("end_idx")
     )
@@ -270,7 +273,8 @@ def compose_timeline(samples: DataFrame, records: DataFrame, order: DataFrame) -
         F.col("timeline_id").alias("record_id"), "channel", (F.col("start_idx") + F.col("idx")).alias("idx"), "x"
     )
     composed = (
-        order.join(records, "record_id")
+        declared.filter("_n > 0")
+        .join(records, "record_id")
         .groupBy(F.col("timeline_id").alias("record_id"))
         .agg(F.min_by("fs", "ord").alias("fs"), F.min("ph").alias("ph"))
     )

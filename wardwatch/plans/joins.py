@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardwatch.plans.materialise import written
-
 
 def interval_join(
     points: DataFrame,
@@ -43,14 +41,3 @@ def interval_join(
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_k_{k}"))
     return p.join(spread, cond, how).drop("_pb", "_bucket", *[f"_k_{k}" for k in keys])
-
-
-def join_small(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = 100_000) -> DataFrame:
-    """Join to a table that is expected to be small.
-
-    The small side is written once and counted. Up to ``limit`` rows it is broadcast,
-    so the big side is not shuffled; beyond, it is an ordinary shuffle join, whose
-    hot keys adaptive execution splits.
-    """
-    kept = written(small)
-    return big.join(F.broadcast(kept) if kept.count() <= limit else kept, list(keys), how)

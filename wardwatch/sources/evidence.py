@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardwatch.functions.guards import dbl
+from wardwatch.plans.materialise import written as materialised
 
 DEFAULTS = {
     "modality": "",
@@ -32,9 +35,16 @@ def evidence_rows(findings: DataFrame, written: str = "seq", root: str = "output
 
 
 def write_evidence(rows: DataFrame, path: str, fmt: str = "json") -> None:
-    """Partitioned by feature and run; a re-run replaces only the runs it contains."""
+    """Partitioned by feature and run. An id written again replaces the same id of its
+    run; other ids of the run, and all other runs, stay. A run has one writer at a time."""
+    old = stored_evidence(rows, path, fmt)
+    if old is not None:
+        runs = rows.select("feature", "run_id").distinct()
+        rest = old.join(runs, ["feature", "run_id"], "left_semi").join(rows.select(*KEY), KEY, "left_anti")
+        # written aside first: the folders that are read are overwritten next
+        rows = materialised(rows.unionByName(rest, allowMissingColumns=True))
     (
-        rows.repartition("feature", "run_id", F.pmod(F.hash("evidence_id"), F.lit(16)))
+        rows.hint("rebalance", "feature", "run_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("feature", "run_id")
@@ -43,6 +53,21 @@ def write_evidence(rows: DataFrame, path: str, fmt: str = "json") -> None:
     )
 
 
+def stored_evidence(rows: DataFrame, path: str, fmt: str) -> DataFrame | None:
+    """What ``path`` holds, in the types of ``rows``; None where nothing is written yet."""
+    reader = rows.sparkSession.read.format(fmt)
+    try:
+        found = reader.load(path).schema
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    if "evidence_id" not in found.names:
+        return None
+    known = {f.name: f for f in rows.schema}
+    return reader.schema(T.StructType([known.get(f.name, f) for f in found])).load(path)
+
+
 def resolve_evidence(refs: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References that resolve, with the evidence columns, and those that do not."""
     return refs.join(evidence, KEY), refs.join(evidence.select(*KEY), KEY, "left_anti")

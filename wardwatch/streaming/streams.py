@@ -19,7 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from wardwatch.operators import fusion as FU
 from wardwatch.operators import prescriptions as RX
 from wardwatch.operators.tracking import Tracker
-from wardwatch.sources.evidence import write_evidence
+from wardwatch.sources.evidence import KEY, write_evidence
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -283,21 +283,24 @@ def stream_tracks(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("seq_id").applyInPandasWithState(update, out, store, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_evidence_sink(rows: DataFrame, path: str, checkpoint: str):
+def stream_evidence_sink(rows: DataFrame, path: str, checkpoint: str, order: list[str]):
     """Writer that appends every micro-batch under its own batch number, so a batch
-    run again after a failure replaces what it wrote before. Start it to run; read
-    it back with ``read_evidence_sink``."""
+    run again after a failure replaces what it wrote before. Of the rows of one id in a
+    batch the last in ``order`` is written. Start it to run; read it back with
+    ``read_evidence_sink``."""
+    body = [c for c in rows.columns if c not in KEY]
 
     def save(batch: DataFrame, number: int) -> None:
+        batch = batch.groupBy(*KEY).agg(F.max_by(F.struct(*body), F.struct(*order)).alias("_b")).select(*KEY, "_b.*")
         write_evidence(batch.withColumn("batch", F.lit(number)), f"{path}/batch={number}", "parquet")
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def read_evidence_sink(spark: SparkSession, path: str) -> DataFrame:
-    """All evidence written by the sink, one row per id: the last batch wins."""
+def read_evidence_sink(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
+    """All evidence written by the sink, one row per id: the last in ``order``, and of
+    equal ones that of the last batch."""
     rows = spark.read.parquet(f"{path}/batch=*")
-    key = ["feature", "run_id", "evidence_id"]
-    body = [c for c in rows.columns if c not in (*key, "batch")]
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*body), "batch").alias("_b"))
-    return last.select(*key, "_b.*")
+    body = [c for c in rows.columns if c not in (*KEY, "batch")]
+    last = rows.groupBy(*KEY).agg(F.max_by(F.struct(*body), F.struct(*order, "batch")).alias("_b"))
+    return last.select(*KEY, "_b.*")
