@@ -105,6 +105,23 @@ def test_embedding_links_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embedding_links_of_a_hot_group_and_of_one_over_many_cells(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2400, 16))
+    x[:800] = x[0] + rng.normal(scale=0.15, size=(800, 16))  # near copies of one vector
+    x[800:2000, 4:] = rng.normal(scale=0.02, size=(1200, 12))  # dense, and wider than any cell
+    table = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(2400)], "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    centres = embedding_dedup.fit_cells(table.withColumn("rid", F.col("vec_id")), 0.93, 12, 1024, 40_000, 12, 17)[16]
+    home = (unit @ centres.T).argmax(axis=1)
+    assert len(set(home[:800])) <= 5 and len(set(home[800:2000])) >= 50
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table, cell_rows=12, block_rows=100).collect()}
+    want = roots(2400, zip(*np.nonzero(near), strict=True))
+    assert near.sum() > 600_000 and all((got[i]["n_links"], got[i]["component_id"]) == (near[i].sum(), want[i]) for i in range(2400))
+
+
 def test_archives_round_trip(spark):
     rows = [(5, "http://a.org/\r\nx: y", "<p>same</p>"), (2, "http://b.org", "<p>same</p>"), (2, "http://b.org", "<p>same</p>"), (9, None, None), (7, "http://c.org", ""), (None, "http://d.org", "<p>same</p>"), (8, "http://e.org", "é" * 300_000 + "\r\n\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("file", F.lit("f")).repartition(3)
