@@ -139,6 +139,25 @@ def test_quality_bands_reject_the_odd_one_out(docs_of):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+WORDS = ["house", "garden", "winter", "letter", "music", "number", "people", "water", "market", "summer", "morning", "river"]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def test_a_group_of_copies_does_not_set_the_band_of_its_stratum(docs_of):
+    rng = random.Random(6)
+    fine = [(i, prose(rng, 80)) for i in range(40)]
+    others = [(i, prose(rng, rng.choice([30, 50, 140, 200]))) for i in range(1000, 1300)]
+    copies = [(i, fine[0][1]) for i in range(100, 300)]
+    base = fine[1][1].split()
+    near = [(i, " ".join([*base[: i % 80], rng.choice(WORDS), *base[i % 80 + 1 :]])) for i in range(300, 420)]
+    marked = (500, fine[2][1].replace(" ", "\n", 1))  # one byte token where three quarters have none
+    kept = {r["doc_id"] for r in quality.kept_documents(docs_of([*fine, *others, *copies, *near, marked]), BPE, PIECE).collect()}
+    assert kept == {*range(40), *range(100, 300), *range(300, 420), 500, *range(1000, 1300)}
+
+
 def test_licence_places_against_a_loop(docs_of):
     texts = ["MIT License, mit-license! CC BY", "Licensed under the Apache License, Version 2.0.", "cc by cc by", "gnu General\nPublic License v3"]
     got = {r["doc_id"]: r for r in license_scan.scan(docs_of([*AWKWARD, *enumerate(texts, 100)])).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,10 @@ MEASURED = pa.struct(
         ("n_dup_lines", pa.int64()),
         ("n_repeat_words", pa.int64()),
         ("base_failed", pa.bool_()),
-        ("stratum", pa.string()),
+        ("language", pa.string()),
+        ("script", pa.string()),
+        ("half", pa.int32()),
+        ("digest", pa.binary()),
         ("chars_per_token", pa.float64()),
         ("token_entropy", pa.float64()),
         ("byte_share", pa.float64()),
@@ -71,11 +75,12 @@ def duplicate_lines(text: str) -> int:
 
 def script_of(characters: set[str], text: str) -> str:
     """The script with most of the letters; "none" without letters."""
+    scripts = {c: next((s for s, a, b in SCRIPTS if a <= ord(c) <= b), "other") for c in characters if c.isalpha()}
+    if len(set(scripts.values())) == 1:
+        return next(iter(scripts.values()))
     count: dict[str, int] = {}
-    for c in characters:
-        if c.isalpha():
-            name = next((s for s, a, b in SCRIPTS if a <= ord(c) <= b), "other")
-            count[name] = count.get(name, 0) + text.count(c)
+    for c, name in scripts.items():
+        count[name] = count.get(name, 0) + text.count(c)
     return max(sorted(count), key=count.__getitem__, default="none")
 
 
@@ -95,8 +100,8 @@ def measured(docs: DataFrame, byte_bpe: str, fallback: str, carry: bool = False)
     chars_per_token and token_entropy are those of the byte-level vocabulary; byte_share
     is the share of UTF-8 bytes that the byte-fallback vocabulary can write only as byte
     tokens. A null or empty text has zero counts and null measures. The stratum is the
-    language, or the script where that is null or blank, and the half-octave of the
-    token count: short texts scatter more."""
+    language without case and blanks, or the script where that is null or blank, and the
+    half-octave of the token count: short texts scatter more."""
 
     def rows(batches):
         enc, known = encoder(byte_bpe), known_characters(fallback)
@@ -118,7 +123,7 @@ def _measures(text: str, lang: str | None, enc, known: frozenset[str]) -> dict:
     characters = set(text)
     unknown = sum(len(c.encode("utf-8", "surrogatepass")) * text.count(c) for c in characters - known)
     n, repeats = len(ids), repeated_words(words)
-    language = (lang or "").strip() or f"script {script_of(characters, text)}"
+    script = script_of(characters, text)
     return {
         "n_words": len(words),
         "word_chars": len(text) - sum(map(text.count, SPACES)),
@@ -126,32 +131,82 @@ def _measures(text: str, lang: str | None, enc, known: frozenset[str]) -> dict:
         "n_dup_lines": duplicate_lines(text),
         "n_repeat_words": repeats,
         "base_failed": len(words) < 10 or 100 * repeats > 20 * len(words),
-        "stratum": f"{language}/{int(2 * np.log2(max(n, 1)))}",
+        "language": "".join((lang or "").lower().split()) or f"script {script}",
+        "script": script,
+        "half": int(2 * np.log2(max(n, 1))),
+        "digest": blake2b(raw, digest_size=16).digest(),
         "chars_per_token": len(text) / n if n else None,
         "token_entropy": entropy(ids) if n else None,
         "byte_share": unknown / len(raw) if n else None,
     }
 
 
-def bands(rows: DataFrame, widths: dict[str, tuple[float, float]], steps: float = 1e-4) -> DataFrame:
-    """(_stratum, _low_*, _high_*): quartiles -/+ widths x interquartile range per stratum.
+def _quartiles(counts: DataFrame, *key: str) -> DataFrame:
+    """(key, n, q1, q3) of grid values ``g`` that occur ``count`` times each."""
+    w = Window.partitionBy(*key)
+    counts = counts.withColumn("_upto", F.sum("count").over(w.orderBy("g"))).withColumn("_all", F.sum("count").over(w))
+    quartile = lambda q: F.min(F.when(F.col("_upto") >= F.col("_all") * q, F.col("g")))
+    return counts.groupBy(*key).agg(F.sum("count").alias("n"), quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
+
 
-    Quartiles are exact on a grid of ``steps``: rows are counted by stratum and grid
-    value, map-side combined, and only those counts are ordered."""
+def bands(rows: DataFrame, widths: dict[str, tuple[float, float]], steps: float = 1e-4) -> DataFrame:
+    """(_language, _script, _half, _low_*, _high_*): quartiles -/+ widths x interquartile
+    range per language and half-octave, over distinct texts.
+
+    The range is at least that of the language over all lengths about its line (measure by
+    half-octave), less for texts longer than its mean, and the quartiles reach to that
+    line's: similar texts that fill a stratum do not make theirs the only values allowed. A language without two lengths of ``THIN`` texts
+    has the range of its script, or else of the corpus, as has one whose range is zero;
+    for byte_share it is a byte in a text of that length at least.
+
+    Quartiles are exact on a grid of ``steps``: texts are counted by grid value, map-side
+    combined, and only those counts are ordered."""
+    stratum = ["language", "script", "half"]
+    texts = rows.groupBy(*stratum, "digest").agg(*[F.first(m).alias(m) for m in widths])
+    pools = F.explode(F.array(F.concat(F.lit("language "), "language"), F.concat(F.lit("script "), "script"), F.lit("corpus"))).alias("pool")
     grid = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) / steps).cast("long").alias("g")) for m in widths]))
-    counts = rows.select("stratum", grid.alias("_v")).select("stratum", "_v.measure", "_v.g").filter("g is not null").groupBy("stratum", "measure", "g").count()
-    w = Window.partitionBy("stratum", "measure")
-    counts = counts.withColumn("_upto", F.sum("count").over(w.orderBy("g"))).withColumn("_all", F.sum("count").over(w))
-    quartile = lambda q: F.min(F.when(F.col("_upto") >= F.col("_all") * q, F.col("g"))) * steps
-    found = counts.groupBy("stratum", "measure").agg(quartile(0.25).alias("q1"), quartile(0.75).alias("q3"))
-    pick = lambda m, c: F.max(F.when(F.col("measure") == m, c))
+    counts = texts.select(*stratum, grid.alias("_v"), "digest").select("language", "script", "half", "_v.measure", "_v.g").filter("g is not null")
+    counts = stored(counts.select(pools, "half", "measure", "g").groupBy("pool", "half", "measure", "g").count(), "counts")
+    own = _quartiles(counts.filter("pool like 'language %'"), "pool", "half", "measure")
+
+    # lines follow the lengths that have THIN texts or more: no single text bends one
+    total = lambda x: F.sum(F.col("count") * x)
+    h, g = F.col("half"), F.col("g").cast("double")
+    fat = (F.sum("count").over(Window.partitionBy("pool", "half", "measure")) >= THIN).cast("long")
+    sums = counts.withColumn("_f", fat).groupBy("pool", "measure").agg(
+        *[total(x).alias(name) for name, x in (("_n", F.lit(1)), ("_h", h), ("_g", g), ("f", F.col("_f")), ("fh", F.col("_f") * h), ("fg", F.col("_f") * g), ("fhh", F.col("_f") * h * h), ("fhg", F.col("_f") * h * g))]
+    )
+    across = F.col("f") * F.col("fhh") - F.col("fh") * F.col("fh")
+    slope = F.when(across > 0, (F.col("f") * F.col("fhg") - F.col("fh") * F.col("fg")) / across)
+    mean = lambda x: F.when(F.col("f") > 0, F.col(f"f{x}") / F.col("f")).otherwise(F.col(f"_{x}") / F.col("_n"))
+    lines = sums.select("pool", "measure", (across > 0).alias("lined"), F.coalesce(slope, F.lit(0.0)).alias("slope"), mean("h").alias("mean_half"), mean("g").alias("mean_g"))
+    off = F.round(g - F.col("mean_g") - F.col("slope") * (h - F.col("mean_half"))).cast("long")
+    wide = _quartiles(counts.join(lines, ["pool", "measure"]).groupBy("pool", "measure", off.alias("g")).agg(F.sum("count").alias("count")), "pool", "measure")
+    wide = wide.join(lines, ["pool", "measure"]).select("pool", "measure", F.struct("n", "q1", "q3", "lined", "slope", "mean_half", "mean_g").alias("w"))
+
+    found = texts.select(*stratum).distinct().withColumn("measure", F.explode(F.array(*map(F.lit, widths))))
+    found = found.withColumn("pool", F.concat(F.lit("language "), "language")).join(own, ["pool", "half", "measure"])
+    found = found.join(wide.withColumnRenamed("w", "_l"), ["pool", "measure"]).withColumn("pool", F.concat(F.lit("script "), "script"))
+    found = found.join(wide.withColumnRenamed("w", "_s"), ["pool", "measure"]).withColumn("pool", F.lit("corpus"))
+    found = found.join(wide.withColumnRenamed("w", "_c"), ["pool", "measure"])
+    found = found.withColumn("_p", F.when(F.col("_l.lined"), F.col("_l")).when(F.col("_s.lined"), F.col("_s")).otherwise(F.col("_c")))
+    shorter = F.pow(F.lit(2.0), (F.col("_p.mean_half") - h) / 4)  # scatter falls with the root of the length
+    between = F.col("_p.q3") - F.col("_p.q1")
+    floor = F.when(between > 0, between).otherwise(F.col("_c.q3") - F.col("_c.q1")) * F.least(F.lit(1.0), shorter)
+    floor = F.greatest(floor, F.when(F.col("measure") == "byte_share", F.pow(F.lit(2.0), -h / 2) / (4 * steps)).otherwise(0.0))
+    line = F.col("_p.mean_g") + F.col("_p.slope") * (h - F.col("_p.mean_half")) + (F.col("_p.q1") + F.col("_p.q3")) / 2
+    found = found.withColumn("_spread", F.greatest(F.col("q3") - F.col("q1"), floor))
+    found = found.withColumn("_q1", F.least(F.col("q1"), line - floor / 2)).withColumn("_q3", F.greatest(F.col("q3"), line + floor / 2))
+    pick = lambda m, c: F.max(F.when(F.col("measure") == m, c * steps))
     edges = []
-    spread = F.col("q3") - F.col("q1")
     for m, (below, above) in widths.items():
-        edges.append(pick(m, F.col("q1") - below * spread - steps).alias(f"_low_{m}"))
-        edges.append(pick(m, F.col("q3") + above * spread + steps).alias(f"_high_{m}"))
-    return found.groupBy(F.col("stratum").alias("_stratum")).agg(*edges)
+        edges.append(pick(m, F.col("_q1") - below * F.col("_spread") - 1).alias(f"_low_{m}"))
+        edges.append(pick(m, F.col("_q3") + above * F.col("_spread") + 1).alias(f"_high_{m}"))
+    return found.groupBy(*[F.col(c).alias(f"_{c}") for c in stratum]).agg(*edges)
+
 
+# Distinct texts from which quartiles are taken at least, if a wider group has more.
+THIN = 20
 
 # Interquartile ranges below the first and above the third quartile. Repetition and
 # markup lower the entropy; short lists of rare words raise it, and are no fault.
@@ -169,7 +224,8 @@ def judged(docs: DataFrame, byte_bpe: str, fallback: str, widths: dict[str, tupl
     inside = F.lit(True)
     for m in widths:
         inside &= F.col(f"_m.{m}").between(F.col(f"_low_{m}"), F.col(f"_high_{m}"))
-    joined = rows.join(edges, F.col("_m.stratum") == F.col("_stratum"), "left")
+    here = [F.col(f"_m.{c}") == F.col(f"_{c}") for c in ("language", "script", "half")]
+    joined = rows.join(edges, here, "left")
     return joined.withColumn("_kept", ~F.col("_m.base_failed") & F.coalesce(inside, F.lit(False))).select(*rows.columns, "_kept")
 
 
