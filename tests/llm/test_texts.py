@@ -158,6 +158,16 @@ def test_a_group_of_copies_does_not_set_the_band_of_its_stratum(docs_of):
     assert kept == {*range(40), *range(100, 300), *range(300, 420), 500, *range(1000, 1300)}
 
 
+def test_thin_strata_are_judged_by_wider_ones(docs_of):
+    rng = random.Random(7)
+    fine = [(i, prose(rng, rng.choice([30, 60, 90, 130]))) for i in range(120)]
+    junk = lambda n: "".join(rng.choice("xqzjkv#%\u16a0\u16a1") + rng.choice("xqzjkv#%\u16a2") + " " for _ in range(n))
+    rare = [(200, junk(80), "EN "), (201, junk(80), "english"), (202, junk(80), None), (203, junk(3000)), (204, junk(3000), "xx")]
+    good = [(300, prose(rng, 80), "En"), (301, prose(rng, 80), "englsh"), (302, prose(rng, 300)), (303, prose(rng, 20), "en-gb")]
+    kept = {r["doc_id"] for r in quality.kept_documents(docs_of([*fine, *rare, *good]), BPE, PIECE).collect()}
+    assert kept == {*range(120), 300, 301, 302, 303}
+
+
 def test_licence_places_against_a_loop(docs_of):
     texts = ["MIT License, mit-license! CC BY", "Licensed under the Apache License, Version 2.0.", "cc by cc by", "gnu General\nPublic License v3"]
     got = {r["doc_id"]: r for r in license_scan.scan(docs_of([*AWKWARD, *enumerate(texts, 100)])).collect()}

@@ -159,6 +159,11 @@ def bands(rows: DataFrame, widths: dict[str, tuple[float, float]], steps: float
     has the range of its script, or else of the corpus, as has one whose range is zero;
     for byte_share it is a byte in a text of that length at least.
 
+    A stratum of less than ``THIN`` texts takes its quartiles from the language over all
+    lengths (script, corpus) at the height of that line; for texts shorter than the mean
+    that range is widened. So a text is never compared with itself alone, unless the
+    corpus has no others.
+
     Quartiles are exact on a grid of ``steps``: texts are counted by grid value, map-side
     combined, and only those counts are ordered."""
     stratum = ["language", "script", "half"]
@@ -195,8 +200,12 @@ def bands(rows: DataFrame, widths: dict[str, tuple[float, float]], steps: float
     floor = F.when(between > 0, between).otherwise(F.col("_c.q3") - F.col("_c.q1")) * F.least(F.lit(1.0), shorter)
     floor = F.greatest(floor, F.when(F.col("measure") == "byte_share", F.pow(F.lit(2.0), -h / 2) / (4 * steps)).otherwise(0.0))
     line = F.col("_p.mean_g") + F.col("_p.slope") * (h - F.col("_p.mean_half")) + (F.col("_p.q1") + F.col("_p.q3")) / 2
-    found = found.withColumn("_spread", F.greatest(F.col("q3") - F.col("q1"), floor))
-    found = found.withColumn("_q1", F.least(F.col("q1"), line - floor / 2)).withColumn("_q3", F.greatest(F.col("q3"), line + floor / 2))
+    # too few texts of its own: the wider group's range about its line, at this length
+    reach = F.greatest(between * F.greatest(F.lit(1.0), shorter), floor)
+    thin = F.col("n") < THIN
+    found = found.withColumn("_spread", F.when(thin, reach).otherwise(F.greatest(F.col("q3") - F.col("q1"), floor)))
+    found = found.withColumn("_q1", F.when(thin, line - reach / 2).otherwise(F.least(F.col("q1"), line - floor / 2)))
+    found = found.withColumn("_q3", F.when(thin, line + reach / 2).otherwise(F.greatest(F.col("q3"), line + floor / 2)))
     pick = lambda m, c: F.max(F.when(F.col("measure") == m, c * steps))
     edges = []
     for m, (below, above) in widths.items():
