@@ -27,15 +27,27 @@ HEX_BYTES = bytes(49 if chr(b) in "0123456789abcdef" else 48 for b in range(256)
 RUN_BYTES = bytes(49 if b < 128 and re.match(r"[A-Za-z0-9+/_=-]", chr(b)) else 48 for b in range(256))
 
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
-# encoding: alphabet, and the shortest string on which its tests can tell text from chance
+UPPER = LOWER.upper()
+COMMON = set("etaoinsrETAOINSR")  # two thirds of the letters of text, a third of an alphabet
+# Half of the letter pairs of English, German, French and Spanish text, a ninth of all pairs.
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be "
+    "ma si om ur el la ue qu os ei ie ge un au sc ck ai ke ta ca do em us ss et il no na ad da lo ac nc tr".split()
+)
+# encoding, narrow ones first: alphabet, and the shortest string on which its tests can tell text from chance
 ENCODINGS = {
     "hex": (DIGITS + "abcdef", 24),
     "HEX": (DIGITS + "ABCDEF", 24),
-    "base32": (LOWER.upper() + "234567", 20),
+    "lower": (LOWER, 20),
+    "UPPER": (UPPER, 20),
+    "letters": (UPPER + LOWER, 20),
+    "base32": (UPPER + "234567", 20),
     "base36": (LOWER + DIGITS, 20),
-    "BASE36": (LOWER.upper() + DIGITS, 20),
-    "base64": (LOWER.upper() + LOWER + DIGITS + "+/", 20),
-    "base64url": (LOWER.upper() + LOWER + DIGITS + "-_", 20),
+    "BASE36": (UPPER + DIGITS, 20),
+    "base38": (LOWER + DIGITS + "-_", 20),
+    "BASE38": (UPPER + DIGITS + "-_", 20),
+    "base64": (UPPER + LOWER + DIGITS + "+/", 20),
+    "base64url": (UPPER + LOWER + DIGITS + "-_", 20),
 }
 BINS = 240  # p-values on a grid of BINS / 20 decades
 
@@ -54,31 +66,61 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, encoding) of long runs that could be encoded bytes and touch no
-    base span. Runs of letters of one case are words, not encodings."""
+def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, encoding, symbols) of long runs that could be encoded bytes.
+
+    Runs are cut at base spans, whose rest stays, and at inner '='. Each part is a
+    candidate, and so are its longest stretches without '-' and '_', without '+' and '/',
+    and without all four: names and prefixes joined to a key do not hide it."""
     if b"1" * RUN not in text.encode("utf-8", "surrogatepass").translate(RUN_BYTES):
         return
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for _, x, y in taken):
-            continue
-        name = encoding_of(m[0].rstrip("="))
-        if name and len(m[0].rstrip("=")) >= ENCODINGS[name][1]:
-            yield a, b, name
-
-
-def encoding_of(token: str) -> str | None:
-    """The narrowest alphabet that holds the token; it must mix letters and digits, and
-    the wide alphabets both cases."""
+        seen = set()
+        for left, right in _outside(*m.span(), taken):
+            for part in PART.finditer(text, left, right):
+                for cut in STRETCHES:
+                    for piece in cut.finditer(text, *part.span()):
+                        a, b = piece.span()
+                        if b - a < RUN or (a, b) in seen:
+                            continue
+                        seen.add((a, b))
+                        name, token = encoding_of(piece[0])
+                        if name and len(token) >= ENCODINGS[name][1]:
+                            # padding belongs to the string
+                            yield a, right if not text[b:right].strip("=") else b, name, token
+
+
+PART = re.compile(r"[^=]+")
+STRETCHES = [re.compile(r) for r in (r"[^=]+", r"[A-Za-z0-9+/]+", r"[A-Za-z0-9_-]+", r"[A-Za-z0-9]+")]
+
+
+def _outside(a: int, b: int, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """What the base spans leave of a run."""
+    for _, x, y in sorted(taken, key=lambda s: s[1]):
+        if x < b and a < y:
+            if a < x:
+                yield a, x
+            a = max(a, y)
+    if a < b:
+        yield a, b
+
+
+def encoding_of(token: str) -> tuple[str | None, str]:
+    """The narrowest alphabet that holds the token, and the symbols to test: hexadecimal
+    digits in groups are tested without their separators. Numbers have none, and base64
+    alphabets need both cases, as one case has narrower ones."""
+    plain = token.replace("-", "").replace("_", "")
+    for name in ("hex", "HEX"):
+        if set(plain) <= set(ENCODINGS[name][0]) and set(plain) & set(DIGITS) and set(plain) - set(DIGITS):
+            return name, plain
     symbols = set(token)
-    if not symbols & set(DIGITS) or not symbols - set(DIGITS):
-        return None
+    if not symbols - set(DIGITS + "+/-_"):
+        return None, token
     for name, (alphabet, _) in ENCODINGS.items():
         if symbols <= set(alphabet):
-            mixed_case = symbols & set(LOWER) and symbols & set(LOWER.upper())
-            return name if mixed_case or not name.startswith("base64") else None
-    return None
+            mixed_case = symbols & set(LOWER) and symbols & set(UPPER)
+            return (name if mixed_case or not name.startswith("base64") else None), token
+    return None, token
 
 
 def _normal_tail(z: float) -> float:
@@ -91,8 +133,16 @@ def _chi2_tail(x: float, df: int) -> float:
     return _normal_tail(((x / df) ** (1 / 3) - (1 - c)) / math.sqrt(c))
 
 
-def battery(token: str, name: str) -> tuple[float, float, float]:
-    """p-values of uniformity, runs and serial correlation for a random string.
+def _binomial_tail(k: int, n: int, p: float) -> float:
+    """Chance of ``k`` or more of ``n``; exact for short strings."""
+    if n > 400:
+        return _normal_tail((k - 0.5 - n * p) / math.sqrt(n * p * (1 - p)))
+    return min(1.0, sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)))
+
+
+def battery(token: str, name: str) -> tuple[float, ...]:
+    """p-values of uniformity, runs and serial correlation for a random string, and of
+    the numbers of common letters and of common letter pairs where the alphabet has them all.
 
     Uniformity: chi-squared over the alphabet, or over as many equal classes of it as
     leave five symbols each to expect (four at least). Runs: number of runs above and
@@ -117,7 +167,13 @@ def battery(token: str, name: str) -> tuple[float, float, float]:
     d = x - x.mean()
     spread = float(d @ d)
     serial = 2 * _normal_tail(abs(float(d[1:] @ d[:-1]) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
-    return uniform, runs, serial
+    common = sum(c in COMMON for c in alphabet)
+    if common < 8:
+        return uniform, runs, serial
+    low = token.lower()
+    pairs = [x + y for x, y in zip(low, low[1:], strict=False) if x in LOWER and y in LOWER]
+    usual = _binomial_tail(sum(c in COMMON for c in token), n, common / size)
+    return uniform, runs, serial, usual, _binomial_tail(sum(x in PAIRS for x in pairs), len(pairs), len(PAIRS) / 676) if pairs else 1.0
 
 
 def combined(p: tuple[float, ...]) -> float:
@@ -165,8 +221,7 @@ _ARROW_CANDIDATE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stra
 def _found(text: str) -> tuple[list[dict], list[dict]]:
     base = base_spans(text)
     more = []
-    for a, b, name in candidates(text, base):
-        token = text[a:b].rstrip("=")
+    for a, b, name, token in candidates(text, base):
         p = combined(battery(token, name))
         more.append({"start": a, "end": b, "stratum": stratum(name, len(token)), "bin": p_bin(p), "p": p})
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
@@ -199,7 +254,7 @@ def rejections(found: DataFrame, alpha: float) -> dict[str, int]:
 
 def with_spans(found: DataFrame, alpha: float = 0.01) -> DataFrame:
     """``found`` with ``spans``: base spans and the candidates not rejected as ordinary
-    strings. Per stratum, a share of ``alpha`` at most of what is rejected is expected to
+    strings, without those inside a longer one. Per stratum, a share of ``alpha`` at most of what is rejected is expected to
     be random strings."""
     least = rejections(found, alpha)
     passed = F.col("candidates")
@@ -207,6 +262,7 @@ def with_spans(found: DataFrame, alpha: float = 0.01) -> DataFrame:
         limit = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
         passed = F.filter("candidates", lambda c: c["bin"] < F.element_at(limit, c["stratum"]))
     added = F.transform(passed, lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    added = F.filter(added, lambda c: ~F.exists(added, lambda o: (o["start"] <= c["start"]) & (o["end"] >= c["end"]) & (o["end"] - o["start"] > c["end"] - c["start"])))
     order = F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("o"), s["kind"].alias("kind"), s["end"].alias("end")))
     return found.withColumn("spans", F.transform(F.array_sort(order), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
 
