@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardwatch.llm import embedding_dedup, license_scan, mixing, ngram_join, packing, quality, secret_scan, tokens, url_filter, warc
+from wardwatch.llm import collocations, embedding_dedup, hard_negatives, license_scan, mixing, ngram_join, packing, quality, secret_scan, tokens, toxicity, url_filter, warc
 from wardwatch.llm.url_filter import Rule
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -153,3 +153,57 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run  # it imports this module
 
     return run(spark, sf_dir)
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+SQL["op12_phrase_collocations"] = """
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM t),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, unnest(list_transform(range(1, least(5, len(ws) - i + 1) + 1), lambda k: ws[i:i + k - 1])) AS p FROM s),
+f AS (SELECT lang, p, count(*) AS f FROM g GROUP BY lang, p HAVING count(*) >= 100),
+c AS (SELECT lang, p, f AS a, unnest(range(1, len(p))) AS k FROM f WHERE len(p) > 1),
+x AS (SELECT c.lang, c.p, c.a, c.k, l.f AS l, r.f AS r, n.n, ((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM c JOIN n USING (lang) JOIN f l ON l.lang = c.lang AND l.p = c.p[1:c.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[c.k + 1:]),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS o FROM x),
+e AS (SELECT lang, p[i:j] AS p, f FROM (SELECT lang, p, f, i, unnest(range(i + 1, len(p) + 1)) AS j FROM (SELECT lang, p, f, unnest(range(1, len(p))) AS i FROM f WHERE len(p) > 2)) WHERE j - i + 1 < len(p)),
+d AS (SELECT lang, p, max(f) AS f FROM e GROUP BY lang, p),
+z AS (SELECT m.lang, array_to_string(m.p, ' ') AS phrase, m.a, m.l, m.r, m.n, m.score
+  FROM m LEFT JOIN d ON d.lang = m.lang AND d.p = m.p WHERE o = 1 AND (d.f IS NULL OR 100 * d.f < 100 * m.a)),
+y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM z)
+SELECT lang, rank, phrase, a, l, r, n, score FROM y WHERE rank <= 2000
+"""
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS o FROM s WHERE same),
+m AS (SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND o <= 5 AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 3
+"""
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.toxic_documents(docs, labels.select("doc_id", "toxic"))

@@ -29,7 +29,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Remove the files of a ``stored`` table that nothing will read again."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        store, root = fs.FileSystem.from_uri(folder)
+        remove_folder(folder)
+
+
+def remove_folder(folder: str) -> None:
+    """Remove a folder of task-written files, if it is there."""
+    store, root = fs.FileSystem.from_uri(folder)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
         store.delete_dir(root)
 
 
