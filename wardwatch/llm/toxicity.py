@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from wardwatch.llm.shared import discard, stored
 
 TOKEN = re.compile(r"[^\W_]+(?:[@$!*'’0-9]+[^\W_]+)*|[\"“”„«»‹›]", re.U)
+REPEATED = re.compile(r"(.)\1{2}\1*")
 QUOTES = frozenset("\"“”„«»‹›")
 # Characters written for letters in disguised words.
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", "'": "", "’": ""})
@@ -47,7 +48,7 @@ def folded(word: str) -> str:
         word = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
     if not word.isalpha() and not word.isdigit():
         word = word.translate(LEET)
-    return re.sub(r"(.)\1{2,}", r"\1", word)
+    return REPEATED.sub(r"\1", word) if REPEATED.search(word) else word
 
 
 def edits_allowed(term: str) -> int:
@@ -64,6 +65,10 @@ class LexiconTrie:
         self.word: list[str | None] = [None]
         self.stem: list[str | None] = [None]
         self.edits: list[int] = [0]
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.accepts: list[list[tuple[str, int]]] = []
+        self.moves: list[dict[str, int] | None] = []
         for term in sorted(set(terms)):
             plain, node = term.removesuffix(STEM), 0
             self.edits[0] = max(self.edits[0], edits_allowed(term))
@@ -79,47 +84,74 @@ class LexiconTrie:
                 values.append(empty)
         return self.children[node][c]
 
-    def near(self, word: str) -> list[tuple[str, int]]:
-        """(term, edits) of all terms within the edits allowed to them, by the automaton of
-        ``word``: bit i of state e says that i letters of the word are read with e edits.
-        It runs down the trie and leaves a branch as soon as no state is alive. An edit is
-        a letter put in, left out or changed, or two neighbours swapped."""
-        m, most = len(word), self.edits[0]
-        at: dict[str, int] = {}
-        for i, c in enumerate(word):
-            at[c] = at.get(c, 0) | 1 << i
-        full = (1 << (m + 1)) - 1
-        found = []
-        stack = [(0, [((1 << (e + 1)) - 1) & full for e in range(most + 1)], [0] * (most + 1))]
-        while stack:
-            node, states, swaps = stack.pop()
-            if self.stem[node] is not None and states[0]:
-                found.append((self.stem[node], 0))
-            if self.word[node] is not None:
-                for e in range(edits_allowed(self.word[node]) + 1):
-                    if states[e] >> m & 1:
-                        found.append((self.word[node], e))
-                        break
-            for c, child in self.children[node].items():
-                hit = at.get(c, 0)
-                new, pending, before, alive = [], [], 0, False
-                for e in range(self.edits[child] + 1):
-                    s = (states[e] & hit) << 1
-                    swap = 0
-                    if e:
-                        low = states[e - 1]
-                        # changed, put in, left out, and the second letter of a swap
-                        s |= low << 1 | low | before << 1 | (swaps[e] & hit) << 2
-                        swap = low & hit >> 1
-                    before = s = s & full
-                    new.append(s)
-                    pending.append(swap)
-                    alive = alive or s or swap
-                if alive:
-                    pad = [0] * (len(states) - len(new))
-                    stack.append((child, new + pad, pending + pad))
+    def _closed(self, states: dict[int, int]) -> dict[int, int]:
+        """With the nodes reached by leaving letters of a term out."""
+        for node, e in sorted(states.items(), key=lambda x: x[1]):
+            todo = [(node, e)]
+            while todo:
+                at, spent = todo.pop()
+                for child in self.children[at].values():
+                    if spent < self.edits[child] and states.get(child, spent + 2) > spent + 1:
+                        states[child] = spent + 1
+                        todo.append((child, spent + 1))
+        return states
+
+    def _state(self, states: dict[int, int], swaps: frozenset, stems: frozenset) -> int:
+        """The number of a state of the automaton: fewest edits per node, halves of swapped
+        pairs, and stems already read."""
+        key = (frozenset(states.items()), swaps, stems)
+        found = self.numbers.get(key)
+        if found is None:
+            found = self.numbers[key] = len(self.states)
+            words = [(t, e) for node, e in states.items() if (t := self.word[node]) is not None and e <= edits_allowed(t)]
+            self.states.append((states, swaps, stems))
+            self.accepts.append(sorted([*words, *((t, 0) for t in stems)]))
+            self.moves.append({} if states or swaps else None)
         return found
 
+    def _move(self, at: int, c: str) -> int:
+        """The next state on letter ``c``: matched, changed, put in, or half of a swap."""
+        states, swaps, stems = self.states[at]
+        new: dict[int, int] = {}
+        half = set()
+
+        def reach(node: int, e: int):
+            if e <= self.edits[node] and e < new.get(node, e + 1):
+                new[node] = e
+
+        for node, e in states.items():
+            reach(node, e + 1)
+            for letter, child in self.children[node].items():
+                reach(child, e if letter == c else e + 1)
+                after = self.children[child].get(c)
+                if letter != c and after is not None and e < self.edits[after]:
+                    half.add((after, letter, e + 1))
+        for node, letter, e in swaps:
+            if letter == c:
+                reach(node, e)
+        read = {t for node, e in new.items() if e == 0 and (t := self.stem[node]) is not None}
+        return self._state(self._closed(new), frozenset(half), stems | read)
+
+    def near(self, word: str) -> list[tuple[str, int]]:
+        """(term, edits) of all terms within the edits allowed to them. An edit is a letter
+        put in, left out or changed, or two neighbours swapped.
+
+        The Levenshtein automata of all terms, laid over the trie, are read as one
+        automaton, made deterministic state by state as words need it."""
+        if not self.states or len(self.states) > 20_000:
+            self.numbers, self.states, self.accepts, self.moves = {}, [], [], []
+            self._state(self._closed({0: 0}), frozenset(), frozenset())
+        at = 0
+        for c in word:
+            moves = self.moves[at]
+            if moves is None:
+                break  # no term is in reach any more
+            to = moves.get(c)
+            if to is None:
+                to = moves[c] = self._move(at, c)
+            at = to
+        return self.accepts[at]
+
 
 class Spellings(dict):
     """The nearest lexicon term of a word as written: (term number, edits) or None;
@@ -260,17 +292,23 @@ def term_counts(labelled: DataFrame, limit: int = 200_000) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 words = [folded(w) for w in TOKEN.findall(text) if w not in QUOTES]
                 words_seen += len(words)
-                seen: set[str] = set()
+                met: dict[str, list[int]] = {}
                 for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
-                    if not 3 <= len(w) <= 24:
-                        continue
-                    bit = 1 << zlib.crc32(f"{before} {after}".encode("utf-8", "replace")) % 64
+                    if 3 <= len(w) <= 24:
+                        cell = met.setdefault(w, [0, 0])
+                        cell[0] += 1
+                        cell[1] |= 1 << zlib.crc32(f"{before} {after}".encode("utf-8", "replace")) % 64
+                seen: set[str] = set()
+                for w, (uses, bits) in met.items():
                     for term in _prefixes(w):
-                        cell = held.setdefault(term, [0, 0, 0])
-                        cell[0] += term not in seen
-                        cell[1] += 1
-                        cell[2] |= bit
-                        seen.add(term)
+                        cell = held.get(term)
+                        if cell is None:
+                            cell = held[term] = [0, 0, 0]
+                        if term not in seen:
+                            seen.add(term)
+                            cell[0] += 1
+                        cell[1] += uses
+                        cell[2] |= bits
                 if len(held) >= limit:
                     yield from flush()
                     words_seen = 0
@@ -347,25 +385,31 @@ def ordinary_forms(labelled: DataFrame, lexicon: Lexicon, least: int = 2) -> fro
     return frozenset(r[0] for r in counts.filter((F.col("c") >= least) & (F.col("c") >= F.col("t"))).collect())
 
 
-def chosen_rows(labelled: DataFrame, max_rows: int, seed: int) -> DataFrame:
-    """At most about ``max_rows`` rows (text, toxic) of each label, those of the smallest
-    seeded text hashes, once per distinct text; only hashes are sorted to find the cut."""
-    rows = labelled.select("text", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("text", F.lit(seed)).alias("h"))
-    cuts = {t: rows.filter(F.col("toxic") == t).select("h").distinct().orderBy("h").limit(max_rows).agg(F.max("h")).first()[0] for t in (0, 1)}
-    taken = F.lit(False)
-    for t, cut in cuts.items():
-        if cut is not None:
-            taken = taken | ((F.col("toxic") == t) & (F.col("h") <= cut))
-    return rows.filter(taken).dropDuplicates(["h", "toxic"]).select("text", "toxic")
-
-
-def fit_toxicity(labelled: DataFrame, max_rows: int = 8000, seed: int = 11, window: int = 8) -> ToxicityModel:
-    """Lexicon and both logistic models from at most ``max_rows`` distinct labelled texts
-    (text, toxic) of each label. The driver sees hit features, never texts; rows weigh
-    what their label has per chosen row."""
-    known = labelled.filter("text is not null and toxic is not null")
-    counts = dict(known.groupBy(F.col("toxic").cast("int")).count().collect())
-    rows = stored(chosen_rows(known, max_rows, seed), "labelled")
+def chosen_rows(docs: DataFrame, labels: DataFrame, max_rows: int, seed: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic) of at most ``max_rows`` distinct texts of each label, those of the
+    smallest seeded text hashes, and how many rows each label has.
+
+    Ids and hashes alone are joined and sorted; the chosen ones, a table of bounded size,
+    then go to the documents, so texts are never shuffled.
+    """
+    key = [F.col("doc_id"), F.xxhash64("text", F.lit(seed)).alias("h")]
+    met = stored(docs.filter("text is not null").select(*key).join(labels.select("doc_id", "toxic"), "doc_id"), "labelled-ids")
+    counts = dict(met.groupBy("toxic").count().collect())  # two rows
+    distinct = met.groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
+    parts = [distinct.filter(F.col("toxic") == t).orderBy("h").limit(max_rows) for t in (0, 1)]
+    chosen = stored(parts[0].unionByName(parts[1]), "chosen")
+    rows = docs.filter("text is not null").select("text", *key).join(F.broadcast(chosen), ["doc_id", "h"])
+    rows = stored(rows.groupBy("h", "toxic").agg(F.first("text").alias("text")).select("text", "toxic"), "labelled")
+    for used in (met, chosen):
+        discard(used)
+    return rows, counts
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, seed: int = 11, window: int = 8) -> ToxicityModel:
+    """Lexicon and both logistic models from at most ``max_rows`` distinct texts of
+    ``docs`` (doc_id, text) for each of the ``labels`` (doc_id, toxic), one label an id. The
+    driver sees hit features, never texts; rows weigh what their label has per chosen row."""
+    rows, counts = chosen_rows(docs, labels, max_rows, seed)
     lexicon = learn_lexicon(rows)
     lexicon.ordinary = ordinary_forms(rows, lexicon) if lexicon.terms else frozenset()
 
@@ -439,6 +483,6 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     ids that are labelled both ways, teach nothing; without labels all scores are alike."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter(F.col("toxic").isin(0, 1) & ~held_out())
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most and doc_id is not null").drop("most")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    model = fit_toxicity(texts.join(known, "doc_id").select("text", "toxic"), max_rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model = fit_toxicity(texts, known.select("doc_id", F.col("toxic").cast("int").alias("toxic")), max_rows)
     return score(docs, model, threshold).withColumn("held_out", held_out())
