@@ -74,8 +74,7 @@ def test_toxic_held_out_misspelled_and_quoted(spark, docs_of):
     assert all(by[i]["predicted"] == truth[i] for i in held)
     assert by[9000]["n_hits"] == 2 and by[9000]["predicted"] == 1
     assert by[9001]["score"] == by[9002]["score"] < 0.3 and by[9003]["predicted"] == 0
-    known = spark.createDataFrame([(t, dict(labels)[i]) for i, t in rows], "text string, toxic int")
-    model = toxicity.fit_toxicity(known)
+    model = toxicity.fit_toxicity(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert set(model.lexicon.terms) == {"numpty", "dolt", "grumbleskin"}
     spellings = model.lexicon.spellings()
     assert spellings["Grumbl3sk1n"] is not None and spellings["d0lt"] is not None and spellings["gramblesskin"] is not None and spellings["kefel"] is None
@@ -97,10 +96,12 @@ def test_copies_of_a_text_make_no_term(spark):
     assert not [t for t in lexicon.terms if "zork" in t]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(1, 3), st.integers(0, 9), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 400)), max_size=80), st.randoms())
-def test_quotient_filters_are_lossless_and_merge(lanes, block_bits, entries, rng):
-    seeds = np.random.default_rng(rng.randrange(1 << 30)).integers(0, 1 << 63, (61, lanes), dtype=np.uint64)
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=3), st.integers(0, 9), st.lists(st.tuples(st.integers(0, 60), st.integers(1, 400)), max_size=80), st.randoms())
+def test_quotient_filters_are_lossless_and_merge(widths, block_bits, entries, rng):
+    draw = np.random.default_rng(rng.randrange(1 << 30))
+    seeds = np.stack([draw.integers(0, 1 << w, 61, dtype=np.uint64, endpoint=False) if w < 64 else draw.integers(0, 1 << 63, 61, dtype=np.uint64) * np.uint64(2) for w in widths], axis=1)
+    assert (permuted(seeds, widths) <= np.array([(1 << w) - 1 for w in widths], np.uint64)).all()
     want: Counter = Counter()
     shards: dict[int, list] = {}
     for part in range(3):
@@ -108,9 +109,9 @@ def test_quotient_filters_are_lossless_and_merge(lanes, block_bits, entries, rng
         for i, c in some:
             want[tuple(seeds[i].tolist())] += c
         if some:
-            x = permuted(seeds[[i for i, _ in some]])
-            assert (restored(x) == seeds[[i for i, _ in some]]).all()
-            for f in filters_of(*counted(x, np.array([c for _, c in some])), block_bits):
+            x = permuted(seeds[[i for i, _ in some]], widths)
+            assert (restored(x, widths) == seeds[[i for i, _ in some]]).all()
+            for f in filters_of(*counted(x, np.array([c for _, c in some])), widths, block_bits):
                 again = QuotientFilter.from_bytes(f.to_bytes())
                 assert (again.x == f.x).all() and (again.counts == f.counts).all() and again.block == f.block
                 shards.setdefault(f.block, []).append(again)
@@ -179,8 +180,8 @@ def test_collocations_against_all_counts(spark, docs_of):
     docs = docs_of(rows).withColumnRenamed("source", "word").selectExpr("*", "1 as ids", "2 as rank")
     want = brute_collocations(rows, 10, 25)
     assert len(want) > 40 and {w[0] for w in want} >= {"und", "de", "en", "fr"}
-    for sent in (1000, 0):  # ids sent to the tasks, ids joined to the texts
-        got = collocations.collocations(docs, least=10, top=25, sent_words=sent)
+    for words, pairs in ((1000, 1000), (0, 1000), (1000, 0)):  # sent to the tasks, or not
+        got = collocations.collocations(docs, least=10, top=25, sent_words=words, sent_pairs=pairs)
         assert sorted(map(tuple, got.collect())) == want
     assert collocations.collocations(docs_of([])).count() == 0
     assert collocations.collocations(docs_of(rows), least=10**6).count() == 0
@@ -192,8 +193,8 @@ def test_many_flushes_and_blocks_give_the_same_counts(spark, docs_of):
     texts = docs_of(rows).select("lang", "text")
     vocabulary = collocations.numbered(collocations.word_counts(texts, 5, limit=3).filter("word is not null")).cache()
     seen = []
-    for n_words, room in ((8000, 10**6), (1 << 34, 500)):
-        got = collocations.phrase_counts(texts, vocabulary, vocabulary.count(), n_words, 5, 4, 100, room)
+    for n_words, room in ((8000, 10**6), (1 << 36, 500)):
+        got = collocations.phrase_counts(texts, vocabulary, vocabulary.count(), n_words, 5, 4, 100, 1000, room)
         seen.append(sorted((tuple(r["ids"]), r["f"]) for r in got.collect()))
     assert seen[0] == seen[1] and len(seen[0]) > 300
 

@@ -1,10 +1,10 @@
 """Phrase collocations per language, counted exactly in counting quotient filters.
 
-Texts are read twice. The first pass counts words. The second packs the ids of two to
-five neighbouring words, all frequent enough themselves, into one key, counts keys in
-quotient filters inside the task and sends the filters, cut into blocks, to the tasks
-that merge them. Only phrases that reach the threshold leave a merge; scores, cuts and
-containment are joins of those.
+Texts are read three times. The first pass counts words. The others pack the ids of
+neighbouring words, all frequent enough themselves, into one key, count keys in quotient
+filters inside the task and send the filters, cut into blocks, to the tasks that merge
+them: first pairs, then longer phrases whose pairs are all frequent. Only phrases that
+reach the threshold leave a merge; scores, cuts and containment are joins of those.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql.window import Window
 
 from wardwatch.llm.quotient import QuotientFilter, counted, filters_of, permuted
 from wardwatch.llm.shared import discard, stored
+from wardwatch.plans.ordered import dense_index
 
 SPLITS = b".,;:!?\n\x0b\x0c\r"
 # A-Z lower-cased and every splitting character made a full stop, one byte for one.
@@ -100,11 +101,12 @@ class KeyPacker:
         self.bits = max(1, int(vocabulary).bit_length())
         self.per_lane = 64 // self.bits
 
-    def lanes(self, k: int) -> int:
-        return -(-k // self.per_lane)
+    def widths(self, k: int) -> list[int]:
+        """Bits of each lane."""
+        return [self.bits * min(self.per_lane, k - at) for at in range(0, k, self.per_lane)]
 
     def pack(self, columns: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(columns[0]), self.lanes(len(columns))), np.uint64)
+        out = np.zeros((len(columns[0]), len(self.widths(len(columns)))), np.uint64)
         for j, ids in enumerate(columns):
             lane = j // self.per_lane
             out[:, lane] = (out[:, lane] << np.uint64(self.bits)) | ids.astype(np.uint64)
@@ -119,22 +121,30 @@ class KeyPacker:
         return out
 
 
-def _phrases(ids: np.ndarray, longest: int, packer: KeyPacker) -> Iterator[tuple[int, np.ndarray]]:
-    """(k, permuted keys) of all runs of k known ids."""
+def _phrases(ids: np.ndarray, shortest: int, longest: int, packer: KeyPacker, pairs: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, permuted keys) of the runs of k known ids, of which all neighbours are in
+    ``pairs`` (sorted packed keys) where that is given."""
     known = ids > 0
-    good = known
+    next_to = known[:-1] & known[1:]
+    if pairs is not None:
+        at = np.flatnonzero(next_to)
+        keys = packer.pack([ids[at], ids[at + 1]])[:, 0]
+        place = np.minimum(np.searchsorted(pairs, keys), max(0, len(pairs) - 1))
+        next_to[at] = pairs[place] == keys if len(pairs) else False
+    good = next_to
     for k in range(2, longest + 1):
         n = len(ids) - k + 1
         if n <= 0:
             return
-        good = good[:n] & known[k - 1 :]
+        good = good[:n] & next_to[k - 2 :]
         at = np.flatnonzero(good)
         if not len(at):
             return
-        yield k, permuted(packer.pack([ids[at + j] for j in range(k)]))
+        if k >= shortest:
+            yield k, permuted(packer.pack([ids[at + j] for j in range(k)]), packer.widths(k))
 
 
-def _filters(ids_of, longest: int, packer: KeyPacker, block_bits: int, room: int):
+def _filters(ids_of, shortest: int, longest: int, packer: KeyPacker, pairs, block_bits: int, room: int):
     """Counts phrases in the task; filters go out whenever ``room`` keys are held."""
 
     def rows(batches):
@@ -143,7 +153,7 @@ def _filters(ids_of, longest: int, packer: KeyPacker, block_bits: int, room: int
 
         def flush():
             for k, parts in sorted(held.items()):
-                found = filters_of(*counted(np.concatenate(parts)), block_bits)
+                found = filters_of(*counted(np.concatenate(parts)), packer.widths(k), block_bits)
                 for at in range(0, len(found), 1024):
                     some = found[at : at + 1024]
                     yield pa.RecordBatch.from_pydict(
@@ -153,7 +163,7 @@ def _filters(ids_of, longest: int, packer: KeyPacker, block_bits: int, room: int
 
         for batch in batches:
             for ids in ids_of(batch):
-                for k, keys in _phrases(ids, longest, packer):
+                for k, keys in _phrases(ids, shortest, longest, packer, pairs.value if pairs is not None else None):
                     held.setdefault(k, []).append(keys)
                     size += len(keys)
                 if size >= room:
@@ -217,15 +227,20 @@ def _joined_ids(texts: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return rows.join(known, "rid").select("lang", "text", F.col("m.word").alias("words"), F.col("m.id").alias("ids"))
 
 
-def phrase_counts(texts: DataFrame, vocabulary: DataFrame, size: int, n_words: int, least: int, longest: int, sent_words: int, room: int = 1_500_000) -> DataFrame:
-    """(k, ids, f) of phrases of 2 to ``longest`` known words met ``least`` times or more."""
+def phrase_counts(texts: DataFrame, vocabulary: DataFrame, size: int, n_words: int, least: int, longest: int, sent_words: int, sent_pairs: int, room: int = 2_000_000) -> DataFrame:
+    """(k, ids, f) of phrases of 2 to ``longest`` known words met ``least`` times or more.
+
+    A block takes 1,024th of all keys, or less where a corpus has more than 2**34 words; a
+    filter row then holds few keys unless ``room`` grows too.
+    """
     packer = KeyPacker(size)
-    block_bits = min(20, max(0, (n_words * (longest - 1) >> 18).bit_length()))
+    block_bits = 10 + (n_words >> 34).bit_length()
+    context = texts.sparkSession.sparkContext
     if size <= sent_words:
         words: dict[str, dict[bytes, int]] = {}
         for i, lang, word in vocabulary.select("id", "lang", "word").toLocalIterator():  # sent_words at most
             words.setdefault(lang, {})[word.encode("utf-8")] = i
-        shared = texts.sparkSession.sparkContext.broadcast(words)
+        shared = context.broadcast(words)
 
         def ids_of(batch):
             for lang, group in _by_lang(batch):
@@ -238,10 +253,23 @@ def phrase_counts(texts: DataFrame, vocabulary: DataFrame, size: int, n_words: i
             for text, words, ids in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 yield _ids(tokens_of([text.as_py().encode("utf-8")]), {w.encode("utf-8"): i for w, i in zip(words, ids, strict=True)})
 
-        source = _joined_ids(texts, vocabulary)
-    filters = source.mapInArrow(_filters(ids_of, longest, packer, block_bits, room), "k int, block int, body binary")
-    dealt = filters.repartition("k", "block").sortWithinPartitions("k", "block")
-    return dealt.mapInArrow(_merging(least, packer, 2 * room), "k int, ids array<long>, f long")
+        source = stored(_joined_ids(texts, vocabulary), "texts-with-ids")
+
+    def counts(shortest: int, most: int, pairs) -> DataFrame:
+        filters = source.mapInArrow(_filters(ids_of, shortest, most, packer, pairs, block_bits, room), "k int, block int, body binary")
+        dealt = filters.repartition("k", "block").sortWithinPartitions("k", "block")
+        return stored(dealt.mapInArrow(_merging(least, packer, 2 * room), "k int, ids array<long>, f long"), "phrases")
+
+    two = counts(2, min(2, longest), None)
+    if longest < 3:
+        return two
+    # A phrase is no more frequent than its pairs. So many of them go to the tasks; beyond
+    # that all phrases are counted, with the same result.
+    pairs = None
+    if len(packer.widths(2)) == 1 and two.count() <= sent_pairs:
+        ids = np.array([r[0] for r in two.select("ids").toLocalIterator()], np.int64).reshape(-1, 2)
+        pairs = context.broadcast(np.sort(packer.pack([ids[:, 0], ids[:, 1]])[:, 0]))
+    return two.unionByName(counts(3, longest, pairs))
 
 
 def _ids(words: list[bytes], known: Mapping[bytes, int]) -> np.ndarray:
@@ -252,7 +280,7 @@ def _digits(name: str, n: int = 18):
     return F.col(name).cast(f"decimal({n},0)")
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, sent_words: int = 2_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, sent_words: int = 2_000_000, sent_pairs: int = 8_000_000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language.
 
     Words are what is left between spaces and tabs once A-Z is lower-cased and the text is
@@ -261,8 +289,9 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     at its worst cut, and left out where a longer one holds all its places. All numbers
     are exact: the products are decimals of 38 digits.
 
-    A vocabulary of up to ``sent_words`` frequent words goes to the tasks; a larger one is
-    joined to the texts. Both give the same rows. Null and empty texts have no words; a
+    A vocabulary of up to ``sent_words`` frequent words, and up to ``sent_pairs`` frequent
+    pairs, go to the tasks; a larger vocabulary is joined to the texts, more pairs are not
+    used to leave phrases out. All ways give the same rows. Null and empty texts have no words; a
     null lang is ``und``; repeated rows count each; a text of any length is one row of a
     task; ties are ordered by the phrase's bytes; other columns are ignored; an empty
     table, or one without frequent phrases, gives no row.
@@ -273,7 +302,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     vocabulary = stored(numbered(words.filter("word is not null")), "vocabulary")
     size = vocabulary.count()
     n_words = totals.agg(F.sum("n")).first()[0] or 0
-    counts = stored(phrase_counts(texts, vocabulary, size, n_words, least, longest, sent_words), "phrases")
+    counts = phrase_counts(texts, vocabulary, size, n_words, least, longest, sent_words, sent_pairs)
     f = counts.select("ids", "f").unionByName(vocabulary.select(F.array("id").alias("ids"), F.col("c").alias("f")))
 
     # The first word tells the language.
@@ -293,10 +322,9 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     flat = kept.select("ids", "lang", "n", "a", "w", F.posexplode("ids").alias("place", "id"))
     spelt = flat.join(vocabulary.select("id", "word"), "id").groupBy("ids", "lang", "n", "a", "w").agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("ws"))
     named = spelt.select("lang", F.concat_ws(" ", F.col("ws.word")).alias("phrase"), "a", F.col("w.l").alias("l"), F.col("w.r").alias("r"), "n", F.col("w.score").alias("score"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(64))).orderBy(*order)
-    leaders = named.withColumn("rank", F.row_number().over(salted)).filter(F.col("rank") <= top)
-    ranked = leaders.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
+    # Ranks from counts of score bands, so that no task orders all phrases of a language.
+    band = -F.floor(F.log2(F.col("score") + 1) * 16).cast("long")
+    ranked = dense_index(stored(named, "named"), ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], band, "rank").withColumn("rank", (F.col("rank") + 1).cast("long"))
     result = stored(ranked.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
     for used in (words, vocabulary, counts):
         discard(used)

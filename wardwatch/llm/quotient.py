@@ -1,8 +1,9 @@
 """Counting quotient filters over whole keys: compact, sorted, lossless, mergeable.
 
-A key is a row of ``lanes`` unsigned 64-bit numbers. An invertible permutation spreads it
-evenly; its top ``block`` bits say which shard it belongs to, the next ``slots`` bits are
-the quotient and all other bits are the remainder. A filter keeps
+A key is a row of unsigned numbers, its lanes, of ``widths`` bits each. An invertible
+permutation of all its bits spreads it evenly; the top ``block`` bits of the first lane say
+which shard it belongs to, the next ``slots`` bits are the quotient and all other bits are
+the remainder. A filter keeps
 
 * one *occupied* bit per quotient and one *run end* bit per entry, which together place
   every entry under its quotient;
@@ -23,52 +24,67 @@ import numpy as np
 
 ODD_A, ODD_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 INVERSE_A, INVERSE_B = pow(ODD_A, -1, 1 << 64), pow(ODD_B, -1, 1 << 64)
-HEAD = struct.Struct("<BBBIII")  # lanes, block bits, slot bits, block, entries, large counts
+HEAD = struct.Struct("<BBBIII")  # lanes, block bits, slot bits, block, entries, large counts; widths follow
 
 
-def _unshift(x: np.ndarray, by: int) -> np.ndarray:
+def _mask(width: int) -> np.uint64:
+    return np.uint64((1 << width) - 1)
+
+
+def _unshift(x: np.ndarray, by: int, width: int) -> np.ndarray:
     """The inverse of x ^= x >> by."""
     out, s = x.copy(), by
-    while s < 64:
+    while s < width:
         out ^= out >> np.uint64(s)
         s *= 2
     return out
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(ODD_A)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(ODD_B)
-    return x ^ (x >> np.uint64(31))
+def _shifts(width: int) -> list[int]:
+    return [max(1, width // 2), max(1, width // 2 - 3), max(1, width // 2 - 1)]
+
+
+def _spread(x: np.ndarray, width: int) -> np.ndarray:
+    a, b, c = (np.uint64(s) for s in _shifts(width))
+    x = ((x ^ (x >> a)) * np.uint64(ODD_A)) & _mask(width)
+    x = ((x ^ (x >> b)) * np.uint64(ODD_B)) & _mask(width)
+    return x ^ (x >> c)
+
 
+def _gather(x: np.ndarray, width: int) -> np.ndarray:
+    a, b, c = _shifts(width)
+    x = (_unshift(x, c, width) * np.uint64(INVERSE_B)) & _mask(width)
+    x = (_unshift(x, b, width) * np.uint64(INVERSE_A)) & _mask(width)
+    return _unshift(x, a, width)
 
-def _gather(x: np.ndarray) -> np.ndarray:
-    x = _unshift(x, 31) * np.uint64(INVERSE_B)
-    x = _unshift(x, 27) * np.uint64(INVERSE_A)
-    return _unshift(x, 30)
 
+def _turns(x: np.ndarray, widths: Sequence[int]):
+    """(lane, what its neighbour adds to it), twice round; the same backwards undoes it."""
+    lanes = len(widths)
+    for r in range(2 * lanes):
+        yield r % lanes, lambda r=r: _spread(x[:, (r + 1) % lanes] + np.uint64(r + 1), 64) & _mask(widths[r % lanes])
 
-def permuted(keys: np.ndarray) -> np.ndarray:
-    """A bijection of the rows of an (n, lanes) array: every lane in turn takes in a
-    function of its neighbour, twice round, and each lane is mixed at the end."""
+
+def permuted(keys: np.ndarray, widths: Sequence[int]) -> np.ndarray:
+    """A bijection of keys: every lane in turn takes in a function of its neighbour, and
+    each lane is mixed at the end."""
     x = keys.copy()
-    lanes = x.shape[1]
-    if lanes > 1:
-        for r in range(2 * lanes):
-            x[:, r % lanes] ^= _spread(x[:, (r + 1) % lanes] + np.uint64(r + 1))
-    for j in range(lanes):
-        x[:, j] = _spread(x[:, j])
+    if len(widths) > 1:
+        for lane, added in _turns(x, widths):
+            x[:, lane] ^= added()
+    for j, w in enumerate(widths):
+        x[:, j] = _spread(x[:, j], w)
     return x
 
 
-def restored(x: np.ndarray) -> np.ndarray:
+def restored(x: np.ndarray, widths: Sequence[int]) -> np.ndarray:
     """The inverse of ``permuted``."""
     keys = x.copy()
-    lanes = keys.shape[1]
-    for j in range(lanes):
-        keys[:, j] = _gather(keys[:, j])
-    if lanes > 1:
-        for r in reversed(range(2 * lanes)):
-            keys[:, r % lanes] ^= _spread(keys[:, (r + 1) % lanes] + np.uint64(r + 1))
+    for j, w in enumerate(widths):
+        keys[:, j] = _gather(keys[:, j], w)
+    if len(widths) > 1:
+        for lane, added in reversed(list(_turns(keys, widths))):
+            keys[:, lane] ^= added()
     return keys
 
 
@@ -93,37 +109,33 @@ def counted(x: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray
 class QuotientFilter:
     """The entries of one block: permuted keys in order, with counts."""
 
-    def __init__(self, x: np.ndarray, counts: np.ndarray, block_bits: int, block: int):
-        self.x, self.counts, self.block_bits, self.block = x, counts, block_bits, block
+    def __init__(self, x: np.ndarray, counts: np.ndarray, widths: Sequence[int], block_bits: int, block: int):
+        self.x, self.counts, self.widths, self.block_bits, self.block = x, counts, tuple(widths), block_bits, block
 
     @classmethod
     def merged(cls, filters: Sequence[QuotientFilter]) -> QuotientFilter:
         x, counts = counted(np.concatenate([f.x for f in filters]), np.concatenate([f.counts for f in filters]))
-        return cls(x, counts, filters[0].block_bits, filters[0].block)
+        return cls(x, counts, filters[0].widths, filters[0].block_bits, filters[0].block)
 
     def items(self) -> tuple[np.ndarray, np.ndarray]:
         """(keys as they were given, counts)."""
-        return restored(self.x), self.counts
-
-    def _layout(self) -> tuple[int, int]:
-        slot_bits = min(max(0, (len(self.x) - 1).bit_length()), 64 - self.block_bits)
-        return slot_bits, 64 - self.block_bits - slot_bits
+        return restored(self.x, self.widths), self.counts
 
     def to_bytes(self) -> bytes:
-        n, lanes = self.x.shape
-        slot_bits, rest = self._layout()
-        quotient = (self.x[:, 0] >> np.uint64(rest)) & np.uint64((1 << slot_bits) - 1) if rest < 64 else np.zeros(n, np.uint64)
+        n = len(self.x)
+        slot_bits = min(max(0, (n - 1).bit_length()), self.widths[0] - self.block_bits)
+        rest = self.widths[0] - self.block_bits - slot_bits
+        quotient = ((self.x[:, 0] >> np.uint64(rest)) if rest < 64 else np.zeros(n, np.uint64)) & _mask(slot_bits)
         occupied = np.zeros(1 << slot_bits, bool)
         occupied[quotient.astype(np.int64)] = True
         run_end = np.ones(n, bool)
         run_end[:-1] = quotient[1:] != quotient[:-1]
-        low = -(-rest // 8)
-        head = self.x[:, :1] & np.uint64((1 << rest) - 1)
-        remainders = [np.ascontiguousarray(head.astype("<u8")).view(np.uint8).reshape(n, 8)[:, :low]]
-        remainders += [np.ascontiguousarray(self.x[:, j : j + 1].astype("<u8")).view(np.uint8).reshape(n, 8) for j in range(1, lanes)]
+        kept = [(self.x[:, 0] & _mask(rest), rest), *((self.x[:, j], w) for j, w in enumerate(self.widths) if j)]
+        remainders = [np.ascontiguousarray(lane.astype("<u8")).view(np.uint8).reshape(n, 8)[:, : -(-w // 8)] for lane, w in kept]
         large = self.counts >= 255
         parts = [
-            HEAD.pack(lanes, self.block_bits, slot_bits, self.block, n, int(large.sum())),
+            HEAD.pack(len(self.widths), self.block_bits, slot_bits, self.block, n, int(large.sum())),
+            bytes(self.widths),
             np.packbits(occupied).tobytes(),
             np.packbits(run_end).tobytes(),
             np.concatenate(remainders, axis=1).tobytes(),
@@ -135,36 +147,38 @@ class QuotientFilter:
     @classmethod
     def from_bytes(cls, body: bytes) -> QuotientFilter:
         lanes, block_bits, slot_bits, block, n, n_large = HEAD.unpack_from(body)
-        at = HEAD.size
+        widths = tuple(body[HEAD.size : HEAD.size + lanes])
+        at = HEAD.size + lanes
 
         def take(size: int) -> np.ndarray:
             nonlocal at
             at += size
             return np.frombuffer(body, np.uint8, size, at - size)
 
-        rest = 64 - block_bits - slot_bits
-        low = -(-rest // 8)
+        rest = widths[0] - block_bits - slot_bits
         occupied = np.flatnonzero(np.unpackbits(take(-(-(1 << slot_bits) // 8)), count=1 << slot_bits))
         run_end = np.unpackbits(take(-(-n // 8)), count=n)
-        rows = take(n * (low + 8 * (lanes - 1))).reshape(n, -1)
+        sizes = [-(-w // 8) for w in (rest, *widths[1:])]
+        rows = take(n * sum(sizes)).reshape(n, sum(sizes))
         counts = take(n).astype(np.int64)
         counts[counts == 255] = take(8 * n_large).view("<i8")
-        run = np.cumsum(run_end, dtype=np.int64) - run_end
         x = np.zeros((n, lanes), np.uint64)
-        padded = np.zeros((n, 8), np.uint8)
-        padded[:, :low] = rows[:, :low]
-        x[:, 0] = padded.view("<u8").reshape(n)
-        if rest < 64:
+        column = 0
+        for j, size in enumerate(sizes):
+            padded = np.zeros((n, 8), np.uint8)
+            padded[:, :size] = rows[:, column : column + size]
+            x[:, j] = padded.view("<u8").reshape(n)
+            column += size
+        run = np.cumsum(run_end, dtype=np.int64) - run_end
+        if slot_bits:
             x[:, 0] |= occupied[run].astype(np.uint64) << np.uint64(rest)
         if block_bits:
-            x[:, 0] |= np.uint64(block << (64 - block_bits))
-        for j in range(1, lanes):
-            x[:, j] = np.ascontiguousarray(rows[:, low + 8 * (j - 1) : low + 8 * j]).view("<u8").reshape(n)
-        return cls(x, counts, block_bits, block)
+            x[:, 0] |= np.uint64(block << (widths[0] - block_bits))
+        return cls(x, counts, widths, block_bits, block)
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Counts of keys as they were given; 0 for those not held."""
-        x, held = permuted(keys), self.x
+        x, held = permuted(keys, self.widths), self.x
         found = np.zeros(len(x), np.int64)
         left = np.searchsorted(held[:, 0], x[:, 0], "left")
         right = np.searchsorted(held[:, 0], x[:, 0], "right")
@@ -177,11 +191,12 @@ class QuotientFilter:
             left[open_[~hit]] += 1
 
 
-def filters_of(x: np.ndarray, counts: np.ndarray, block_bits: int) -> list[QuotientFilter]:
+def filters_of(x: np.ndarray, counts: np.ndarray, widths: Sequence[int], block_bits: int) -> list[QuotientFilter]:
     """Distinct sorted permuted keys, cut into the filters of their blocks."""
     if not len(x):
         return []
-    block = x[:, 0] >> np.uint64(64 - block_bits) if block_bits else np.zeros(len(x), np.uint64)
+    block_bits = min(block_bits, widths[0])
+    block = x[:, 0] >> np.uint64(widths[0] - block_bits) if block_bits else np.zeros(len(x), np.uint64)
     starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
     ends = [*starts[1:].tolist(), len(x)]
-    return [QuotientFilter(x[a:b], counts[a:b], block_bits, int(block[a])) for a, b in zip(starts.tolist(), ends, strict=True)]
+    return [QuotientFilter(x[a:b], counts[a:b], widths, block_bits, int(block[a])) for a, b in zip(starts.tolist(), ends, strict=True)]
