@@ -11,6 +11,7 @@ from wardwatch.bridge import views as V
 from wardwatch.functions.guards import dbl
 from wardwatch.operators import boxes as BX
 from wardwatch.operators import tracking as TR
+from wardwatch.plans.materialise import written
 
 fam = Family()
 CRIT = ["R", "A"]
@@ -176,3 +177,12 @@ def person_boxes(spark, sf) -> DataFrame:
 @fam.add("mot_assign_tracks")
 def _tracks(spark, sf):
     return TR.assign_tracks(person_boxes(spark, sf)).select("seq_id", "frame_idx", "box_idx", "track_id")
+
+
+@fam.add(
+    "mot_track_faults",
+    """SELECT l_returnflag || '-' || (l_suppkey % 20) AS seq_id, count(*) AS boxes, 0::BIGINT AS twice, 0::BIGINT AS broken, 0::BIGINT AS missed FROM lineitem GROUP BY 1""",
+)
+def _faults(spark, sf):
+    """Ids are unique in a frame, every step is admissible, no free admissible track is passed over."""
+    return TR.track_faults(written(TR.assign_tracks(person_boxes(spark, sf))))

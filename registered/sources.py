@@ -170,15 +170,16 @@ def _cycles(spark, sf):
 @fam.add(
     "io_annotated_frames",
     """SELECT image_id, file_name, coalesce(b.boxes, '') AS boxes FROM (SELECT o_orderkey AS image_id, 'img-' || o_orderkey || '.png' AS file_name FROM orders)
-    LEFT JOIN (SELECT l_orderkey AS image_id, string_agg(l_returnflag || ':' || (l_partkey % 100)::DOUBLE || ':' || l_quantity, ';'
+    LEFT JOIN (SELECT l_orderkey AS image_id, string_agg(l_returnflag || ':' || (l_partkey % 100)::DOUBLE || ':' || (l_suppkey % 100)::DOUBLE || ':' || l_quantity || ':' || l_linenumber::DOUBLE, ';'
        ORDER BY l_returnflag, (l_partkey % 100), (l_suppkey % 100), l_quantity, l_linenumber) AS boxes
-     FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) b USING (image_id)""",
+     FROM lineitem GROUP BY 1) b USING (image_id)""",
 )
 def _coco(spark, sf):
+    """Whole tables as annotation files, read back range by range."""
     images = V.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("image_id"), F.concat(F.lit("img-"), F.col("o_orderkey").cast("string"), F.lit(".png")).alias("file_name")
     )
-    li = V.table(spark, sf, "lineitem").filter("l_linestatus = 'F'")
+    li = V.table(spark, sf, "lineitem")
     code = F.ascii("l_returnflag").cast("long")
     notes = li.select(
         F.col("l_orderkey").alias("image_id"),
@@ -187,9 +188,11 @@ def _coco(spark, sf):
             (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double"), F.col("l_quantity"), F.col("l_linenumber").cast("double")
         ).alias("bbox"),
     )
-    names = V.table(spark, sf, "lineitem").select(code.alias("category_id"), F.col("l_returnflag").alias("class")).distinct()
-    out = IM.annotated_frames(images, notes, names)
-    text = F.transform("boxes", lambda b: F.concat_ws(":", b["class"], b["x"].cast("string"), b["w"].cast("string")))
+    names = li.select(code.alias("category_id"), F.col("l_returnflag").alias("class")).distinct()
+    folder = f"{ensure_checkpoint_dir(spark)}/coco-{uuid.uuid4().hex}"
+    IM.write_coco(images, notes, names, folder, files=4)
+    out = IM.annotated_frames(*IM.coco_tables(spark, folder, 1 << 20))
+    text = F.transform("boxes", lambda b: F.concat_ws(":", b["class"], *[b[c].cast("string") for c in "xywh"]))
     return out.select("image_id", "file_name", F.array_join(text, ";").alias("boxes"))
 
 

@@ -10,14 +10,13 @@ from registered import Family
 from registered import sources as SRC
 from wardwatch.bridge import views as V
 from wardwatch.functions.guards import dbl
-from wardwatch.functions.text import ACCENTED, PLAIN
 from wardwatch.operators import speech as SP
 from wardwatch.sources import recordings as REC
 
 fam = Family()
 NS = 0.45
 RATE, LOW, HIGH = 0.5, 0.02, 0.25
-NORM = f"translate(lower({{0}}), '{ACCENTED}', '{PLAIN}')"
+NORM = "strip_accents(lower({0}))"
 
 cte(
     "transcripts",
@@ -52,7 +51,7 @@ def transcripts(spark, sf) -> DataFrame:
 
 
 def hits(spark, sf) -> DataFrame:
-    return SP.find_terms(transcripts(spark, sf), V.TERMS)
+    return SP.find_terms_in_segments(V.segments(spark, sf), V.TERMS)
 
 
 @fam.add(

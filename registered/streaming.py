@@ -19,11 +19,15 @@ from wardwatch.bridge import views as V
 from wardwatch.functions.guards import dbl
 from wardwatch.operators import fusion as FU
 from wardwatch.operators import prescriptions as RX
+from wardwatch.operators import tracking as TR
 from wardwatch.session import ensure_checkpoint_dir
 from wardwatch.streaming import streams as ST
 
 fam = Family()
 ORIGIN_MS = V.EPOCH_US // 1000
+HOUR, YEARS = 3600.0, 10 * 366 * 86400.0
+# Rows whose hour has ended when the watermark stands an hour before the newest event.
+PASSED = "date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
 
 def event_stream(spark: SparkSession, sf: str, delay: str = "1 hour") -> DataFrame:
@@ -77,18 +81,15 @@ def _windows(spark, sf):
 
 @fam.add(
     "str_zscore",
-    """SELECT event_id, round(score, 6) AS score, score > 1.5 AS flag FROM (SELECT event_id, CASE WHEN count(*) OVER b = 5 THEN CASE WHEN min(value) OVER b = max(value) OVER b
+    f"""SELECT event_id, round(score, 6) AS score, score > 1.5 AS flag FROM (SELECT event_id, CASE WHEN count(*) OVER b = 5 THEN CASE WHEN min(value) OVER b = max(value) OVER b
       THEN CASE WHEN value = min(value) OVER b THEN 0.0 ELSE 'inf'::DOUBLE END ELSE abs(value - avg(value) OVER b) / stddev_pop(value) OVER b END END AS score
-    FROM events WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))""",
+    , ts FROM events WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) WHERE {PASSED}""",
 )
 def _zscore(spark, sf):
     ev = event_stream(spark, sf)
-    means = ev.select(F.col("user_id").cast("string").alias("record_id"), F.col("ts").alias("start"), F.col("value").alias("mean"))
-    out = drained(ST.stream_zscore(means, 5, 1.5))
-    ids = V.table(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("record_id"), F.col("ts").cast("timestamp").alias("start"), F.col("value").alias("mean"), "event_id"
-    )
-    return out.join(ids, ["record_id", "start", "mean"]).select("event_id", F.round("score", 6).alias("score"), "flag")
+    means = ev.select(F.col("user_id").cast("string").alias("record_id"), F.col("ts").alias("start"), F.col("value").alias("mean"), "event_id")
+    out = drained(ST.on_time(ST.stream_zscore(means, 5, 1.5, ["event_id"], HOUR, YEARS)))
+    return out.select("event_id", F.round("score", 6).alias("score"), "flag")
 
 
 def fusion_stream(spark, sf) -> DataFrame:
@@ -131,16 +132,16 @@ def _dedup(spark, sf):
         F.concat("event_type", F.lit("-"), (F.col("value") >= 60).cast("string")).alias("alert_key"),
         "ts",
     )
-    return drained(alerts.dropDuplicatesWithinWatermark(["patient_id", "alert_key"])).select("patient_id", "alert_key")
+    return drained(ST.stream_alert_dedup(alerts, delay=None)).select("patient_id", "alert_key")
 
 
 @fam.add(
     "str_rx_rules",
     f"""SELECT patient_id, seq, rule, kind FROM (SELECT user_id::VARCHAR AS patient_id, event_id AS seq, event_type AS drug, value AS dose,
-      lag(event_type) OVER w AS pdrug, lag(value) OVER w AS pdose FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) e
+      ts, lag(event_type) OVER w AS pdrug, lag(value) OVER w AS pdose FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) e
     LEFT JOIN (VALUES ('click', 5.0, 40.0, 1), ('view', 1.0, 30.0, 1), ('purchase', 10.0, 45.0, 2), ('error', 8.0, 50.0, 3)) AS c(name, lo, hi, crit) ON c.name = e.drug
     LEFT JOIN (VALUES ('click', 1), ('view', 1), ('purchase', 2), ('error', 3)) AS p(pname, pcrit) ON p.pname = e.pdrug,
-    LATERAL (SELECT 'dose_range' AS rule, {RQ.DOSE_KIND} AS kind UNION ALL SELECT 'substitution', {RQ.SUB_KIND} UNION ALL SELECT 'abrupt_change', {RQ.abrupt(True)})""",
+    LATERAL (SELECT 'dose_range' AS rule, {RQ.DOSE_KIND} AS kind UNION ALL SELECT 'substitution', {RQ.SUB_KIND} UNION ALL SELECT 'abrupt_change', {RQ.abrupt(True)}) WHERE {PASSED}""",
 )
 def _rx(spark, sf):
     rows = [
@@ -158,24 +159,32 @@ def _rx(spark, sf):
         "ts",
         F.col("event_id").alias("seq"),
     )
-    out = ST.stream_rx_rules(ev, catalog, ["ts", "seq"])
+    out = ST.stream_rx_rules(ev, catalog, "ts", ["seq"], HOUR, YEARS)
     return drained(RX.rule_rows(out, "patient_id", "seq")).select("patient_id", "seq", "rule", "kind")
 
 
-@fam.add("str_tracks")
+FRAME_S = 14400
+
+
+@fam.add(
+    "str_tracks",
+    f"""SELECT user_id::VARCHAR AS seq_id, count(*) AS boxes, 0::BIGINT AS twice, 0::BIGINT AS broken, 0::BIGINT AS missed FROM events
+    WHERE (epoch_us(ts) // {FRAME_S * 1_000_000} + 1) * {FRAME_S} <= epoch_us((SELECT max(ts) FROM events) - INTERVAL 1 HOUR) / 1e6 GROUP BY 1""",
+)
 def _tracks(spark, sf):
     ev = event_stream(spark, sf)
     x, y = (F.col("event_id") % 3) * dbl(80), (F.col("user_id") % 4).cast("double")
     boxes = ev.select(
         F.col("user_id").cast("string").alias("seq_id"),
-        F.floor(F.unix_timestamp("ts") / 14400).cast("long").alias("frame_idx"),
+        F.floor(F.unix_timestamp("ts") / FRAME_S).cast("long").alias("frame_idx"),
         F.col("event_id").cast("string").alias("box_idx"),
         (x + F.col("value") % 9).alias("x1"),
         y.alias("y1"),
         (x + F.col("value") % 9 + 50).alias("x2"),
         (y + 80).alias("y2"),
+        "ts",
     )
-    return drained(ST.stream_tracks(boxes))
+    return TR.track_faults(drained(ST.on_time(ST.stream_tracks(boxes, "ts", float(FRAME_S), YEARS))))
 
 
 @fam.add(

@@ -1,11 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardwatch.functions.geometry import BODY_33
 from wardwatch.operators import boxes as BX
 from wardwatch.operators import motion as MO
-from wardwatch.operators.tracking import Tracker, assign_tracks
+from wardwatch.operators.tracking import SUMMARY, Tracker, assign_tracks, track_faults, track_segments
 
 POSES = "seq_id string, frame_idx long, pose_idx long, track_id long, landmarks array<struct<x:double,y:double,z:double,vis:double>>"
 
@@ -78,7 +79,9 @@ def test_tracks_match_one_tracker(table, chunk):
         for i in range(rng.randint(1, 4)):
             x, y = 60.0 * rng.randint(0, 3) + rng.random() * 8, rng.random() * 8
             rows.append(("s", f, i, x, y, x + 50, y + 90))
-    got = {(r.frame_idx, r.box_idx): r.track_id for r in assign_tracks(table(rows, BOX), chunk).collect()}
+    tracked = assign_tracks(table(rows, BOX), chunk, lead=3)
+    assert [tuple(r)[1:] for r in track_faults(tracked).collect()] == [(len(rows), 0, 0, 0)]
+    got = {(r.frame_idx, r.box_idx): r.track_id for r in tracked.collect()}
     tracker, want = Tracker(), {}
     for frame in sorted({r[1] for r in rows}):
         mine = [r for r in rows if r[1] == frame]
@@ -86,6 +89,27 @@ def test_tracks_match_one_tracker(table, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize("lead", [0, 40])
+def test_one_busy_sequence_is_many_tasks(table, lead):
+    """No pause anywhere; without a lead-in every cut is unequal and done anew."""
+    rng = random.Random(4)
+    rows, at = [], [[100.0 * i, 50.0] for i in range(5)]
+    for f in range(600):
+        order = rng.sample(range(5), 5)
+        for i, p in enumerate(order):
+            at[p][0] += rng.choice([-3, 0, 3])
+            if rng.random() < 0.85:
+                rows.append(("s", f, i, at[p][0], at[p][1], at[p][0] + 50, at[p][1] + 90))
+    done = track_segments(table(rows, BOX), 40, lead)
+    assert done.filter(F.col("kind") == SUMMARY).count() == 15
+    got = {(r.frame_idx, r.box_idx): r.track_id for r in assign_tracks(table(rows, BOX), 40, lead).collect()}
+    tracker, want = Tracker(), {}
+    for frame in range(600):
+        mine = sorted(r for r in rows if r[1] == frame)
+        want.update({(frame, r[2]): t for r, t in zip(mine, tracker.step(frame, [r[3:] for r in mine]))})
+    assert got == want
+
+
 def test_match_cases(table):
     boxes = "image string, class string, box_id string, x double, y double, w double, h double, confidence double"
     truth = table([("i", "a", "t1", 100.0, 100.0, 50.0, 50.0, None), ("j", "b", "t2", 0.0, 0.0, 9.0, 9.0, None)], boxes)

@@ -1,6 +1,10 @@
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from wardwatch.functions.text import fold_runs, normalize
 from wardwatch.operators import speech as SP
 
 SEG = "recording_id string, seg_idx int, start_s double, end_s double, text string, no_speech_prob double"
@@ -17,8 +21,9 @@ def test_terms_without_case_or_accent(table, as_rows):
 
 
 @pytest.mark.parametrize("text,term,at", [("aaaa", "aa", [0, 2]), ("aaaaa", "aa", [0, 2]), ("abcabc", "c", [2, 5]), ("x.y", ".", [1]), ("a\\Eb", "\\E", [1]), ("", "a", [])])
-def test_occurrences_do_not_overlap(spark, text, term, at):
-    assert spark.range(1).select(SP.occurrences(F.lit(text), F.lit(term)).alias("a")).first().a == at
+def test_occurrences_do_not_overlap(table, text, term, at):
+    hits = SP.find_terms(table([("r", text)], "recording_id string, text string"), [term])
+    assert sorted(r.char_at for r in hits.collect()) == at
 
 
 def test_sentiment(spark):
@@ -66,3 +71,70 @@ def test_cycle_classifier_learns_and_repeats(table):
     got = {r.cycle_index: (r.label, r.predicted_label, r.confidence) for r in once.collect()}
     assert got == {r.cycle_index: (r.label, r.predicted_label, r.confidence) for r in again.collect()}
     assert all(a == b and 0.5 <= c <= 1.0 for a, b, c in got.values())
+
+
+def loop_hits(text, terms, context=40):
+    """Left-to-right search in the folded text, with the place of every folded character."""
+    fold, place = [], []
+    for i, c in enumerate(text):
+        for d in unicodedata.normalize("NFKD", c.lower()):
+            if not unicodedata.combining(d):
+                fold.append(d)
+                place.append(i)
+    folded, ends = "".join(fold), [*place, len(text)]
+    out = []
+    for term in terms:
+        t = "".join(d for d in unicodedata.normalize("NFKD", term.lower()) if not unicodedata.combining(d))
+        at = folded.find(t) if t else -1
+        while at >= 0:
+            end = at + len(t)
+            first, last = ends[at], ends[end] if end < len(folded) else len(text)
+            out.append((term, first, text[max(0, first - context) : last + context]))
+            at = folded.find(t, end)
+    return sorted(out)
+
+
+def odd_text(rng, n):
+    words = ["não", "não", "NÃO", "dor", "DOR", "d́oŗ", "tonto", "tontonto", "falta", "de ar", "aaaa", "İx", "Ǻb", "ß", "ﬁm", "x.y", "\\E", "(a)", "😀", "ñ"]
+    return "".join(rng.choice(words) + rng.choice([" ", "", ", ", "\n"]) for _ in range(n))
+
+
+TERMS = ["não", "dor", "tonto", "falta de ar", "falta", "aa", "ta", ".", "\\E", "(a)", "ix", "ab", "", "́", "ã😀", "ñ"]
+
+
+def test_folded_marks_keep_places(spark):
+    for text in ["não ḑ́or", "NÃO", "", "́́a", "Ǻ̀b", "abc"]:
+        row = spark.range(1).select(normalize(F.lit(text)).alias("n"), fold_runs(F.lit(text)).alias("r")).first()
+        want = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not unicodedata.combining(c))
+        assert row.n == want and sum(r.n for r in row.r) == len(text) - len(want)
+    assert spark.range(1).select(SP.highlight_term(F.lit("eu não sei"), "NÃO")).first()[0] == "eu **não** sei"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    texts = [("none", ""), ("null", None), ("e", "nothing here"), ("long", odd_text(rng, 6000)), *((f"t{i}", odd_text(rng, 30)) for i in range(40))]
+    got = SP.find_terms(spark.createDataFrame(texts, "recording_id string, text string"), TERMS)
+    want = sorted((i, *h) for i, t in texts if t for h in loop_hits(t, TERMS))
+    assert sorted((r.recording_id, r.term, r.char_at, r.context) for r in got.collect()) == want and len(want) > 3000
+
+
+def test_terms_across_segments_and_blocks(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    for rec in ("a", "b"):
+        text, at, k = odd_text(rng, 700), 0, 0
+        while at < len(text):
+            step = rng.choice([0, 1, 1, 2, 5, 60])
+            rows.append((rec, k, float(k), float(k + 1), text[at : at + step], 0.1))
+            at, k = at + step, k + 1
+        want += [(rec, *h) for h in loop_hits(text, TERMS)]
+    got = SP.find_terms_in_segments(spark.createDataFrame(rows, SEG), TERMS, block=64)
+    assert sorted((r.recording_id, r.term, r.char_at, r.context) for r in got.collect()) == sorted(want)
+
+
+def test_texts_are_searched_once(spark):
+    df = spark.createDataFrame([("r", "dor e falta")], "recording_id string, text string")
+    terms = [t for t in SP.default_terms() if not SP.overlaps_itself(t)]
+    plan = SP.find_terms(df, terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and plan.count("(?=") == 1

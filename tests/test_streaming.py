@@ -47,19 +47,100 @@ def test_risk_in_batches_equals_batch(spark, tmp_path):
     assert pick(got) == late and len(late) > 60
 
 
-def test_zscore_state_crosses_batches(spark, tmp_path):
+T0 = dt.datetime(2024, 1, 1)
+
+
+def minutes(m):
+    return T0 + dt.timedelta(minutes=m)
+
+
+def mixed(rows, near, parts, rng):
+    """Rows out of order by up to ``near`` places, in batches."""
+    order = sorted(range(len(rows)), key=lambda i: i + rng.uniform(0, near))
+    size = -(-len(rows) // parts)
+    return [[rows[i] for i in order[a : a + size]] for a in range(0, len(rows), size)]
+
+
+def test_zscore_of_mixed_batches_equals_batch(spark, tmp_path):
+    rng = random.Random(3)
+    schema = "record_id string, start timestamp, mean double, n long"
+    rows = [(rng.choice("ab"), minutes(i // 2), None if i % 13 == 5 else float(rng.randint(90, 110)), i) for i in range(160)]
+    rows += [("z", minutes(400), 1.0, 1000)]  # moves the watermark past all others
+    batches = mixed(rows[:-1], 12, 6, rng) + [rows[-1:]]
+    got = feed(spark, tmp_path, batches, schema, lambda s: ST.stream_zscore(s.withWatermark("start", "10 minutes"), 5, 1.5, ["n"], width=120.0))
+    got = got.filter("record_id <> 'z'").collect()
+    want = {}
+    for key in "ab":
+        before = []
+        for r in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[3])):
+            score = None
+            if r[2] is not None and len(before) == 5:
+                m = sum(before) / 5
+                sd = (sum((x - m) ** 2 for x in before) / 5) ** 0.5
+                score = round(abs(r[2] - m) / sd, 9) if sd else (0.0 if r[2] == m else float("inf"))
+            want[r[3]] = score
+            before = [*before, r[2]][-5:] if r[2] is not None else before
+    assert {r.n: None if r.score is None else round(r.score, 9) for r in got} == want
+    assert not any(r.late for r in got) and all(r.start == minutes(r.n // 2) for r in got)
+    assert {r.flag for r in got} == {None, True, False}
+
+
+def test_late_rows_go_to_a_side_table_and_idle_keys_are_forgotten(spark, tmp_path):
     schema = "record_id string, start timestamp, mean double"
-    rows = [("r", dt.datetime(2024, 1, 1, 0, i), float(v)) for i, v in enumerate([138, 140, 142, 139, 141, 145])]
-    got = feed(spark, tmp_path, [rows[:2], rows[2:5], rows[5:]], schema, lambda s: ST.stream_zscore(s, 5, 3.0)).orderBy("start").collect()
-    assert [r.flag for r in got] == [None] * 5 + [True]
+    # a: five means, then one behind the closed buckets, then a new start after a long pause
+    batches = [
+        [("a", minutes(i), 100.0 + i) for i in range(5)],
+        [("b", minutes(60), 1.0)],
+        [("b", minutes(61), 1.0)],
+        [("a", minutes(2), 7.0), ("a", minutes(61), 110.0)],
+        [("b", minutes(400), 1.0)],
+        [("b", minutes(401), 1.0)],
+        [("a", minutes(402), 5.0)],
+        [("b", minutes(900), 1.0)],
+        [("b", minutes(901), 1.0)],
+    ]
+    build = lambda s: ST.stream_zscore(s.withWatermark("start", "1 minute"), 3, 1.0, width=60.0, ttl=3600.0 * 2)
+    got = feed(spark, tmp_path, batches, schema, build)
+    a = {(r.start, r.mean): (r.score is not None, r.late) for r in got.filter("record_id = 'a'").collect()}
+    assert a[minutes(2), 7.0] == (False, True)
+    assert a[minutes(61), 110.0] == (True, False)
+    assert a[minutes(402), 5.0] == (False, False)  # state was removed two hours after minute 61
+    assert ST.on_time(got).count() == got.count() - 1
 
 
-def test_tracks_in_batches_equal_one_tracker(spark, tmp_path):
-    schema = "seq_id string, frame_idx long, box_idx string, x1 double, y1 double, x2 double, y2 double"
-    rows = [("s", f, str(i), 100.0 * i + f, 0.0, 100.0 * i + f + 60, 90.0) for f in [0, 1, 2, 9, 30, 31] for i in range(2)]
-    got = {(r.frame_idx, r.box_idx): r.track_id for r in feed(spark, tmp_path, [rows[:4], rows[4:8], rows[8:]], schema, ST.stream_tracks).collect()}
+def test_tracks_of_mixed_batches_equal_one_tracker(spark, tmp_path):
+    rng = random.Random(5)
+    schema = "seq_id string, frame_idx long, box_idx string, x1 double, y1 double, x2 double, y2 double, ts timestamp"
+    frames = [0, 1, 2, 3, 9, 10, 30, 31, 32, 33, 34, 60]
+    rows = [("s", f, str(i), 100.0 * i + f, 0.0, 100.0 * i + f + 60, 90.0, minutes(f)) for f in frames for i in range(2)]
+    end = [("t", 500, "0", 0.0, 0.0, 1.0, 1.0, minutes(500))]
+    got = feed(spark, tmp_path, [*mixed(rows, 5, 4, rng), end], schema, lambda s: ST.stream_tracks(s.withWatermark("ts", "30 minutes"), width=60.0))
+    got = {(r.frame_idx, r.box_idx): r.track_id for r in got.filter("seq_id = 's'").collect()}
     tracker, want = Tracker(), {}
-    for f in sorted({r[1] for r in rows}):
+    for f in frames:
         mine = [r for r in rows if r[1] == f]
-        want.update({(f, r[2]): t for r, t in zip(mine, tracker.step(f, [r[3:] for r in mine]))})
+        want.update({(f, r[2]): t for r, t in zip(mine, tracker.step(f, [r[3:7] for r in mine]), strict=True)})
     assert got == want
+
+
+def test_prescriptions_of_mixed_batches_see_the_row_before(spark, tmp_path):
+    rng = random.Random(6)
+    schema = "patient_id string, drug string, dose double, unit string, ts timestamp, seq long"
+    rows = [(rng.choice("pq"), rng.choice(["x", "y"]), float(rng.randint(1, 9)), "mg", minutes(i // 3), i) for i in range(60)]
+    end = [("w", "x", 1.0, "mg", minutes(300), 999)]
+    link = lambda s: ST.in_order(s.withWatermark("ts", "10 minutes"), "patient_id", "ts", ["seq"], "prev_drug string, prev_dose double, prev_unit string", ST.previous_prescription)
+    got = feed(spark, tmp_path, [*mixed(rows, 9, 5, rng), end], schema, link).filter("patient_id <> 'w'").collect()
+    want = {}
+    for p in "pq":
+        before = (None, None)
+        for r in (r for r in rows if r[0] == p):
+            want[r[5]] = before
+            before = (r[1], r[2])
+    assert {r.seq: (r.prev_drug, r.prev_dose) for r in got} == want
+
+
+def test_alerts_once_per_watermark(spark, tmp_path):
+    schema = "patient_id string, alert_key string, ts timestamp"
+    rows = [("p", "k", minutes(0)), ("p", "k", minutes(5)), ("p", "other", minutes(6)), ("q", "k", minutes(6))]
+    got = feed(spark, tmp_path, [rows[:2], rows[2:]], schema, ST.stream_alert_dedup)
+    assert sorted((r.patient_id, r.alert_key) for r in got.collect()) == [("p", "k"), ("p", "other"), ("q", "k")]

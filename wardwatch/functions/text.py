@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,14 +19,54 @@ def exact_round(x: Column, places: int) -> Column:
     return fixed(x, places).cast("double")
 
 
-# Accented Latin letters and their plain forms, position by position.
-ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
+def _folding() -> tuple[str, str, str]:
+    """(letters that fold, what they fold to, combining marks), by decomposition: every
+    character whose compatible decomposition is one base character and marks. Forms that
+    become several characters stay as they are."""
+    letters, plain, marks = [], [], []
+    for code in [*range(0x80, 0x3000), *range(0xFE20, 0xFE30)]:
+        c = chr(code)
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        base = "".join(d for d in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(d))
+        if len(base) == 1 and base != c.lower():
+            letters.append(c.lower() if len(c.lower()) == 1 else c)
+            plain.append(base)
+    return "".join(letters), "".join(plain), "".join(marks)
+
+
+LETTERS, PLAIN, MARKS = _folding()
+MARK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in MARKS) + "]"
+OTHER = r"[^\x00-\x7F]"
 
 
 def normalize(s: Column) -> Column:
-    """Lower case without accents; keeps the length, so offsets stay valid."""
-    return F.translate(F.lower(s), ACCENTED, PLAIN)
+    """Lower case, accents folded and combining marks left out. Each other character
+    stays one character, so ``fold_runs`` leads from folded offsets back to the text."""
+    low = F.lower(F.translate(s, "\u0130", "i"))  # the one letter whose lower form is two characters
+    return F.when(s.rlike(OTHER), F.translate(low, LETTERS + MARKS, PLAIN)).otherwise(F.lower(s))
+
+
+def fold_runs(s: Column) -> Column:
+    """Array of (q, n): n marks were left out behind the first q folded characters. Empty
+    for almost every text."""
+    ends = F.transform(F.split(s, MARK + "+", -1), lambda p: F.length(p))
+    sizes = F.transform(F.regexp_extract_all(s, F.lit(f"({MARK}+)"), F.lit(1)), lambda m: F.length(m))
+    kind = "struct<at:int,runs:array<struct<q:int,n:int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<q:int,n:int>>").alias("runs")).cast(kind)
+
+    def step(acc: Column, run: Column) -> Column:
+        at = acc["at"] + run["0"]
+        return F.struct(at.alias("at"), F.concat(acc["runs"], F.array(F.struct(at.alias("q"), run["1"].alias("n")))).alias("runs")).cast(kind)
+
+    runs = F.aggregate(F.arrays_zip(F.slice(ends, F.lit(1), F.size(sizes)).alias("0"), sizes.alias("1")), start, step, lambda acc: acc["runs"])
+    return F.when(s.rlike(MARK), runs).otherwise(F.array().cast("array<struct<q:int,n:int>>"))
+
+
+def original_offset(p: Column, runs: Column) -> Column:
+    """Where folded offset ``p`` lies in the text: behind all marks of the characters before."""
+    return p + F.aggregate(runs, F.lit(0), lambda acc, r: acc + F.when(r["q"] <= p, r["n"]).otherwise(0))
 
 
 def replace_chars(s: Column, old: str, new: str) -> Column:

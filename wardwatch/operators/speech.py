@@ -1,20 +1,22 @@
 """Speech and respiratory audio on segment, feature and sample tables.
 
-A recording is one consultation, so its transcript is one text value; everything
-else works row by row or in chunks.
+Everything works row by row or in chunks; terms are found in blocks of the joined text,
+so a recording of any length need not be one text value.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardwatch.functions.guards import dbl, ratio
-from wardwatch.functions.text import exact_round, fixed, normalize
+from wardwatch.functions.text import LETTERS, MARKS, PLAIN, exact_round, fixed, fold_runs, normalize, original_offset
 from wardwatch.operators.vitals import window_numbers
 from wardwatch.plans.joins import interval_join
+from wardwatch.plans.materialise import written
 from wardwatch.plans.ordered import DEFAULT_CHUNK, carried, chunk_window, core_rows, dense_index, with_halo
 
 CONTEXT = 40
@@ -154,34 +156,156 @@ def assemble_transcript(segments: DataFrame, threshold: float = NO_SPEECH) -> Da
     return out.withColumn("reliable", F.col("text").rlike(r"\S") & (F.col("avg_no_speech") <= dbl(threshold)))
 
 
-def quoted(term: Column) -> Column:
-    return F.concat(F.lit("\\Q"), F.replace(term, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+SEED = 3
+BLOCK = 8192
 
 
-def occurrences(text: Column, term: Column) -> Column:
-    """Zero-based offsets of the non-overlapping occurrences of ``term``, left to right."""
-    pieces = F.split(text, quoted(term), -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("hits"))
+def folded_terms(terms: Sequence[str]) -> list[tuple[int, str, str]]:
+    """(order, term, folded term) of the terms that fold to something."""
+    out = []
+    for i, t in enumerate(terms):
+        low = "".join(c for c in (t or "").replace("\u0130", "i").lower())
+        fold = low.translate(str.maketrans(LETTERS, PLAIN, MARKS))
+        if fold:
+            out.append((i, t, fold))
+    return out
 
-    def step(acc: Column, piece: Column) -> Column:
-        hit = acc["at"] + F.length(piece)
-        return F.struct((hit + F.length(term)).alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
 
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda acc: acc["hits"])
+def overlaps_itself(term: str) -> bool:
+    return any(term.startswith(term[k:]) for k in range(1, len(term)))
+
+
+def _seed_pattern(seeds: Sequence[str]) -> str:
+    """One pattern of all seeds, branching by letter like a trie."""
+    ends = "" in seeds
+    first = sorted({s[0] for s in seeds if s})
+    if ends or not first:
+        return ""  # a shorter seed already stands for the longer ones
+    branches = [re.sub(r"([^\w ])", r"\\\1", c) + _seed_pattern([s[1:] for s in seeds if s and s[0] == c]) for c in first]
+    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+
+
+def _block_hits(blocks: DataFrame, terms: Sequence[str], context: int) -> DataFrame:
+    """Hits that start in the core of a block ``(recording_id, at, before, core, text)``.
+
+    The folded block is cut once at every place where some term's first letters, its seed,
+    stand. Only terms of that seed are compared there, with the letters that follow, and
+    only places where one fits become rows.
+    """
+    known = folded_terms(terms)
+    if not known:
+        return blocks.select("recording_id", F.lit(0).alias("order"), F.lit("").alias("term"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("char_at"), F.lit("").alias("context")).limit(0)
+    longest = max(len(f) for _, _, f in known)
+    by_seed: dict[str, list[tuple[int, str, str]]] = {}
+    for entry in known:
+        by_seed.setdefault(entry[2][:SEED], []).append(entry)
+    pattern = _seed_pattern(list(by_seed))
+    entry = lambda e: F.struct(F.lit(e[0]).alias("order"), F.lit(e[1]).alias("term"), F.lit(e[2]).alias("fold"))
+    kind = "array<struct<order:int,term:string,fold:string>>"
+
+    def of_seed(window: Column) -> Column:
+        lists = []
+        for size in sorted({len(s) for s in by_seed}):
+            table = F.create_map(*[x for s, es in by_seed.items() if len(s) == size for x in (F.lit(s), F.array(*[entry(e) for e in es]))])
+            lists.append(F.coalesce(F.try_element_at(table, F.substring(window, 1, size)), F.array().cast(kind)))
+        return F.concat(*lists)
+
+    def once(df: DataFrame, **values: Column) -> DataFrame:
+        """Columns computed once a row: an expression that a lambda reads would otherwise be
+        computed anew for each of its elements."""
+        return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
+
+    texts = once(blocks, _n=normalize(F.col("text"))).filter(F.col("_n").rlike(pattern))
+    cut = once(texts, _p=F.split("_n", f"(?={pattern})", -1), _r=fold_runs(F.col("text"))).drop("_n")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    places = F.aggregate("_p", start, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+    heads = once(cut, _h=F.transform("_p", lambda p: F.substring(p, 1, longest)), _at=places).drop("_p")
+
+    def at_place(place: Column, i: Column) -> Column:
+        head = F.get("_h", i)
+        window = F.when(F.length(head) >= longest, head).otherwise(F.substring(F.array_join(F.slice("_h", i + 1, F.lit(longest)), ""), 1, longest))
+        return F.struct(place.alias("p"), window.alias("w"))
+
+    windows = once(heads, _w=F.transform("_at", at_place)).drop("_h", "_at")
+
+    def fits(w: Column) -> Column:
+        found = F.filter(of_seed(w["w"]), lambda e: F.startswith(w["w"], e["fold"]))
+        return F.transform(found, lambda e: F.struct(e["order"].alias("order"), e["term"].alias("term"), F.length(e["fold"]).alias("n"), w["p"].alias("p")))
+
+    hits = windows.select("recording_id", "at", "before", "core", "text", "_r", F.inline(F.flatten(F.transform("_w", fits))))
+    first = original_offset(F.col("p"), F.col("_r"))
+    hits = hits.withColumn("_s", first).filter((F.col("_s") >= F.col("before")) & (F.col("_s") < F.col("before") + F.col("core")))
+    end = original_offset(F.col("p") + F.col("n"), F.col("_r"))
+    left = F.greatest(F.col("_s") - context, F.lit(0))
+    shown = F.substring(F.col("text"), left + 1, F.least(end + context, F.length("text")) - left)
+    found = hits.select("recording_id", "order", "term", "n", (F.col("at") + F.col("_s")).cast("long").alias("char_at"), shown.alias("context"))
+    return _apart(found, [o for o, _, f in known if overlaps_itself(f)], longest)
+
+
+def _apart(hits: DataFrame, orders: Sequence[int], longest: int) -> DataFrame:
+    """Of overlapping places of one term, those that a search from left to right takes.
+    Only terms whose end is also their beginning can overlap."""
+    if not orders:
+        return hits
+    hits = written(hits)  # few rows; the texts are searched once
+    plain = hits.filter(~F.col("order").isin(list(orders)))
+    keys = ["recording_id", "order"]
+    near = with_halo(hits.filter(F.col("order").isin(list(orders))), "char_at", before=2 * longest)
+    gap = F.col("char_at") - F.lag("char_at").over(chunk_window(keys, "char_at"))
+    marked = core_rows(near.withColumn("_new", F.when(gap.isNull() | (gap >= F.col("n")), F.col("char_at"))))
+    groups = carried(marked, keys, "char_at", last={"_group": F.col("_new")})
+    rows = groups.groupBy(*keys, "term", "n", "_group").agg(F.sort_array(F.collect_list(F.struct("char_at", "context"))).alias("_all"))
+    kind = "struct<next:bigint,kept:array<struct<char_at:bigint,context:string>>>"
+    start = F.struct(F.lit(-1).cast("long").alias("next"), F.array().cast("array<struct<char_at:bigint,context:string>>").alias("kept")).cast(kind)
+
+    def step(acc: Column, h: Column) -> Column:
+        taken = F.struct((h["char_at"] + F.col("n")).alias("next"), F.concat(acc["kept"], F.array(h)).alias("kept")).cast(kind)
+        return F.when(h["char_at"] >= acc["next"], taken).otherwise(acc)
+
+    kept = rows.select(*keys, "term", "n", F.inline(F.aggregate("_all", start, step, lambda acc: acc["kept"])))
+    return plain.unionByName(kept.select(*plain.columns))
+
+
+def _reach(terms: Sequence[str], context: int) -> int:
+    """Characters behind a block's core that a hit and its context may need; each letter
+    may carry several marks."""
+    return 4 * max([len(t) for t in terms if t] or [0]) + context
 
 
 def find_terms(transcripts: DataFrame, terms: Sequence[str], context: int = CONTEXT) -> DataFrame:
     """Hits of every term, as a substring without regard to case or accents, with the
-    surrounding original text. ``order`` numbers the terms."""
-    wanted = F.array(*[F.struct(F.lit(i).alias("order"), F.lit(t).alias("term")) for i, t in enumerate(terms) if t])
-    each = transcripts.select("recording_id", "text", normalize(F.col("text")).alias("_n"), F.inline(wanted))
-    each = each.withColumn("_t", normalize(F.col("term"))).filter((F.col("_t") != "") & F.contains("_n", "_t"))
-    hits = each.withColumn("char_at", F.explode(occurrences(F.col("_n"), F.col("_t"))))
-    first = F.greatest(F.col("char_at") - context, F.lit(0))
-    last = F.least(F.col("char_at") + F.length("_t") + context, F.length("text"))
-    return hits.select(
-        "recording_id", "order", "term", F.col("char_at").cast("long").alias("char_at"), F.substring("text", first + 1, last - first).alias("context")
-    )
+    surrounding original text. ``order`` numbers the terms; ``char_at`` counts characters
+    of the text as it is. Long texts are searched block by block."""
+    after = _reach(terms, context)
+    size = F.length("text")
+    cut = transcripts.select("recording_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(BLOCK))).alias("_b"))
+    at = F.greatest(F.col("_b") - context, F.lit(0))
+    part = F.when(size <= BLOCK, F.col("text")).otherwise(F.substring(F.col("text"), at + 1, F.col("_b") - at + BLOCK + after))
+    blocks = cut.select("recording_id", at.alias("at"), (F.col("_b") - at).alias("before"), F.lit(BLOCK).alias("core"), part.alias("text"))
+    return _block_hits(blocks, terms, context).drop("n")
+
+
+def segment_blocks(segments: DataFrame, before: int, after: int, block: int = BLOCK) -> DataFrame:
+    """Blocks ``(recording_id, at, before, core, text)`` of the joined text of a recording's
+    segments, which never exists as one value: each segment gives every block that looks
+    at it the characters it needs, placed by its running offset."""
+    rows = segments.select("recording_id", "seg_idx", "text", F.length("text").cast("long").alias("_len")).filter("_len > 0")
+    rows = carried(rows, ["recording_id"], "seg_idx", sums={"_to": F.col("_len")}).withColumn("_from", F.col("_to") - F.col("_len"))
+    first = F.greatest(F.floor((F.col("_from") - after) / F.lit(block)), F.lit(0)).cast("long")
+    last = F.floor((F.col("_to") - 1 + before) / F.lit(block)).cast("long")
+    spread = rows.withColumn("_b", F.explode(F.sequence(first, last)))
+    start = F.greatest(F.col("_from"), F.col("_b") * block - before)
+    end = F.least(F.col("_to"), (F.col("_b") + 1) * block + after)
+    piece = F.substring(F.col("text"), (start - F.col("_from") + 1).cast("int"), (end - start).cast("int"))
+    parts = spread.filter(end > start).select("recording_id", "_b", start.alias("_s"), piece.alias("_t"))
+    joined = parts.groupBy("recording_id", "_b").agg(F.array_sort(F.collect_list(F.struct("_s", "_t"))).alias("_a"), F.min("_s").alias("at"))
+    core = F.lit(block)
+    return joined.select("recording_id", "at", (F.col("_b") * block - F.col("at")).cast("int").alias("before"), core.alias("core"), F.array_join("_a._t", "").alias("text"))
+
+
+def find_terms_in_segments(segments: DataFrame, terms: Sequence[str], context: int = CONTEXT, block: int = BLOCK) -> DataFrame:
+    """As ``find_terms`` on the joined text of each recording, across segment borders."""
+    return _block_hits(segment_blocks(segments, context, _reach(terms, context), block), terms, context).drop("n")
 
 
 def term_timestamp(hits: DataFrame, segments: DataFrame, width: int = 4096) -> DataFrame:
@@ -199,9 +323,10 @@ def highlight_term(text: Column, term: Column | str) -> Column:
     """First occurrence of the term in ``**``."""
     t = normalize(F.lit(term) if isinstance(term, str) else term)
     at = F.call_function("locate", t, normalize(text))
-    end = at + F.length(t)
+    runs = fold_runs(text)
+    first, end = original_offset(at - 1, runs), original_offset(at - 1 + F.length(t), runs)
     marked = F.concat(
-        F.substring(text, F.lit(1), at - 1), F.lit("**"), F.substring(text, at, F.length(t)), F.lit("**"), F.substring(text, end, F.length(text))
+        F.substring(text, F.lit(1), first), F.lit("**"), F.substring(text, first + 1, end - first), F.lit("**"), F.substring(text, end + 1, F.length(text))
     )
     return F.when(at > 0, marked).otherwise(text)
 

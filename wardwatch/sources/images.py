@@ -5,25 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardwatch.sources.json_arrays import array_objects, plan_ranges, write_array_files
 from wardwatch.sources.recordings import stem
 
-COCO = (
-    "images array<struct<id: bigint, file_name: string>>, "
-    "annotations array<struct<image_id: bigint, category_id: bigint, bbox: array<double>>>, "
-    "categories array<struct<id: bigint, name: string>>"
-)
+IMAGE = "id bigint, file_name string"
+ANNOTATION = "image_id bigint, category_id bigint, bbox array<double>"
+CATEGORY = "id bigint, name string"
 
 
-def coco_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def coco_tables(spark: SparkSession, path: str, range_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Images, annotations and categories of a folder of annotation files; ids count
-    within their file."""
-    raw = spark.read.schema(COCO).option("multiLine", True).json(path).withColumn("source", F.input_file_name())
-    images = raw.select("source", F.inline("images")).withColumnRenamed("id", "image_id")
-    annotations = raw.select("source", F.inline("annotations"))
-    categories = raw.select("source", F.inline("categories")).withColumnsRenamed({"id": "category_id", "name": "class"})
+    within their file. Files are read in ranges of ``range_bytes``, however large."""
+    plan = plan_ranges(spark, path, range_bytes)
+    images = array_objects(spark, plan, "images", IMAGE).drop("at").withColumnRenamed("id", "image_id")
+    annotations = array_objects(spark, plan, "annotations", ANNOTATION).drop("at")
+    categories = array_objects(spark, plan, "categories", CATEGORY).drop("at").withColumnsRenamed({"id": "category_id", "name": "class"})
     return images, annotations, categories
 
 
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, folder: str, files: int = 1) -> list[str]:
+    """Annotation files of ``images (image_id, file_name)``, ``annotations (image_id,
+    category_id, bbox)`` and ``categories (category_id, class)``; an image and its
+    annotations share a file, categories are in each."""
+    return write_array_files(
+        {
+            "images": images.select("image_id", F.col("image_id").alias("id"), "file_name"),
+            "categories": categories.select(F.col("category_id").alias("id"), F.col("class").alias("name")),
+            "annotations": annotations.select("image_id", "category_id", "bbox"),
+        },
+        folder,
+        "image_id",
+        files,
+    )
+
+
 def annotated_frames(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """One row per image with its boxes; an image without annotation keeps an empty
     list. The class name comes from the category id only."""

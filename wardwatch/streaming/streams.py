@@ -6,7 +6,8 @@ to be started with any sink. State is kept per record, patient or sequence.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import pickle
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardwatch.operators import fusion as FU
 from wardwatch.operators import prescriptions as RX
@@ -67,47 +67,154 @@ def stream_window_features(samples: DataFrame, size: str, slide: str | None = No
     )
 
 
-def _zscore_rows(means: list[float], fresh: np.ndarray, baseline: int) -> tuple[list[float | None], list[float]]:
-    scores: list[float | None] = []
-    for m in fresh:
-        if len(means) < baseline:
-            scores.append(None)
+class InOrder(StatefulProcessor):
+    """Rows of a key in event-time order, however late they come within the watermark.
+
+    Rows wait in state by time bucket, an entry for each arrival; a timer at the end of the
+    first bucket, which the watermark sets off, hands the rows of all that ended in order to ``fold(memory, rows) ->
+    (values, memory)``. Rows of a bucket that was already handed over go out at once, marked
+    late and without values. Some time after its last row a key's state is removed.
+    """
+
+    def __init__(self, columns: Sequence[str], extras: Sequence[str], order: Sequence[str], fold: Callable, width_us: int, ttl_us: int):
+        self.columns, self.extras, self.fold = list(columns), list(extras), fold
+        self.order = [self.columns.index(c) for c in ("event_us", *order)]
+        self.at, self.width, self.ttl = self.columns.index("event_us"), width_us, ttl_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long, part long", "rows binary")
+        self.parts = handle.getMapState("parts", "bucket long", "parts long")
+        self.memory = handle.getValueState("memory", "body binary")
+        self.until = handle.getValueState("until", "done long, last long, next long")
+
+    def _due_ms(self, us: int) -> int:
+        return -(-us // 1000)
+
+    def _frame(self, rows: list[tuple], values: list[tuple], late: bool) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=self.columns, dtype=object)
+        for i, name in enumerate(self.extras):
+            out[name] = pd.Series([v[i] for v in values], dtype=object)
+        out["late"] = late
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        done, last, timer = self.until.get() if self.until.exists() else (None, None, None)
+        buckets: dict[int, list[tuple]] = {}
+        late: list[tuple] = []
+        for part in rows:
+            given = part[self.columns].astype(object)
+            for r in given.where(given.notna(), None).itertuples(index=False, name=None):
+                bucket = r[self.at] // self.width
+                if done is not None and bucket < done:
+                    late.append(r)
+                else:
+                    buckets.setdefault(bucket, []).append(r)
+                    last = r[self.at] if last is None else max(last, r[self.at])
+        for bucket, held in buckets.items():
+            number = self.parts.getValue((bucket,))[0] if self.parts.containsKey((bucket,)) else 0
+            self.waiting.updateValue((bucket, number), (pickle.dumps(held),))
+            self.parts.updateValue((bucket,), (number + 1,))
+        if buckets:
+            first = min(buckets)
+            if timer is None or self._due_ms((first + 1) * self.width) < timer:
+                timer = self._due_ms((first + 1) * self.width)
+                self.handle.registerTimer(timer)
+            self.until.update((first if done is None else done, last, timer))
+        if late:
+            yield self._frame(late, [(None,) * len(self.extras)] * len(late), True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.until.exists():
+            return
+        mark = timerValues.getCurrentWatermarkInMs()
+        done, last, _ = self.until.get()
+        pending = sorted(k[0] for k in self.parts.keys())
+        due = [b for b in pending if self._due_ms((b + 1) * self.width) <= mark]
+        memory = pickle.loads(self.memory.get()[0]) if self.memory.exists() else None
+        found, given = [], []
+        for bucket in due:
+            rows: list[tuple] = []
+            for number in range(self.parts.getValue((bucket,))[0]):
+                rows += pickle.loads(self.waiting.getValue((bucket, number))[0])
+                self.waiting.removeKey((bucket, number))
+            self.parts.removeKey((bucket,))
+            rows.sort(key=lambda r: [r[i] for i in self.order])
+            values, memory = self.fold(memory, [dict(zip(self.columns, r, strict=True)) for r in rows])
+            found, given = found + rows, given + values
+        left = pending[len(due) :]
+        if not left and self._due_ms(last + self.ttl) <= mark:
+            for state in (self.memory, self.until, self.parts, self.waiting):
+                state.clear()
         else:
-            base = np.array(means)
-            if base.min() == base.max():
-                scores.append(0.0 if m == base[0] else float("inf"))
-            else:
-                scores.append(float(abs(m - base.mean()) / base.std()))
-        means = [*means, float(m)][-baseline:]
-    return scores, means
+            # one timer a key: the next bucket, or the end of its state
+            timer = self._due_ms((left[0] + 1) * self.width if left else last + self.ttl)
+            self.handle.registerTimer(timer)
+            self.until.update((due[-1] + 1 if due else done, last, timer))
+            if due:
+                self.memory.update((pickle.dumps(memory),))
+        if found:
+            yield self._frame(found, given, False)
+
+    def close(self) -> None:
+        pass
 
 
-def stream_zscore(windows: DataFrame, baseline: int = 20, threshold: float = 3.0) -> DataFrame:
-    """Deviation from the previous ``baseline`` window means of the record, kept in state.
+def in_order(
+    stream: DataFrame, key: str, ts: str, order: Sequence[str], extras: str, fold: Callable, width: float = 60.0, ttl: float = 86400.0
+) -> DataFrame:
+    """``stream`` with the columns ``extras`` (a DDL list) of ``fold``, and ``late``.
 
-    Windows ``(record_id, start, mean)`` are put in time order inside a micro-batch.
+    ``fold(memory, rows)`` takes the rows of a key (dicts, in order of ``ts`` and ``order``)
+    and gives a tuple of values for each, and what to remember. ``stream`` has a watermark
+    on ``ts``; rows are given on when it passes the end of their ``width`` seconds. A key is
+    forgotten ``ttl`` seconds after its last row. Needs the RocksDB state store.
     """
-    out = "record_id string, start timestamp, mean double, score double, flag boolean"
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("start", kind="stable")
-        means = list(state.get[0]) if state.exists else []
-        scores, means = _zscore_rows(means, rows["mean"].to_numpy(), baseline)
-        state.update((means,))
-        flags = [None if s is None else s > threshold for s in scores]
-        yield pd.DataFrame(
-            {
-                "record_id": key[0],
-                "start": rows["start"].to_numpy(),
-                "mean": rows["mean"].to_numpy(),
-                "score": pd.array(scores, dtype="Float64"),
-                "flag": pd.array(flags, dtype="boolean"),
-            }
-        )
+    use_rocksdb(stream.sparkSession)
+    # A plain number instead of the event time: late rows then reach the operator.
+    rows = stream.withColumn("event_us", F.unix_micros(ts)).drop(ts)
+    added = T.StructType.fromDDL(extras)
+    schema = T.StructType([*rows.schema.fields, *added.fields, T.StructField("late", T.BooleanType())])
+    processor = InOrder(rows.columns, added.fieldNames(), order, fold, round(width * 1e6), round(ttl * 1e6))
+    out = rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    back = [F.timestamp_micros("event_us").alias(ts) if c == ts else F.col(c) for c in stream.columns]
+    return out.select(*back, *added.fieldNames(), "late")
 
-    return windows.groupBy("record_id").applyInPandasWithState(
-        update, out, "means array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+
+def on_time(rows: DataFrame) -> DataFrame:
+    """The rows that came before their bucket was closed."""
+    return rows.filter(~F.col("late")).drop("late")
+
+
+def late_rows(rows: DataFrame, path: str, checkpoint: str):
+    """Writer of the side table of rows that came too late; start it to run."""
+    return rows.filter("late").writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def stream_zscore(windows: DataFrame, baseline: int = 20, threshold: float = 3.0, order: Sequence[str] = (), width: float = 60.0, ttl: float = 86400.0) -> DataFrame:
+    """Deviation from the previous ``baseline`` valid window means of the record.
+
+    Windows ``(record_id, start, mean)`` have a watermark on ``start``; ``order`` breaks
+    ties. A window without a mean has no score and leaves the baseline as it is.
+    """
+
+    def fold(memory, rows):
+        means, out = list(memory or []), []
+        for r in rows:
+            m = r["mean"]
+            score = None
+            if m is not None and len(means) == baseline:
+                base = np.array(means)
+                if base.min() == base.max():
+                    score = 0.0 if m == base[0] else float("inf")
+                else:
+                    score = float(abs(m - base.mean()) / base.std())
+            out.append((score, None if score is None else score > threshold))
+            if m is not None:
+                means = [*means, float(m)][-baseline:]
+        return out, means
+
+    return in_order(windows, "record_id", "start", order, "score double, flag boolean", fold, width, ttl)
 
 
 RISK_POINT = "patient_id string, k long, t double, score double, level string, previous_level string, alert_key string, at timestamp"
@@ -215,72 +322,58 @@ def stream_risk(
     """
     processor = RiskState(weights, step, half_life, yellow, red, band, origin_ms)
     return events.groupBy("patient_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T._parse_datatype_string(RISK_POINT), outputMode="Append", timeMode="EventTime"
+        statefulProcessor=processor, outputStructType=T.StructType.fromDDL(RISK_POINT), outputMode="Append", timeMode="EventTime"
     )
 
 
-def stream_alert_dedup(alerts: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """One alert per patient and evidence set within the watermark."""
-    return alerts.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["patient_id", "alert_key"])
+def stream_alert_dedup(alerts: DataFrame, ts: str = "ts", delay: str | None = "1 hour") -> DataFrame:
+    """One alert per patient and evidence set within the watermark; ``delay`` is None where
+    the stream has one."""
+    marked = alerts if delay is None else alerts.withWatermark(ts, delay)
+    return marked.dropDuplicatesWithinWatermark(["patient_id", "alert_key"])
 
 
-def stream_rx_rules(prescriptions: DataFrame, catalog: DataFrame, order: list[str]) -> DataFrame:
+def stream_rx_rules(prescriptions: DataFrame, catalog: DataFrame, ts: str = "ts", order: Sequence[str] = (), width: float = 60.0, ttl: float = 30 * 86400.0) -> DataFrame:
     """The three prescription rules, with the patient's previous row kept in state and
-    the catalog joined as a static table."""
-    names = prescriptions.columns
-    types = dict(prescriptions.dtypes)
-    schema = ", ".join([*[f"`{c}` {types[c]}" for c in names], "prev_drug string, prev_dose double, prev_unit string"])
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order, kind="stable")
-        first = state.get if state.exists else (None, None, None)
-        kept = rows[["drug", "dose", "unit"]].iloc[-1]
-        state.update((kept["drug"], float(kept["dose"]), kept["unit"]))
-        for i, c in enumerate(["drug", "dose", "unit"]):
-            rows[f"prev_{c}"] = [first[i], *rows[c].iloc[:-1]]
-        rows["prev_dose"] = rows["prev_dose"].astype("Float64")
-        yield rows[[*names, "prev_drug", "prev_dose", "prev_unit"]]
-
-    linked = prescriptions.groupBy("patient_id").applyInPandasWithState(
-        update, schema, "drug string, dose double, unit string", "append", GroupStateTimeout.NoTimeout
-    )
+    the catalog joined as a static table. Late rows are left out; ``in_order`` with
+    ``previous_prescription`` shows them."""
+    linked = on_time(in_order(prescriptions, "patient_id", ts, order, "prev_drug string, prev_dose double, prev_unit string", previous_prescription, width, ttl))
     prev = F.when(
         F.col("prev_drug").isNotNull(),
         F.struct(F.col("prev_drug").alias("drug"), F.col("prev_dose").alias("dose"), F.col("prev_unit").alias("unit")),
     )
-    return RX.evaluate_prescriptions(linked.select(*names, prev.alias("prev")), catalog)
-
-
-def stream_tracks(boxes: DataFrame) -> DataFrame:
-    """Person tracks with the tracker of each sequence in state; the frames of a
-    micro-batch are taken in order."""
-    out = "seq_id string, frame_idx long, box_idx string, track_id long"
-    store = "ids array<long>, corners array<array<double>>, seen array<long>, next_id long"
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = Tracker()
-        if state.exists:
-            ids, corners, seen, next_id = state.get
-            tracker = Tracker({i: (tuple(c), f) for i, c, f in zip(ids, corners, seen)}, next_id)
-        rows = pd.concat(list(parts)).sort_values(["frame_idx", "box_idx"], kind="stable")
-        corners = list(zip(rows["x1"], rows["y1"], rows["x2"], rows["y2"]))
-        frames, given, start = rows["frame_idx"].tolist(), [], 0
-        for end in range(1, len(frames) + 1):
-            if end == len(frames) or frames[end] != frames[start]:
-                given += tracker.step(frames[start], corners[start:end])
+    return RX.evaluate_prescriptions(linked.select(*prescriptions.columns, prev.alias("prev")), catalog)
+
+
+def previous_prescription(memory, rows):
+    """Drug, dose and unit of the row before."""
+    out = []
+    for r in rows:
+        out.append(memory or (None, None, None))
+        memory = (r["drug"], r["dose"], r["unit"])
+    return out, memory
+
+
+def stream_tracks(boxes: DataFrame, ts: str = "ts", width: float = 60.0, ttl: float = 3600.0) -> DataFrame:
+    """Person tracks with the tracker of each sequence in state. Boxes have a watermark on
+    ``ts``, which grows with ``frame_idx``; a frame lies within one ``width``."""
+
+    def fold(memory, rows):
+        tracker = Tracker(*(memory or ()))
+        place = sorted(range(len(rows)), key=lambda i: (rows[i]["frame_idx"], rows[i]["box_idx"]))
+        ids: list[tuple] = [()] * len(rows)
+        start = 0
+        for end in range(1, len(place) + 1):
+            frame = rows[place[start]]["frame_idx"]
+            if end == len(place) or rows[place[end]]["frame_idx"] != frame:
+                here = place[start:end]
+                given = tracker.step(frame, [tuple(rows[i][c] for c in ("x1", "y1", "x2", "y2")) for i in here])
+                for i, t in zip(here, given, strict=True):
+                    ids[i] = (t,)
                 start = end
-        kept = list(tracker.tracks.items())
-        state.update(
-            (
-                [int(t) for t, _ in kept],
-                [[float(v) for v in box] for _, (box, _) in kept],
-                [int(f) for _, (_, f) in kept],
-                int(tracker.next_id),
-            )
-        )
-        yield pd.DataFrame({"seq_id": key[0], "frame_idx": frames, "box_idx": rows["box_idx"].tolist(), "track_id": given})
+        return ids, (tracker.tracks, tracker.next_id)
 
-    return boxes.groupBy("seq_id").applyInPandasWithState(update, out, store, "append", GroupStateTimeout.NoTimeout)
+    return in_order(boxes, "seq_id", ts, ["frame_idx", "box_idx"], "track_id long", fold, width, ttl)
 
 
 def stream_evidence_sink(rows: DataFrame, path: str, checkpoint: str, order: list[str]):
