@@ -37,7 +37,19 @@ def _folding() -> tuple[str, str, str]:
 
 
 LETTERS, PLAIN, MARKS = _folding()
-MARK = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in MARKS) + "]"
+def _ranges(chars: str) -> str:
+    """A character class in as few ranges as possible."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+MARK = _ranges(MARKS)
+MAYBE_MARKED = r"[\x{300}-\x{2fff}\x{fe20}-\x{fe2f}]"  # quick to rule out for most texts
 OTHER = r"[^\x00-\x7F]"
 
 
@@ -61,7 +73,7 @@ def fold_runs(s: Column) -> Column:
         return F.struct(at.alias("at"), F.concat(acc["runs"], F.array(F.struct(at.alias("q"), run["1"].alias("n")))).alias("runs")).cast(kind)
 
     runs = F.aggregate(F.arrays_zip(F.slice(ends, F.lit(1), F.size(sizes)).alias("0"), sizes.alias("1")), start, step, lambda acc: acc["runs"])
-    return F.when(s.rlike(MARK), runs).otherwise(F.array().cast("array<struct<q:int,n:int>>"))
+    return F.when(s.rlike(MAYBE_MARKED) & s.rlike(MARK), runs).otherwise(F.array().cast("array<struct<q:int,n:int>>"))
 
 
 def original_offset(p: Column, runs: Column) -> Column:

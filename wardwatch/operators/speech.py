@@ -156,7 +156,6 @@ def assemble_transcript(segments: DataFrame, threshold: float = NO_SPEECH) -> Da
     return out.withColumn("reliable", F.col("text").rlike(r"\S") & (F.col("avg_no_speech") <= dbl(threshold)))
 
 
-SEED = 3
 BLOCK = 8192
 
 
@@ -175,40 +174,41 @@ def overlaps_itself(term: str) -> bool:
     return any(term.startswith(term[k:]) for k in range(1, len(term)))
 
 
-def _seed_pattern(seeds: Sequence[str]) -> str:
-    """One pattern of all seeds, branching by letter like a trie."""
-    ends = "" in seeds
-    first = sorted({s[0] for s in seeds if s})
-    if ends or not first:
-        return ""  # a shorter seed already stands for the longer ones
-    branches = [re.sub(r"([^\w ])", r"\\\1", c) + _seed_pattern([s[1:] for s in seeds if s and s[0] == c]) for c in first]
-    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+def _trie_pattern(terms: Sequence[str]) -> str:
+    """One pattern of all terms, branching by letter like a trie; it takes the longest."""
+    ends = "" in terms
+    first = sorted({t[0] for t in terms if t})
+    if not first:
+        return ""
+    branches = [re.sub(r"([^\w ])", r"\\\1", c) + _trie_pattern([t[1:] for t in terms if t and t[0] == c]) for c in first]
+    if len(branches) == 1 and not ends:
+        return branches[0]
+    return "(?:" + "|".join(branches) + ")" + ("?" if ends else "")
 
 
 def _block_hits(blocks: DataFrame, terms: Sequence[str], context: int) -> DataFrame:
     """Hits that start in the core of a block ``(recording_id, at, before, core, text)``.
 
-    The folded block is cut once at every place where some term's first letters, its seed,
-    stand. Only terms of that seed are compared there, with the letters that follow, and
-    only places where one fits become rows.
+    One pattern of all terms finds, at every place of the folded block, the longest term
+    there; the others that fit are its beginnings, known beforehand. The block is never
+    copied per term, and only places where a term stands become rows.
     """
     known = folded_terms(terms)
+    apart = [f for f in known if not overlaps_itself(f[2])]
+    if apart and len(apart) < len(known):
+        # Terms that can overlap themselves take a second look at their own, rarer places.
+        rest = [f for f in known if overlaps_itself(f[2])]
+        return _places(blocks, apart, context).unionByName(_apart(_places(blocks, rest, context), rest))
+    return _places(blocks, known, context) if apart or not known else _apart(_places(blocks, known, context), known)
+
+
+def _places(blocks: DataFrame, known: Sequence[tuple[int, str, str]], context: int) -> DataFrame:
+    """All places of the terms ``known``, overlapping ones too."""
     if not known:
         return blocks.select("recording_id", F.lit(0).alias("order"), F.lit("").alias("term"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("char_at"), F.lit("").alias("context")).limit(0)
-    longest = max(len(f) for _, _, f in known)
-    by_seed: dict[str, list[tuple[int, str, str]]] = {}
-    for entry in known:
-        by_seed.setdefault(entry[2][:SEED], []).append(entry)
-    pattern = _seed_pattern(list(by_seed))
-    entry = lambda e: F.struct(F.lit(e[0]).alias("order"), F.lit(e[1]).alias("term"), F.lit(e[2]).alias("fold"))
-    kind = "array<struct<order:int,term:string,fold:string>>"
-
-    def of_seed(window: Column) -> Column:
-        lists = []
-        for size in sorted({len(s) for s in by_seed}):
-            table = F.create_map(*[x for s, es in by_seed.items() if len(s) == size for x in (F.lit(s), F.array(*[entry(e) for e in es]))])
-            lists.append(F.coalesce(F.try_element_at(table, F.substring(window, 1, size)), F.array().cast(kind)))
-        return F.concat(*lists)
+    pattern = _trie_pattern([f for _, _, f in known])
+    entry = lambda e: F.struct(F.lit(e[0]).alias("order"), F.lit(e[1]).alias("term"), F.lit(len(e[2])).alias("n"))
+    fitting = F.create_map(*[x for f in sorted({f for _, _, f in known}) for x in (F.lit(f), F.array(*[entry(e) for e in known if f.startswith(e[2])]))])
 
     def once(df: DataFrame, **values: Column) -> DataFrame:
         """Columns computed once a row: an expression that a lambda reads would otherwise be
@@ -216,41 +216,29 @@ def _block_hits(blocks: DataFrame, terms: Sequence[str], context: int) -> DataFr
         return df.select("*", F.inline(F.array(F.struct(*[v.alias(n) for n, v in values.items()]))))
 
     texts = once(blocks, _n=normalize(F.col("text"))).filter(F.col("_n").rlike(pattern))
-    cut = once(texts, _p=F.split("_n", f"(?={pattern})", -1), _r=fold_runs(F.col("text"))).drop("_n")
+    pieces = once(texts, _p=F.split("_n", f"(?={pattern})", -1), _m=F.regexp_extract_all("_n", F.lit(f"(?=({pattern}))"), F.lit(1)), _r=fold_runs(F.col("text"))).drop("_n")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
     places = F.aggregate("_p", start, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
-    heads = once(cut, _h=F.transform("_p", lambda p: F.substring(p, 1, longest)), _at=places).drop("_p")
-
-    def at_place(place: Column, i: Column) -> Column:
-        head = F.get("_h", i)
-        window = F.when(F.length(head) >= longest, head).otherwise(F.substring(F.array_join(F.slice("_h", i + 1, F.lit(longest)), ""), 1, longest))
-        return F.struct(place.alias("p"), window.alias("w"))
-
-    windows = once(heads, _w=F.transform("_at", at_place)).drop("_h", "_at")
-
-    def fits(w: Column) -> Column:
-        found = F.filter(of_seed(w["w"]), lambda e: F.startswith(w["w"], e["fold"]))
-        return F.transform(found, lambda e: F.struct(e["order"].alias("order"), e["term"].alias("term"), F.length(e["fold"]).alias("n"), w["p"].alias("p")))
-
-    hits = windows.select("recording_id", "at", "before", "core", "text", "_r", F.inline(F.flatten(F.transform("_w", fits))))
-    first = original_offset(F.col("p"), F.col("_r"))
+    # Without a hit at its start the block's first piece belongs to none.
+    placed = once(pieces, _at=F.slice(places, F.size("_p") - F.size("_m") + 1, F.size("_m"))).drop("_p")
+    hits = placed.select("recording_id", "at", "before", "core", "text", "_r", F.inline(F.arrays_zip(F.col("_at").alias("p"), F.col("_m").alias("m"))))
+    hits = hits.select("recording_id", "at", "before", "core", "text", "_r", "p", F.inline(F.element_at(fitting, F.col("m"))))
+    marked = F.size("_r") > 0
+    first = F.when(marked, original_offset(F.col("p"), F.col("_r"))).otherwise(F.col("p"))
     hits = hits.withColumn("_s", first).filter((F.col("_s") >= F.col("before")) & (F.col("_s") < F.col("before") + F.col("core")))
-    end = original_offset(F.col("p") + F.col("n"), F.col("_r"))
+    end = F.when(marked, original_offset(F.col("p") + F.col("n"), F.col("_r"))).otherwise(F.col("p") + F.col("n"))
     left = F.greatest(F.col("_s") - context, F.lit(0))
     shown = F.substring(F.col("text"), left + 1, F.least(end + context, F.length("text")) - left)
-    found = hits.select("recording_id", "order", "term", "n", (F.col("at") + F.col("_s")).cast("long").alias("char_at"), shown.alias("context"))
-    return _apart(found, [o for o, _, f in known if overlaps_itself(f)], longest)
+    return hits.select("recording_id", "order", "term", "n", (F.col("at") + F.col("_s")).cast("long").alias("char_at"), shown.alias("context"))
 
 
-def _apart(hits: DataFrame, orders: Sequence[int], longest: int) -> DataFrame:
+def _apart(hits: DataFrame, known: Sequence[tuple[int, str, str]]) -> DataFrame:
     """Of overlapping places of one term, those that a search from left to right takes.
     Only terms whose end is also their beginning can overlap."""
-    if not orders:
-        return hits
-    hits = written(hits)  # few rows; the texts are searched once
-    plain = hits.filter(~F.col("order").isin(list(orders)))
+    columns = hits.columns
+    hits = written(hits)  # read several times below
     keys = ["recording_id", "order"]
-    near = with_halo(hits.filter(F.col("order").isin(list(orders))), "char_at", before=2 * longest)
+    near = with_halo(hits, "char_at", before=2 * max(len(f) for _, _, f in known))
     gap = F.col("char_at") - F.lag("char_at").over(chunk_window(keys, "char_at"))
     marked = core_rows(near.withColumn("_new", F.when(gap.isNull() | (gap >= F.col("n")), F.col("char_at"))))
     groups = carried(marked, keys, "char_at", last={"_group": F.col("_new")})
@@ -263,7 +251,7 @@ def _apart(hits: DataFrame, orders: Sequence[int], longest: int) -> DataFrame:
         return F.when(h["char_at"] >= acc["next"], taken).otherwise(acc)
 
     kept = rows.select(*keys, "term", "n", F.inline(F.aggregate("_all", start, step, lambda acc: acc["kept"])))
-    return plain.unionByName(kept.select(*plain.columns))
+    return kept.select(*columns)
 
 
 def _reach(terms: Sequence[str], context: int) -> int:
