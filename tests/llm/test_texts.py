@@ -15,16 +15,15 @@ from tokenizers import Tokenizer
 
 from wardwatch.llm import license_scan, packing, quality, secret_scan, tokens
 from wardwatch.llm.shared import open_file, shared_folder
-from wardwatch.llm.vocabulary import encoder
+from wardwatch.llm.vocabulary import Encoder, encoder
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
 LONG = "the quick brown fox " * 20_000
-AWKWARD = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, LONG), (5, LONG), (6, "don't — Ωmega x́"), (None, "no id here"), (7, "a\n\nb\r\n c")]
+AWKWARD = [(1, None), (2, ""), (3, "   \n\t "), (4, "one"), (5, LONG), (5, LONG), (6, "don't — Ωmega x́"), (None, "no id here"), (7, "a\n\nb\r\n c"), (8, "x <|endoftext|> y")]
 
 
 LIBRARY = Tokenizer.from_file(BPE)
-LIBRARY.encode_special_tokens = True
 
 
 def reference_ids(text):
@@ -39,6 +38,15 @@ def test_ids_equal_the_librarys_own():
         assert encoder(BPE).ids(text).tolist() == reference_ids(text), repr(text)
 
 
+def test_forgotten_words_and_added_tokens():
+    rng = random.Random(5)
+    enc = Encoder(BPE, 50)
+    for _ in range(200):
+        text = " ".join("".join(rng.choice("abcdeß") for _ in range(rng.randint(1, 9))) for _ in range(30))
+        assert enc.ids(text).tolist() == reference_ids(text)
+    assert enc.ids("a <|endoftext|> b").tolist() == reference_ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
 def test_token_files_round_trip(spark, docs_of):
     docs = docs_of(AWKWARD).withColumnRenamed("lang", "start")  # a clashing name
     folder = shared_folder(spark, "t")

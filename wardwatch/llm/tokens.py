@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardwatch.llm.shared import open_file, shared_folder, stored, task_file
-from wardwatch.llm.vocabulary import encoder
+from wardwatch.llm.shared import discard, open_file, shared_folder, stored, task_file
+from wardwatch.llm.vocabulary import encoder, id_type
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "part int, name string, n_docs long, n_tokens long, n_rows long"
@@ -103,39 +103,59 @@ def write_token_files(
 
     Documents are dealt by range of doc_id, so that each task writes one contiguous file
     and no task sees more than its range. A null or empty text has the end id alone; rows
-    with one doc_id are kept apart; an empty table writes nothing.
+    with one doc_id are kept apart, equal ones in any order; other columns are ignored; an
+    empty table writes nothing.
     """
 
+    folder_of_ids = stored(encoded(docs, vocabulary), "encoded")
+    dtype = id_type(vocabulary)
+
     def write(batches):
-        enc = encoder(vocabulary)
         part = TaskContext.get().partitionId()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
         name = f"tokens-{part:06d}"
-        end = np.array([end_id], enc.dtype)
+        end = np.array([end_id], dtype)
         with task_file(folder, f"{name}.arrow") as out, task_file(folder, f"{name}.docs.arrow") as listing:
-            rows = RowWriter(out, enc.dtype, seq_len, batch_rows)
+            rows = RowWriter(out, dtype, seq_len, batch_rows)
             index = ipc.new_file(listing, DOCS)
             n_docs = 0
             for batch in _chain(first, batches):
-                ids, starts, counts = batch.column(0), [], []
-                for text in batch.column(1):
+                starts, counts = [], []
+                for body in batch.column(2):
                     starts.append(rows.n_tokens)
-                    rows.add(np.concatenate([enc.ids(text.as_py()), end]))
+                    rows.add(np.concatenate([np.frombuffer(body.as_buffer(), dtype), end]))
                     counts.append(rows.n_tokens - starts[-1])
                 n_docs += batch.num_rows
-                index.write_batch(pa.record_batch([ids.cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
+                index.write_batch(pa.record_batch([batch.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
             rows.close()
             index.close()
         yield pa.RecordBatch.from_pydict(
             {"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_tokens": [rows.n_tokens], "n_rows": [rows.n_rows]}
         )
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
-    return stored(dealt.mapInArrow(write, MANIFEST), "manifest")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
+    dealt = folder_of_ids.repartitionByRange(*order).sortWithinPartitions(*order)
+    manifest = stored(dealt.mapInArrow(write, MANIFEST), "manifest")
+    discard(folder_of_ids)
+    return manifest
+
+
+def encoded(docs: DataFrame, vocabulary: str, cache: int = 400_000) -> DataFrame:
+    """(doc_id, h, ids): the ids of each text as bytes, with its hash. Encoding first, ids
+    are shuffled instead of texts, and a range sample reads what is already encoded. A task
+    remembers the ids of up to twice ``cache`` words."""
+
+    def rows(batches):
+        enc = encoder(vocabulary, cache)
+        for batch in batches:
+            ids = [enc.packed(t.as_py()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "h", "ids"])
+
+    text = F.col("text").cast("string")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return given.mapInArrow(rows, "doc_id long, h long, ids binary")
 
 
 def _chain(first, rest):

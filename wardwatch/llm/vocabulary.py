@@ -29,20 +29,30 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
+def _smallest(tokenizer: Tokenizer) -> np.dtype:
+    return np.dtype("<u2" if tokenizer.get_vocab_size() <= 65536 else "<u4")
+
+
+def id_type(path: str) -> np.dtype:
+    """The type that holds every id of a vocabulary."""
+    return _smallest(Tokenizer.from_file(path))
+
+
 class Encoder(dict):
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     A text is cut only where the vocabulary's splitter always cuts, so its ids are those
     of its pieces in a row. The ids of up to twice ``limit`` pieces are remembered: when
     one generation is full it becomes the former one, from which pieces met again return.
-    Texts with apostrophes or unusual characters are cut at single spaces alone.
+    Texts with apostrophes or unusual characters are cut at single spaces alone, and those
+    that hold an added token of the vocabulary not at all.
     """
 
     def __init__(self, path: str, limit: int = 180_000):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = _smallest(self.tokenizer)
         self.limit = limit
         self.former: dict[str, bytes] = {}
         self._letters = _byte_letters()
@@ -62,21 +72,31 @@ class Encoder(dict):
         value = self[piece] = np.array(ids, self.dtype).tobytes()
         return value
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _pieces(self, text: str | None) -> list[str] | None:
+        """The pieces of a text; None if it must be encoded as a whole."""
+        if not text:
+            return []
+        if any(t in text for t in self.added):
+            return None
+        return SPACED.split(text) if ODD.search(text) else PLAIN.findall(text)
+
     def packed(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian integers of ``dtype``; null has none."""
-        if not text:
-            return b""
-        pieces = SPACED.split(text) if ODD.search(text) else PLAIN.findall(text)
-        return b"".join(map(self.__getitem__, pieces))
+        pieces = self._pieces(text)
+        return self._whole(text) if pieces is None else b"".join(map(self.__getitem__, pieces))
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.dtype)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    return Encoder(path)
+def encoder(path: str, limit: int = 180_000) -> Encoder:
+    """One encoder per Python worker and vocabulary. A new word costs some 50 times what a
+    remembered one does, and takes about 200 bytes in each generation."""
+    return Encoder(path, limit)
 
 
 def release_memory() -> None:
