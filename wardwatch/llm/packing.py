@@ -16,13 +16,13 @@ from wardwatch.llm.vocabulary import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, cache: int = 180_000) -> DataFrame:
     """Pieces of at most ``capacity`` ids of every document, its ids being those of the
     vocabulary and ``end_id``. Only longer documents are cut; the first piece takes what
     whole pieces leave. A null or empty text is one piece, the end id."""
 
     def cut(batches):
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, cache)
         for batch in batches:
             out = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -142,15 +142,16 @@ def pack(items: DataFrame, capacity: int, per_partition: int, rounds: int) -> Da
 
 
 def pack_documents(
-    docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, per_partition: int = 50_000, rounds: int = 3
+    docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, per_partition: int = 50_000, rounds: int = 3, cache: int = 180_000
 ) -> DataFrame:
     """Every piece of every document with its sequence and offset.
 
-    Whole pieces are sequences of their own. Repeated rows are packed each for
+    Whole pieces are sequences of their own. A task remembers the ids of up to twice
+    ``cache`` words. Repeated rows are packed each for
     themselves; null ids are kept; an empty table gives no sequence.
     """
     pieces = stored(
-        token_pieces(docs, vocabulary, end_id, capacity).withColumn("item", F.monotonically_increasing_id()), "pieces"
+        token_pieces(docs, vocabulary, end_id, capacity, cache).withColumn("item", F.monotonically_increasing_id()), "pieces"
     )
     whole = pieces.filter(F.col("length") == capacity).select(
         "item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset")

@@ -52,7 +52,7 @@ FROM b JOIN f USING (dig)
 
 @query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE)
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), BYTE_BPE, cache=400_000)
 
 
 @query
