@@ -73,8 +73,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], max_rows
     def rows(batches):
         cells = FeatureCells(bits)
         for batch in batches:
-            found = [features(t.as_py(), cells)[0].astype(np.int32) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["domain", "cells"])
+            found = [features(t.as_py(), cells)[0].astype("<i4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["domain", "cells"])
 
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "domain").filter(F.col("domain").isin(domains)).distinct()
@@ -86,15 +86,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domains: list[str], max_rows
         chosen = some if chosen is None else chosen.unionByName(some)
     chosen = stored(chosen.distinct(), "chosen")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    taken = texts.join(F.broadcast(chosen), "doc_id").select("domain", "text").mapInArrow(rows, "domain string, cells array<int>").collect()
+    taken = texts.join(F.broadcast(chosen), "doc_id").select("domain", "text").mapInArrow(rows, "domain string, cells binary").collect()
     k, dims = len(domains), 1 << bits
     weights, bias = np.zeros((dims, k)), np.zeros(k)
     if not taken:
         return DomainModel(weights.astype(np.float32), bias, domains, bits)
-    taken.sort(key=lambda r: (r[0], r[1]))
-    y = np.array([domains.index(d) for d, _ in taken])
-    cell = np.concatenate([np.asarray(c, np.int64) for _, c in taken])
-    row = np.repeat(np.arange(len(taken)), [len(c) for _, c in taken])
+    taken.sort(key=lambda r: (r[0], bytes(r[1])))
+    y = np.array([domains.index(d) for d, _ in taken], np.int32)
+    row = np.repeat(np.arange(len(taken), dtype=np.int32), [len(c) // 4 for _, c in taken])
+    cell = np.frombuffer(b"".join(bytes(c) for _, c in taken), "<i4")
+    del taken  # ids of cells stay bytes until here: lists of numbers take ten times the room
     common = np.bincount(cell, minlength=dims)[cell] >= least
     cell, place = np.unique(cell[common], return_inverse=True)
     row, used = row[common], len(cell)
