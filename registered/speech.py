@@ -330,6 +330,31 @@ def _classify(spark, sf):
     return SP.predict_cycles(model, test).select("patient_id", "cycle_index", "label", "predicted_label", F.round("confidence", 6).alias("confidence"))
 
 
+@fam.add(
+    "spk_classify_faults",
+    stmt(
+        """SELECT patient_id, count(*) AS cycles, 0::BIGINT AS unknown_label, 0::BIGINT AS bad_confidence, 0::BIGINT AS repeated
+        FROM placed JOIN embeddings ON patient_id = 'P' || (vec_id % 37) WHERE place <= ceil(n * 0.3) GROUP BY 1""",
+        "placed",
+    ),
+)
+def _classify_faults(spark, sf):
+    """Each held-out cycle is predicted once, by a label of the training part, with a
+    confidence no lower than an even share."""
+    train, test = SP.group_split(patient_cycles(spark, sf), 0.3, 42)
+    out = SP.predict_cycles(SP.train_cycle_classifier(train, trees=50, seed=42), test)
+    known = train.select(F.col("label").alias("predicted_label")).distinct().withColumn("known", F.lit(True))
+    count = lambda c: F.sum(c.cast("long"))
+    n_labels = train.select("label").distinct().count()
+    judged = out.join(known, "predicted_label", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return judged.groupBy("patient_id").agg(
+        F.count(F.lit(1)).alias("cycles"),
+        count(~F.col("known")).alias("unknown_label"),
+        count((F.col("confidence") > 1 + 1e-9) | (F.col("confidence") < 1 / n_labels - 1e-9)).alias("bad_confidence"),
+        (F.count(F.lit(1)) - F.count_distinct("cycle_index")).alias("repeated"),
+    )
+
+
 def predicted(spark, sf) -> DataFrame:
     c = SP.cycle_positions(REC.parse_cycle_lines(SRC.cycle_lines(spark, sf)))
     return c.withColumn("predicted_label", F.col("label")).withColumn("confidence", (F.col("end_s") % 20) / dbl(20))

@@ -67,15 +67,15 @@ def _samples(spark, sf):
 
 @fam.add(
     "str_window_features",
-    """SELECT user_id::VARCHAR AS record_id, strftime(w, '%Y-%m-%d %H:%M') AS start, n, round(mean, 6) AS mean, round(std, 6) AS std, min, max FROM (
-      SELECT user_id, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01') - to_hours(12 * o::INTEGER) + to_hours(0) AS w, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max
+    """SELECT user_id::VARCHAR AS record_id, strftime(w, '%Y-%m-%d %H:%M') AS start, n, round(mean, 6) AS mean, round(std, 6) AS std, min, max, baseline FROM (
+      SELECT user_id, time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '2024-01-01') - to_hours(12 * o::INTEGER) + to_hours(0) AS w, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS std, min(value) AS min, max(value) AS max, quantile_disc(value, 0.5) AS baseline
       FROM events, (VALUES (0), (1)) AS s(o) GROUP BY 1, 2) WHERE w + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
 )
 def _windows(spark, sf):
     ev = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("record_id"), "ts", F.col("value").alias("x"))
     out = drained(ST.stream_window_features(ev, "24 hours", "12 hours"))
     return out.select(
-        "record_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max"
+        "record_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max", "baseline"
     )
 
 
@@ -116,9 +116,9 @@ def risk_stream(spark, sf) -> DataFrame:
 DUE = "TIMESTAMP '2024-01-01' + to_seconds(t) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
 
 
-@fam.add("str_risk", stmt(f"SELECT patient_id, t, round(score, 6) AS score, level FROM levels WHERE {DUE}", "levels"))
+@fam.add("str_risk", stmt(f"SELECT * FROM (SELECT patient_id, t, round(score, 6) AS score, level, lag(level, 1, 'green') OVER (PARTITION BY patient_id ORDER BY k) AS previous_level FROM levels) WHERE {DUE}", "levels"))
 def _risk(spark, sf):
-    return drained(risk_stream(spark, sf)).select("patient_id", "t", F.round("score", 6).alias("score"), "level")
+    return drained(risk_stream(spark, sf)).select("patient_id", "t", F.round("score", 6).alias("score"), "level", "previous_level")
 
 
 @fam.add(

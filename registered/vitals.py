@@ -179,6 +179,19 @@ def _forest(spark, sf):
     return scored.select("record_id", "k", F.round("score", 6).alias("score"), "flag")
 
 
+@fam.add(
+    "vit_forest_faults",
+    stmt(
+        """SELECT record_id, count(*) AS windows, CASE WHEN count(*) FILTER (valid) >= 10 THEN count(*) FILTER (valid) ELSE 0 END AS scored,
+        0::BIGINT AS outside, 0::BIGINT AS unexpected, 0::BIGINT AS extra, false AS mixed FROM features GROUP BY 1""",
+        "features",
+    ),
+)
+def _forest_faults(spark, sf):
+    """Every window of every record has a score exactly when it should, flags follow the scores."""
+    return IF.forest_faults(IF.isolation_forest(features(spark, sf), contamination=0.1, seed=42), 0.1)
+
+
 @fam.add("vit_record_verdict", stmt("SELECT record_id, detector, n_valid, n_excluded, round(fraction, 6) AS fraction, predicted FROM verdicts", "verdicts"))
 def _verdict(spark, sf):
     return VI.record_verdict(zscores(spark, sf)).withColumn("fraction", F.round("fraction", 6))

@@ -124,3 +124,10 @@ def test_zero_is_loss_on_heart_rate_alone(spark):
     rows = [("FHR", 0.0), ("UC", 0.0), ("FHR", None), ("UC", None), ("UC", float("nan")), ("FHR", 1.0), (None, 0.0)]
     marked = VI.mark_signal_loss(spark.createDataFrame(rows, "channel string, x double"))
     assert [r["invalid"] for r in marked.collect()] == [True, False, True, True, True, False, False]
+
+
+@pytest.mark.parametrize("masked,mean,low", [(False, 7.5, 0.0), (True, 10.0, 10.0)])
+def test_masked_features_leave_invalid_samples_out(table, masked, mean, low):
+    marked = VI.mark_signal_loss(samples(table, [10, 10, 0, 10]))
+    out = VI.window_features(VI.sliding_windows(marked, 4.0, 4.0, max_invalid=0.5, mask_features=masked)).first()
+    assert out.valid and (out["mean"], out["min"]) == (mean, low)

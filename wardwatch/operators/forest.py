@@ -172,3 +172,23 @@ def isolation_forest(
         *names, F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flag")
     )
     return scored.unionByName(rest)
+
+
+def forest_faults(scored: DataFrame, contamination: float = 0.1) -> DataFrame:
+    """What must never happen, counted per record: a score outside (0, 1], a window with a
+    score that should have none or the other way round, a flagged window that scores no
+    higher than an unflagged one, and more flags than the quantile leaves room for."""
+    n = F.sum(F.col("valid").cast("long"))
+    due = F.when(n >= MIN_WINDOWS, n).otherwise(0)
+    score, flag = F.col("score"), F.coalesce("flag", F.lit(False))
+    room = F.greatest(due - 1 - F.floor(F.greatest(due - 1, F.lit(0)) * (1.0 - contamination)), F.lit(0))
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
+    counts = scored.groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("windows"),
+        due.alias("scored"),
+        count((score <= 0) | (score > 1)).alias("outside"),
+        (F.count(score) - due).alias("unexpected"),
+        F.greatest(count(flag) - room, F.lit(0)).cast("long").alias("extra"),
+        (F.min(F.when(flag, score)) <= F.max(F.when(~flag, score))).alias("_mixed"),
+    )
+    return counts.withColumn("mixed", F.coalesce("_mixed", F.lit(False))).drop("_mixed")

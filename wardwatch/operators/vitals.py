@@ -86,12 +86,13 @@ def window_numbers(idx: Column, n: int, step: int) -> Column:
 
 
 def sliding_windows(
-    marked: DataFrame, size_s: float, stride_s: float, fs: float = 1.0, max_invalid: float = MAX_INVALID
+    marked: DataFrame, size_s: float, stride_s: float, fs: float = 1.0, max_invalid: float = MAX_INVALID, mask_features: bool = False
 ) -> DataFrame:
     """Complete windows with their samples in order: ``k, start_s, end_s, insufficient, w``.
 
     A window is complete when all its samples arrived, which its row count shows;
-    the record length is not needed. The sample array has the window size.
+    the record length is not needed. The sample array has the window size; with
+    ``mask_features`` it leaves invalid samples out, so that no feature sees them.
     """
     n, step = int(size_s * fs), int(stride_s * fs)
     if n <= 0 or step <= 0:
@@ -100,7 +101,7 @@ def sliding_windows(
     grouped = (
         placed.groupBy(*KEYS, "k")
         .agg(
-            F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("_s"),
+            F.array_sort(F.collect_list(F.struct("idx", "x", "invalid"))).alias("_s"),
             F.avg(F.col("invalid").cast("double")).alias("_bad"),
         )
         .filter(F.size("_s") == n)
@@ -111,7 +112,7 @@ def sliding_windows(
         (F.col("k") * step / dbl(fs)).alias("start_s"),
         ((F.col("k") * step + n) / dbl(fs)).alias("end_s"),
         (F.col("_bad") > dbl(max_invalid)).alias("insufficient"),
-        F.col("_s.x").alias("w"),
+        (F.transform(F.filter("_s", lambda s: ~s["invalid"]), lambda s: s["x"]) if mask_features else F.col("_s.x")).alias("w"),
     )
 
 
