@@ -18,6 +18,7 @@ from wardwatch.operators import quality as Q
 from wardwatch.session import ensure_checkpoint_dir
 from wardwatch.sources import documents as DOC
 from wardwatch.sources import evidence as EV
+from wardwatch.sources import evidence_log as LOG
 from wardwatch.sources import images as IM
 from wardwatch.sources import recordings as REC
 from wardwatch.sources import signals as SIG
@@ -382,6 +383,24 @@ def _write_evidence(spark, sf):
     return spark.read.schema(schema).json(path).select("feature", "run_id", "evidence_id", "source_record_id", "severity")
 
 
+@fam.add(
+    "io_evidence_log",
+    """SELECT CASE WHEN l_returnflag = 'A' THEN 'vitals' ELSE 'video' END AS feature, 'run-' || (l_suppkey % 7) AS run_id, 'e' || l_partkey AS evidence_id,
+    l_orderkey::VARCHAR AS source_record_id, CASE WHEN l_linenumber < 3 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CASE WHEN l_linenumber < 3 THEN 1 WHEN l_linenumber < 5 THEN 2 ELSE 3 END AS commit_no FROM lineitem
+    QUALIFY row_number() OVER (PARTITION BY feature, run_id, evidence_id ORDER BY l_linenumber >= 5 DESC, l_linenumber >= 3 DESC,
+      l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) = 1""",
+)
+def _evidence_log(spark, sf):
+    """All findings in three commits, the first two made one before the third."""
+    path = folder(spark, "evidence-log")
+    n = F.col("seq.l_linenumber")
+    for at, part in enumerate([n < 3, (n >= 3) & (n < 5), n >= 5]):
+        LOG.append_evidence(EV.evidence_rows(findings(spark, sf).filter(part)), path)
+        if at == 1:
+            LOG.compact_evidence(spark, path)
+    return LOG.read_evidence(spark, path).select("feature", "run_id", "evidence_id", "source_record_id", "severity", F.col("commit_no").cast("int").alias("commit_no"))
+
+
 @fam.add("io_write_metrics", stmt(f"SELECT detector, {QQ.PRF.format(z='', e='')} FROM confusion", "confusion"))
 def _write_metrics(spark, sf):
     path = folder(spark, "metrics")

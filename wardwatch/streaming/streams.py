@@ -7,6 +7,7 @@ to be started with any sink. State is kept per record, patient or sequence.
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor
 from wardwatch.operators import fusion as FU
 from wardwatch.operators import prescriptions as RX
 from wardwatch.operators.tracking import Tracker
-from wardwatch.sources.evidence import KEY, write_evidence
+from wardwatch.sources.evidence_log import ORDER, append_evidence, compact_evidence, read_evidence
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -376,24 +377,23 @@ def stream_tracks(boxes: DataFrame, ts: str = "ts", width: float = 60.0, ttl: fl
     return in_order(boxes, "seq_id", ts, ["frame_idx", "box_idx"], "track_id long", fold, width, ttl)
 
 
-def stream_evidence_sink(rows: DataFrame, path: str, checkpoint: str, order: list[str]):
-    """Writer that appends every micro-batch under its own batch number, so a batch
-    run again after a failure replaces what it wrote before. Of the rows of one id in a
-    batch the last in ``order`` is written. Start it to run; read it back with
-    ``read_evidence_sink``."""
-    body = [c for c in rows.columns if c not in KEY]
+def stream_evidence_sink(rows: DataFrame, path: str, checkpoint: str, order: list[str], compact_every: int = 50):
+    """Writer that appends every micro-batch to an evidence log as a commit of its own name,
+    so a batch that runs again after a failure changes nothing. Of the rows of one id in a
+    batch the last in ``order`` counts; ``compact_every`` batches become one. Start it to
+    run; read it back with ``read_evidence_sink``."""
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def save(batch: DataFrame, number: int) -> None:
-        batch = batch.groupBy(*KEY).agg(F.max_by(F.struct(*body), F.struct(*order)).alias("_b")).select(*KEY, "_b.*")
-        write_evidence(batch.withColumn("batch", F.lit(number)), f"{path}/batch={number}", "parquet")
+        append_evidence(batch, path, order, f"{stream}-{number:012d}")
+        if number % compact_every == compact_every - 1:
+            compact_evidence(batch.sparkSession, path, order=order)
 
     return rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
 
 
-def read_evidence_sink(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
+def read_evidence_sink(spark: SparkSession, path: str, order: list[str]) -> DataFrame | None:
     """All evidence written by the sink, one row per id: the last in ``order``, and of
-    equal ones that of the last batch."""
-    rows = spark.read.parquet(f"{path}/batch=*")
-    body = [c for c in rows.columns if c not in (*KEY, "batch")]
-    last = rows.groupBy(*KEY).agg(F.max_by(F.struct(*body), F.struct(*order, "batch")).alias("_b"))
-    return last.select(*KEY, "_b.*")
+    equal ones that of the last batch; None where nothing was written."""
+    found = read_evidence(spark, path, order=order)
+    return None if found is None else found.drop(*ORDER)
