@@ -11,20 +11,22 @@ second file beside it lists (doc_id, start, n_tokens) of its documents.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import ipc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardwatch.llm.shared import discard, open_file, shared_folder, stored, task_file
+from wardwatch.llm.shared import open_file, shared_folder, stored, task_file
 from wardwatch.llm.vocabulary import encoder, id_type
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
+LEAST = -(1 << 63)
 MANIFEST = "part int, name string, n_docs long, n_tokens long, n_rows long"
 
 
@@ -107,60 +109,86 @@ def write_token_files(
     empty table writes nothing.
     """
 
-    folder_of_ids = stored(encoded(docs, vocabulary), "encoded")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dtype = id_type(vocabulary)
 
     def write(batches):
-        part = TaskContext.get().partitionId()
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        name = f"tokens-{part:06d}"
         end = np.array([end_id], dtype)
-        with task_file(folder, f"{name}.arrow") as out, task_file(folder, f"{name}.docs.arrow") as listing:
-            rows = RowWriter(out, dtype, seq_len, batch_rows)
-            index = ipc.new_file(listing, DOCS)
-            n_docs = 0
-            for batch in _chain(first, batches):
-                starts, counts = [], []
-                for body in batch.column(2):
-                    starts.append(rows.n_tokens)
-                    rows.add(np.concatenate([np.frombuffer(body.as_buffer(), dtype), end]))
-                    counts.append(rows.n_tokens - starts[-1])
-                n_docs += batch.num_rows
-                index.write_batch(pa.record_batch([batch.column(0), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
-            rows.close()
-            index.close()
-        yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_tokens": [rows.n_tokens], "n_rows": [rows.n_rows]}
-        )
+        for part, rows_of_part in _parts(batches):
+            name = f"tokens-{part:06d}"
+            with task_file(folder, f"{name}.arrow") as out, task_file(folder, f"{name}.docs.arrow") as listing:
+                rows = RowWriter(out, dtype, seq_len, batch_rows)
+                index = ipc.new_file(listing, DOCS)
+                n_docs = 0
+                for batch in rows_of_part:
+                    starts, counts = [], []
+                    for body in batch.column("ids"):
+                        starts.append(rows.n_tokens)
+                        rows.add(np.concatenate([np.frombuffer(body.as_buffer(), dtype), end]))
+                        counts.append(rows.n_tokens - starts[-1])
+                    n_docs += batch.num_rows
+                    index.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
+                rows.close()
+                index.close()
+            yield pa.RecordBatch.from_pydict(
+                {"part": pa.array([part], pa.int32()), "name": [name], "n_docs": [n_docs], "n_tokens": [rows.n_tokens], "n_rows": [rows.n_rows]}
+            )
+
+    placed = encoded(docs, vocabulary, range_starts(docs, parts))
+    dealt = placed.repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "h")
+    return stored(dealt.mapInArrow(write, MANIFEST), "manifest")
+
+
+def _keys(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def range_starts(docs: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """First (doc_id, text hash) of about ``parts`` even ranges, one row a range; only ids
+    and hashes are shuffled to find them. Null ids come before all others."""
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc()]
-    dealt = folder_of_ids.repartitionByRange(*order).sortWithinPartitions(*order)
-    manifest = stored(dealt.mapInArrow(write, MANIFEST), "manifest")
-    discard(folder_of_ids)
-    return manifest
+    keys = _keys(docs).select("doc_id", "h").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    found = keys.mapInArrow(first, "doc_id long, h long").collect()
+    return sorted((LEAST if d is None else d, h) for d, h in found)
 
 
-def encoded(docs: DataFrame, vocabulary: str, cache: int = 400_000) -> DataFrame:
-    """(doc_id, h, ids): the ids of each text as bytes, with its hash. Encoding first, ids
-    are shuffled instead of texts, and a range sample reads what is already encoded. A task
+def encoded(docs: DataFrame, vocabulary: str, starts: list[tuple[int, int]], cache: int = 400_000) -> DataFrame:
+    """(part, doc_id, h, ids): the ids of each text as bytes, and the range it lies in.
+    Encoding comes before the shuffle, which then moves ids instead of texts. A task
     remembers the ids of up to twice ``cache`` words."""
 
     def rows(batches):
         enc = encoder(vocabulary, cache)
         for batch in batches:
             ids = [enc.packed(t.as_py()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["doc_id", "h", "ids"])
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            part = [max(0, bisect_right(starts, (LEAST if d is None else d, h)) - 1) for d, h in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["part", "doc_id", "h", "ids"])
 
-    text = F.col("text").cast("string")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return given.mapInArrow(rows, "doc_id long, h long, ids binary")
+    return _keys(docs).mapInArrow(rows, "part int, doc_id long, h long, ids binary")
 
 
-def _chain(first, rest):
-    yield first
-    yield from rest
+def _parts(batches) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """(part, its batches) of rows sorted by part; a part's batches are read before the next."""
+
+    def pieces():
+        for batch in batches:
+            part = np.asarray(batch.column("part"))
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    yield int(part[a]), batch.slice(a, b - a)
+
+    for part, group in groupby(pieces(), key=lambda x: x[0]):
+        yield part, (batch for _, batch in group)
 
 
 def read_token_files(manifest: DataFrame, folder: str, batch_rows: int = 256) -> DataFrame:
