@@ -233,3 +233,32 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark):
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     assert [stage(spark, empty, sf).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(docs_of):
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "tuq"]
+    rows = [(1, base[0]), (7, base[0] + " more"), (7, base[1]), (None, base[1] + " more"), (None, base[2]), (None, base[2]), (7, ""), (7, "")]
+    kept = ngram_join.near_duplicates_removed(docs_of(rows).withColumn("_kept", F.lit(1)).withColumn("key", F.lit(2)).withColumn("tag", F.lit(3)))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, base[0]), (7, base[1]), (None, base[2]), (7, ""), (7, "")], key=str)
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = ["_text", "_m", "_lang", "_unit", "_kept", "row", "unit", "tag", "key", "rid"]
+    for name, stage in corpus_pipeline.STAGES:
+        with_more = stage(spark, docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)]), sf)
+        plain = stage(spark, docs, sf)
+        if name != "best_fit_packing":
+            assert with_more.columns == [*docs.columns, *names]
+        assert sorted(r[0] for r in with_more.select("doc_id").collect()) == sorted(r[0] for r in plain.select("doc_id").collect())
+
+
+def test_record_ids_of_two_crawls_differ(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", "x")], "page_id long, url string, html string")
+    ids = set()
+    for _ in range(2):
+        folder = warc.shared_folder(spark, "w")
+        name = warc.write_archives(pages, folder, "2024-01-01T00:00:00Z").first()["file"]
+        ids |= {f["WARC-Record-ID"] for _, _, f, _ in warc.read_records(warc.open_file(folder, name))}
+    assert len(ids) == 2

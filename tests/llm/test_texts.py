@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -241,3 +242,38 @@ def test_keys_joined_to_names_and_prefixes_are_found(docs_of):
     for k in range(7):  # each kind by itself
         assert sum(made[i][1] not in rows[i] for i in range(k, 70, 7)) >= 8, made[k]
     assert sum("<secret>" in rows[1000 + i] for i in range(40)) <= 2
+
+
+def test_very_long_texts_take_linear_time(docs_of):
+    rng = random.Random(3)
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    dump = "\n".join("".join(rng.choices(symbols, k=76)) for _ in range(26_000))  # 2 MB of base64 lines
+    begun = time.monotonic()
+    found = secret_scan.scan(docs_of([(1, dump), (2, "password=hunter2hunter2 " * 80_000)])).toPandas().set_index("doc_id")
+    assert found.loc[2, "n_assign"] == 80_000 and found.loc[1, "spans"].count("random:") > 20_000
+    licences = license_scan.scan(docs_of([(3, "cc by " * 400_000), (4, "licensed undr cc by " * 50_000)])).toPandas().set_index("doc_id")
+    assert licences.loc[3, "n_base"] == 400_000 and licences.loc[3, "last_word"] == 799_998
+    assert licences.loc[4, "n_base"] == 50_000 and len(licences.loc[4, "spans"]) >= 50_000
+    assert time.monotonic() - begun < 240
+
+
+@pytest.mark.parametrize("text", ["licensed undr cc by x ", "mit licens released under the mit licence ", "apache license version 2 "])
+def test_long_stretches_of_notices_lose_no_place(text):
+    scanner = license_scan.default_scanner()
+    line = " " + text * 400
+    for i, (notice, _, errors) in enumerate(scanner.notices):
+        spans = [m.span() for m in scanner._best(i, line, 0, len(line))]
+        covered = np.zeros(len(line) + 1, bool)
+        for a, b in spans:
+            covered[a:b] = True
+        for m in scanner.patterns[i].finditer(line, overlapped=True):
+            assert covered[m.start() : m.end()].any(), (notice, errors, m)
+
+
+def test_nested_candidates_are_swept():
+    rng = random.Random(5)
+    for _ in range(200):
+        more = [{"start": (a := rng.randrange(30)), "end": a + rng.randrange(1, 12), "bin": 0, "stratum": "x"} for _ in range(12)]
+        spans = {(c["start"], c["end"]) for c in more}
+        want = sorted(s for s in spans if not any(o != s and o[0] <= s[0] and o[1] >= s[1] for o in spans))
+        assert sorted(set(secret_scan._accepted(more, {"x": 1}))) == want

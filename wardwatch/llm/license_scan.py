@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -79,9 +80,12 @@ class Scanner:
         for phrase, size, label in self.phrases:
             at = line.find(phrase)
             while at >= 0:
-                found.append((line.count(b" ", 0, at), size, label))
+                found.append((at, size, label))
                 at = line.find(phrase, at + 1)
-        return found
+        if not found:
+            return []
+        first = spaces_before([at for at, _, _ in found], np.frombuffer(line, np.uint8))
+        return [(word, size, label) for word, (_, size, label) in zip(first, found, strict=True)]
 
     def fuzzy(self, line: str) -> list[tuple[int, int, str, int, float]]:
         """(start, end, label, errors, score) of the notices in a line of words; start and
@@ -107,16 +111,29 @@ class Scanner:
         return found
 
     def _best(self, i: int, line: str, a: int, b: int):
-        """The best match of a stretch, then those left and right of it."""
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            if b - a < len(self.notices[i][0]) // 2:
-                continue
-            m = self.patterns[i].search(line, a, min(b, len(line)))
-            if m and m.end() > m.start():
-                yield m
-                todo += [(a, m.start() + 1), (m.end() - 1, b)]
+        """The best match of a stretch, then those left and right of it. A long stretch goes
+        in steps of 64 notices, each read a notice and its errors further, so the work is
+        linear; a step begins no earlier than the last match of the step before ends."""
+        size, errors = len(self.notices[i][0]), self.notices[i][2]
+        b = min(b, len(line))
+        while a < b:
+            after = a + 64 * size
+            todo = [(a, min(b, after + size + errors + 2))]
+            while todo:
+                left, right = todo.pop()
+                if right - left < size // 2:
+                    continue
+                m = self.patterns[i].search(line, left, right)
+                if m and m.end() > m.start():
+                    yield m
+                    after = max(after, m.end() - 1)
+                    todo += [(left, m.start() + 1), (m.end() - 1, right)]
+            a = after
+
+
+def spaces_before(places: list[int], codes: np.ndarray) -> list[int]:
+    """Number of spaces in front of each place of a line given as character codes."""
+    return np.searchsorted(np.flatnonzero(codes == 32), places).tolist()
 
 
 @lru_cache(maxsize=1)
@@ -147,10 +164,14 @@ def scan(docs: DataFrame) -> DataFrame:
                 exact = scanner.exact(line)
                 shown = line.decode("utf-8", "surrogatepass")
                 fuzzy = scanner.fuzzy(shown)
-                spans = []
-                for a, b, label, errors, score in sorted(fuzzy):
-                    first = shown.count(" ", 0, a) - 1
-                    spans.append({"start": first, "end": first + shown.count(" ", a, b) + 1, "label": label, "errors": errors, "score": score})
+                fuzzy.sort()
+                codes = np.frombuffer(shown.encode("utf-32-le", "surrogatepass"), np.uint32) if fuzzy else np.empty(0, np.uint32)
+                firsts = spaces_before([f[0] for f in fuzzy], codes)
+                ends = spaces_before([f[1] for f in fuzzy], codes)
+                spans = [
+                    {"start": first - 1, "end": end, "label": label, "errors": errors, "score": score}
+                    for (_, _, label, errors, score), first, end in zip(fuzzy, firsts, ends, strict=True)
+                ]
                 places = [p for p, _, _ in exact]
                 base = {label for _, _, label in exact}
                 out.append(

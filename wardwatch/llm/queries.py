@@ -122,7 +122,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(_table(spark, sf_dir, "documents")).drop("spans")
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    shown = F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"), s["errors"].cast("string")))
+    return found.withColumn("spans", F.array_join(shown, ","))
 
 
 @query
