@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardwatch.llm.shared import stored
@@ -74,9 +77,11 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> Iterator[tuple[i
     and without all four: names and prefixes joined to a key do not hide it."""
     if b"1" * RUN not in text.encode("utf-8", "surrogatepass").translate(RUN_BYTES):
         return
+    blocked = _united(taken)
+    starts = [x for x, _ in blocked]
     for m in CANDIDATE.finditer(text):
         seen = set()
-        for left, right in _outside(*m.span(), taken):
+        for left, right in _outside(*m.span(), blocked, starts):
             for part in PART.finditer(text, left, right):
                 for cut in STRETCHES:
                     for piece in cut.finditer(text, *part.span()):
@@ -94,13 +99,26 @@ PART = re.compile(r"[^=]+")
 STRETCHES = [re.compile(r) for r in (r"[^=]+", r"[A-Za-z0-9+/]+", r"[A-Za-z0-9_-]+", r"[A-Za-z0-9]+")]
 
 
-def _outside(a: int, b: int, taken: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """What the base spans leave of a run."""
-    for _, x, y in sorted(taken, key=lambda s: s[1]):
-        if x < b and a < y:
-            if a < x:
-                yield a, x
-            a = max(a, y)
+def _united(taken: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The base spans in order, those that overlap or touch as one."""
+    out: list[tuple[int, int]] = []
+    for x, y in sorted((x, y) for _, x, y in taken):
+        if out and x <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], y))
+        else:
+            out.append((x, y))
+    return out
+
+
+def _outside(a: int, b: int, blocked: list[tuple[int, int]], starts: list[int]) -> Iterator[tuple[int, int]]:
+    """What the united base spans leave of a run."""
+    for i in range(max(0, bisect_right(starts, a) - 1), len(blocked)):
+        x, y = blocked[i]
+        if x >= b:
+            break
+        if a < x:
+            yield a, x
+        a = max(a, y)
     if a < b:
         yield a, b
 
@@ -252,36 +270,51 @@ def rejections(found: DataFrame, alpha: float) -> dict[str, int]:
     return rejection_bins(counts, alpha)
 
 
-def with_spans(found: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """``found`` with ``spans``: base spans and the candidates not rejected as ordinary
-    strings, without those inside a longer one. Per stratum, a share of ``alpha`` at most of what is rejected is expected to
-    be random strings."""
-    least = rejections(found, alpha)
-    passed = F.col("candidates")
-    if least:
-        limit = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-        passed = F.filter("candidates", lambda c: c["bin"] < F.element_at(limit, c["stratum"]))
-    added = F.transform(passed, lambda c: F.struct(F.lit("random").alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    added = F.filter(added, lambda c: ~F.exists(added, lambda o: (o["start"] <= c["start"]) & (o["end"] >= c["end"]) & (o["end"] - o["start"] > c["end"] - c["start"])))
-    order = F.transform(F.concat("base", added), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("o"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return found.withColumn("spans", F.transform(F.array_sort(order), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+def _accepted(more: list[dict], least: dict[str, int]) -> list[tuple[int, int]]:
+    """The candidates not rejected as ordinary strings, without those inside a longer one:
+    in order of start, longer ones first, such a one ends no later than one before it."""
+    passed = sorted(((c["start"], c["end"]) for c in more if c["bin"] < least[c["stratum"]]), key=lambda s: (s[0], -s[1]))
+    out: list[tuple[int, int]] = []
+    for a, b in passed:
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
 
 
-def _joined(spans: str) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+def _joined(spans: list[tuple[int, int, str]]) -> str:
+    """kind:start:end by start, then kind as listed, then end."""
+    ordered = sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+    return ",".join(f"{kind}:{a}:{b}" for a, b, kind in ordered)
 
 
 def scan(docs: DataFrame, alpha: float = 0.01) -> DataFrame:
-    """One row per document: counts, the digest of the base spans, and all spans.
+    """One row per document: counts, the digest of the base spans, and all spans: base
+    spans and the candidates that the error control does not reject. Per stratum, a share
+    of ``alpha`` at most of what is *rejected as ordinary* is expected to be random
+    strings; what share of the reported ones is ordinary is not controlled.
 
     Null and empty texts have none. Repeated rows are scanned each, and count each in
-    the error control; other columns are ignored; an empty table gives no row.
+    the error control; other columns are ignored; an empty table gives no row. The work is
+    linear in the length of a text but for the ordering of its spans.
     """
-    marked = with_spans(stored(find(docs), "secrets"), alpha)
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return marked.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
-    )
+    found = stored(find(docs), "secrets")
+    least = rejections(found, alpha)
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for doc_id, base, more in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "base", "candidates")), strict=True):
+                spans = [(s["start"], s["end"], s["kind"]) for s in base]
+                counts = Counter(kind for _, _, kind in spans)
+                digest = hashlib.sha256(_joined(spans).encode()).hexdigest()
+                every = _joined(spans + [(a, b, "random") for a, b in _accepted(more, least)])
+                out.append({"doc_id": doc_id, **{f"n_{k}": counts[k] for k in KINDS[:3]}, "base_sha256": digest, "spans": every})
+            yield pa.RecordBatch.from_pylist(out, _ARROW_SCAN)
+
+    return found.mapInArrow(rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+_ARROW_SCAN = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
 def redacted(docs: DataFrame, alpha: float = 0.01, mark: str = "<secret>") -> DataFrame:
@@ -296,7 +329,7 @@ def redacted(docs: DataFrame, alpha: float = 0.01, mark: str = "<secret>") -> Da
             texts, changed = batch.column("text").to_pylist(), False
             for i, text in enumerate(texts):
                 base, more = _found(text or "")
-                spans = [(s["start"], s["end"]) for s in base] + [(c["start"], c["end"]) for c in more if c["bin"] < least[c["stratum"]]]
+                spans = [(s["start"], s["end"]) for s in base] + _accepted(more, least)
                 if spans:
                     texts[i], changed = _without(text, sorted(spans), mark), True
             if changed:
