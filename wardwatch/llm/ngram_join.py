@@ -36,6 +36,7 @@ from wardwatch.llm.vocabulary import release_memory
 from wardwatch.llm.words import shingle_set
 
 ROWS = "doc_id long, n_shingles long, digest binary, prefix_digest long, prefix array<long>"
+TAG = "tag struct<a:long,b:long>"
 BLOCK_BITS = 16
 
 
@@ -90,8 +91,9 @@ def _pack(cells: np.ndarray) -> bytes:
     return np.minimum(cells, np.iinfo(np.uint32).max).astype(np.uint32).tobytes()
 
 
-def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
-    """One row per text: size and digest of its set, and its prefix in sketch order."""
+def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int, tagged: bool = False) -> DataFrame:
+    """One row per text: size and digest of its set, and its prefix in sketch order; with
+    ``tagged``, the column ``tag`` of ``docs`` too."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(sketch)
     shift = np.uint64(64 - int(math.log2(len(sketch))))
@@ -113,17 +115,17 @@ def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int)
                 first = found[np.argsort(count, kind="stable")[:length]].view(np.int64)
                 out.append((doc_id, n, xxhash.xxh3_128_digest(found.tobytes()), xxhash.xxh3_64_intdigest(first.tobytes()) - (1 << 63), first))
             ids, sizes, digests, prefixes, tokens = zip(*out, strict=True) if out else ((),) * 5
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": pa.array(ids, pa.int64()),
-                    "n_shingles": pa.array(sizes, pa.int64()),
-                    "digest": pa.array(digests, pa.binary()),
-                    "prefix_digest": pa.array(prefixes, pa.int64()),
-                    "prefix": pa.array(tokens, pa.list_(pa.int64())),
-                }
-            )
+            columns = {
+                "doc_id": pa.array(ids, pa.int64()),
+                "n_shingles": pa.array(sizes, pa.int64()),
+                "digest": pa.array(digests, pa.binary()),
+                "prefix_digest": pa.array(prefixes, pa.int64()),
+                "prefix": pa.array(tokens, pa.list_(pa.int64())),
+            }
+            yield pa.RecordBatch.from_pydict(columns | {"tag": batch.column(2)} if tagged else columns)
 
-    return _texts(docs).mapInArrow(rows, ROWS).withColumn("rid", F.monotonically_increasing_id())
+    given, schema = (docs.select("doc_id", "text", "tag"), f"{ROWS}, {TAG}") if tagged else (_texts(docs), ROWS)
+    return given.mapInArrow(rows, schema).withColumn("rid", F.monotonically_increasing_id())
 
 
 def _allowed(na, nb, ja, jb, num: int, den: int):
@@ -251,9 +253,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     and is named by its component's smallest doc_id, null if there is none. Columns but
     doc_id and text are ignored; an empty table gives an empty result.
     """
+    named = _rooted(docs, k, num, den, sketch_bits)
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "root").select("doc_id", "n_shingles", "component_id")
+
+
+def _rooted(docs: DataFrame, k: int, num: int, den: int, sketch_bits: int = 21, tagged: bool = False) -> DataFrame:
+    """(rid, doc_id, n_shingles, root) per row, and ``tag`` if ``tagged``: rows of one root
+    are linked, by chains too."""
     sketch = occurrence_sketch(docs, k, sketch_bits)
-    rows = stored(prefix_rows(docs, sketch, k, num, den), "prefixes")
-    slim = rows.select("rid", "doc_id", "n_shingles", "digest", "prefix_digest")
+    rows = stored(prefix_rows(docs, sketch, k, num, den, tagged), "prefixes")
+    tag = ["tag"] if tagged else []
+    slim = rows.select("rid", "doc_id", "n_shingles", "digest", "prefix_digest", *tag)
     # one member per distinct set, one group per prefix and size
     sets = slim.filter("n_shingles > 0").groupBy("digest", "n_shingles", "prefix_digest").agg(F.min(F.struct("rid", "doc_id")).alias("m"))
     sets = sets.select("digest", "n_shingles", "prefix_digest", "m.rid", "m.doc_id")
@@ -293,18 +304,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     roots = components(first.union(second), "a", "b")
     named = slim.join(members.select("digest", F.col("rid").alias("node")), "digest", "left").join(roots, "node", "left")
-    named = stored(named.select("rid", "doc_id", "n_shingles", F.coalesce("root", "node", "rid").alias("root")), "named")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", "n_shingles", "component_id")
+    return stored(named.select("rid", "doc_id", "n_shingles", F.coalesce("root", "node", "rid").alias("root"), *tag), "named")
 
 
 def near_duplicates_removed(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each group: rows whose component has a smaller
-    doc_id go, and of rows with equal doc_id and text one stays. Rows with a null doc_id,
-    which nothing can name, all stay."""
-    judged = stored(jaccard_components(docs, k, num, den), "judged")
-    drop = stored(judged.filter("doc_id > component_id").select("doc_id").distinct(), "dropped")
-    kept = docs.join(drop, "doc_id", "left_anti").select(docs.columns)
-    again = stored(judged.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    single = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(single.select(docs.columns))
+    """``docs`` with one row of each group of near copies: that with the smallest doc_id
+    (null ones last), of those the one with the smallest text hash, one if it is repeated.
+
+    Rows are told apart by doc_id and text, so a repeated or null doc_id neither keeps a
+    copy nor takes a different text with it. Texts without a set (null, empty, white
+    space) link with nothing and all stay. Extra columns may have any name; of repeated
+    rows that differ in them alone, any one stays. An empty table gives no row."""
+    tagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _text_tag().alias("tag"))
+    judged = _rooted(tagged, k, num, den, tagged=True).filter("n_shingles > 0")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tag")
+    rows = stored(judged.groupBy("root", key.alias("key")).agg(F.count(F.lit(1)).alias("n")), "judged")
+    first = rows.groupBy("root").agg(F.min("key").alias("least"))
+    marked = rows.join(first, "root").select("key", "n", (F.col("key") == F.col("least")).alias("stays"))
+    marked = stored(marked.filter("not stays or n > 1"), "dropped")
+    row = F.struct(*docs.columns).alias("row")
+    keyed = docs.select(row, F.struct(F.col("doc_id").cast("long").isNull().alias("unnamed"), F.col("doc_id").cast("long").alias("doc_id"), _text_tag().alias("tag")).alias("key"))
+    once = keyed.join(marked.filter("stays").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return keyed.join(marked.select("key"), "key", "left_anti").select("row.*").unionByName(once.select("row.*"))
+
+
+def _text_tag():
+    """128 bits of hash of the text."""
+    text = F.col("text").cast("string")
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
