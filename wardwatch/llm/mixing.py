@@ -257,7 +257,9 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: s
 def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float], anchor: str, ridge: float = 1e-3, steps: int = 40, max_rows: int = 3000, seed: int = 11) -> DataFrame:
     """The rows of ``docs`` that the mixture uses, each once: a rate below one is the
     chance to stay, a higher one is not repeated. A second pass rates each row with its
-    columns beside it, so texts are not shuffled; null doc_ids share one chance."""
+    columns beside it, so texts are not shuffled; null doc_ids share one chance. Null and
+    empty texts have the prior's rate; extra columns may have any name; an empty table
+    gives no row."""
     fitted, _ = fit_mixture(docs, labels, weights, anchor, ridge, steps, max_rows, seed)
     shared = docs.sparkSession.sparkContext.broadcast(fitted)  # 2**bits x domains, fixed
     columns = docs.columns
@@ -269,9 +271,9 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, weights: dict[str, float
         for b in batches:
             if not b.num_rows:
                 continue
-            p = np.stack([f.model.posterior(features(t.as_py(), cells)[0]) for t in b.column("_text")])
-            stays = f.rate(p) + np.asarray(b.column("_unit"), float) >= 1
-            yield b.select(columns).filter(pa.array(stays))
+            p = np.stack([f.model.posterior(features(t.as_py(), cells)[0]) for t in b.column("text")])
+            stays = f.rate(p) + np.asarray(b.column("unit"), float) >= 1
+            yield pa.RecordBatch.from_arrays(b.column("row").flatten(), names=columns).filter(pa.array(stays))
 
-    given = docs.select("*", F.col("text").cast("string").alias("_text"), F.coalesce(_unit(seed), F.lit(0.0)).alias("_unit"))
+    given = docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text"), F.coalesce(_unit(seed), F.lit(0.0)).alias("unit"))
     return given.mapInArrow(rows, docs.schema)

@@ -94,8 +94,8 @@ def entropy(ids: np.ndarray) -> float:
 
 
 def measured(docs: DataFrame, byte_bpe: str, fallback: str, carry: bool = False) -> DataFrame:
-    """Counts, fertility and stratum of every row in a column ``_m``, beside doc_id, or
-    with ``carry`` beside all columns of ``docs``.
+    """Counts, fertility and stratum of every row in a column ``_m``, beside ``row``: a
+    struct of doc_id, or with ``carry`` of all columns of ``docs``, whatever their names.
 
     chars_per_token and token_entropy are those of the byte-level vocabulary; byte_share
     is the share of UTF-8 bytes that the byte-fallback vocabulary can write only as byte
@@ -106,14 +106,13 @@ def measured(docs: DataFrame, byte_bpe: str, fallback: str, carry: bool = False)
     def rows(batches):
         enc, known = encoder(byte_bpe), known_characters(fallback)
         for batch in batches:
-            out = [_measures(t.as_py() or "", lang.as_py(), enc, known) for t, lang in zip(batch.column("_text"), batch.column("_lang"), strict=True)]
-            keep = [n for n in batch.schema.names if n not in ("_text", "_lang")]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(out, MEASURED)], names=[*keep, "_m"])
+            out = [_measures(t.as_py() or "", lang.as_py(), enc, known) for t, lang in zip(batch.column("text"), batch.column("lang"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, MEASURED)], names=["row", "_m"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    kept = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    schema = T.StructType([*kept.schema, T.StructField("_m", from_arrow_type(MEASURED))])
-    return docs.select(*kept.columns, F.col("text").cast("string").alias("_text"), lang.alias("_lang")).mapInArrow(rows, schema)
+    kept = F.struct(*docs.columns) if carry else F.struct(F.col("doc_id").cast("long").alias("doc_id"))
+    given = docs.select(kept.alias("row"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    return given.mapInArrow(rows, T.StructType([given.schema["row"], T.StructField("_m", from_arrow_type(MEASURED))]))
 
 
 def _measures(text: str, lang: str | None, enc, known: frozenset[str]) -> dict:
@@ -244,9 +243,12 @@ def judge(docs: DataFrame, byte_bpe: str, fallback: str, widths: dict[str, tuple
     Null and empty texts fail at the base. Repeated rows count each; columns but doc_id,
     text and lang are ignored; an empty table gives no row."""
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged(docs, byte_bpe, fallback, widths).select("doc_id", *[f"_m.{c}" for c in counts], F.col("_kept").alias("kept"), *[f"_m.{m}" for m in WIDTHS])
+    return judged(docs, byte_bpe, fallback, widths).select("row.doc_id", *[f"_m.{c}" for c in counts], F.col("_kept").alias("kept"), *[f"_m.{m}" for m in WIDTHS])
 
 
 def kept_documents(docs: DataFrame, byte_bpe: str, fallback: str) -> DataFrame:
-    """The rows of ``docs`` that are kept, each judged by itself, with all their columns."""
-    return judged(docs, byte_bpe, fallback, carry=True).filter("_kept").select(docs.columns)
+    """The rows of ``docs`` that are kept, each judged by itself, with all their columns.
+
+    Null and empty texts go; repeated rows are judged each; extra columns may have any
+    name; an empty table gives no row."""
+    return judged(docs, byte_bpe, fallback, carry=True).filter("_kept").select("row.*")
