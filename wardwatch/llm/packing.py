@@ -144,9 +144,11 @@ def pack(items: DataFrame, capacity: int, per_partition: int, rounds: int) -> Da
 def pack_documents(
     docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, per_partition: int = 50_000, rounds: int = 3, cache: int = 180_000
 ) -> DataFrame:
-    """Every piece of every document with its sequence and offset.
+    """Every piece of every document with its sequence and offset, and the certificate of
+    the partition it was packed in: ``part_bins`` sequences, ``part_bound`` of which any
+    packing of that partition needs.
 
-    Whole pieces are sequences of their own. A task remembers the ids of up to twice
+    Whole pieces are sequences of their own, one bin with a bound of one. A task remembers the ids of up to twice
     ``cache`` words. Repeated rows are packed each for
     themselves; null ids are kept; an empty table gives no sequence.
     """
@@ -154,10 +156,10 @@ def pack_documents(
         token_pieces(docs, vocabulary, end_id, capacity, cache).withColumn("item", F.monotonically_increasing_id()), "pieces"
     )
     whole = pieces.filter(F.col("length") == capacity).select(
-        "item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset")
+        "item", F.col("item").alias("sequence_id"), *[F.lit(n).cast("long").alias(c) for n, c in ((0, "offset"), (1, "part_bins"), (1, "part_bound"))]
     )
     part = pieces.filter(F.col("length") < capacity).select("item", "length")
-    placed = pack(part, capacity, per_partition, rounds).select("item", "sequence_id", "offset")
+    placed = pack(part, capacity, per_partition, rounds).select("item", "sequence_id", "offset", "part_bins", "part_bound")
     return pieces.join(whole.unionByName(placed), "item").select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound"
     )

@@ -76,6 +76,8 @@ def write_archives(pages: DataFrame, folder: str, date: str, max_bytes: int = 1
     payload. A task writes files of about ``max_bytes`` and returns their names; the rows
     stay where they are."""
 
+    run = uuid.uuid4().hex  # record ids of two crawls never clash; a retried task repeats its own
+
     def write(batches):
         part = TaskContext.get().partitionId()
         rows, n = _rows(batches), 0
@@ -89,7 +91,7 @@ def write_archives(pages: DataFrame, folder: str, date: str, max_bytes: int = 1
                     payload = (html or "").encode("utf-8", "surrogatepass")
                     fields = {
                         "WARC-Type": "response",
-                        "WARC-Record-ID": f"<{uuid.uuid5(NAMESPACE, f'{name}/{place}').urn}>",
+                        "WARC-Record-ID": f"<{uuid.uuid5(NAMESPACE, f'{run}/{name}/{place}').urn}>",
                         "WARC-Date": date,
                         "WARC-Target-URI": _line(url),
                         "WARC-Payload-Digest": f"sha1:{digest(payload)}",
