@@ -17,17 +17,13 @@ KEYSQL = ", ".join(KEY)
 ORD = "ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, dose, l_extendedprice"
 
 
-def month():
-    return F.substring("ts", 1, 7)
-
-
 def catalog(spark: SparkSession) -> DataFrame:
     return literal_table(spark, V.BRIDGE_CATALOG, RX.CATALOG_SCHEMA)
 
 
 def with_prev(spark, sf, any_drug: bool = True) -> DataFrame:
     rx = V.prescriptions(spark, sf)
-    return (RX.previous_any_drug if any_drug else RX.previous_same_drug)(rx, V.RX_ORDER, month())
+    return (RX.previous_any_drug if any_drug else RX.previous_same_drug)(rx, V.RX_ORDER)
 
 
 def evaluated(spark, sf) -> DataFrame:
@@ -225,7 +221,7 @@ def _evaluate(spark, sf):
         .otherwise("normal")
         .alias("anomaly_type")
     )
-    out = RX.rx_evaluate(truth, rx, catalog(spark), V.RX_ORDER, month())
+    out = RX.rx_evaluate(truth, rx, catalog(spark), V.RX_ORDER)
     return out.select("detector", "tp", "fp", "fn", "support", *[F.round(c, 6).alias(c) for c in ["precision", "recall", "f1"]])
 
 

@@ -98,3 +98,24 @@ def test_interval_join_keeps_bounds(table, as_rows):
     spans = table([("a", 0, 5, "x"), ("a", 5, 10, "y"), ("b", 4, 4, "empty")], "key string, s long, e long, name string")
     got = interval_join(points, spans, ["key"], "p", "s", "e", 4, "left")
     assert as_rows(got, "key", "p", "name") == sorted([("a", 0, "x"), ("a", 5, "y"), ("a", 9, "y"), ("a", 10, None), ("b", 3, None)], key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_previous_in_sampled_ranges(table, parts):
+    rows = data() + [(None, i, None, False) for i in range(50)]
+    df = table(rows, SCHEMA)
+    got = {(r.key, r.pos): r.prev and r.prev.pos for r in O.previous_in_ranges(df, ["key"], ["pos"], ["pos"], parts=parts).collect()}
+    want = {}
+    for key in {r[0] for r in rows}:
+        places = sorted(r[1] for r in rows if r[0] == key)
+        want |= {(key, p): q for p, q in zip(places, [None, *places], strict=False)}
+    assert got == want
+    assert O.previous_in_ranges(df.limit(0), ["key"], ["pos"], ["pos"]).count() == 0
+
+
+def test_a_crowded_key_fills_many_ranges(table):
+    rows = [("hot", i, 1, True) for i in range(4000)] + [(f"k{i}", 0, 1, True) for i in range(8000)]
+    placed = O.ranged(table(rows, SCHEMA), ["key", "pos"], 24)
+    sizes = placed.groupBy(O.CHUNK).count().toPandas()["count"]
+    assert sizes.max() < 3 * len(rows) / 24
+    assert placed.filter("key = 'hot'").select(O.CHUNK).distinct().count() >= 6

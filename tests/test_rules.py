@@ -12,7 +12,7 @@ RXROW = "patient_id string, drug string, dose double, unit string, ts string"
 
 def judged(spark, rows):
     df = spark.createDataFrame([(*r, f"2024-01-{i + 1:02d}") for i, r in enumerate(rows)], RXROW)
-    prev = RX.previous_any_drug(df, ["ts"], F.substring("ts", 1, 7))
+    prev = RX.previous_any_drug(df, ["ts"], parts=3)
     out = RX.evaluate_prescriptions(prev, RX.default_catalog(spark)).orderBy("ts")
     return [{x.rule: x.kind for x in r.results} for r in out.collect()]
 

@@ -2,7 +2,7 @@
 
 The catalog is a DataFrame argument; joins to it are plain equi joins that the
 optimizer broadcasts while it is small. The earlier prescription comes from a
-bucketed lag, so a patient with very many rows spreads over its time buckets.
+lag over sampled ranges, so a patient with very many rows spreads over many tasks.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from wardwatch.functions.guards import dbl
 from wardwatch.functions.tables import literal_table
 from wardwatch.functions.text import capitalized, fixed, replace_chars
 from wardwatch.operators.quality import binary_metrics
-from wardwatch.plans.ordered import previous_row
+from wardwatch.plans.ordered import previous_in_ranges
 
 ABRUPT_THRESHOLD = 0.5
 
@@ -84,14 +84,14 @@ def controlled_substances(catalog: DataFrame) -> DataFrame:
     return all_drugs(catalog.filter("is_controlled"))
 
 
-def previous_same_drug(rx: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
+def previous_same_drug(rx: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Adds ``prev(drug, dose, unit)``: the patient's earlier row of this drug."""
-    return previous_row(rx, ["patient_id", "drug"], order, bucket, ["drug", "dose", "unit"])
+    return previous_in_ranges(rx, ["patient_id", "drug"], order, ["drug", "dose", "unit"], parts=parts)
 
 
-def previous_any_drug(rx: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
+def previous_any_drug(rx: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
     """Adds ``prev(drug, dose, unit)``: the patient's earlier row of any drug."""
-    return previous_row(rx, ["patient_id"], order, bucket, ["drug", "dose", "unit"])
+    return previous_in_ranges(rx, ["patient_id"], order, ["drug", "dose", "unit"], parts=parts)
 
 
 def _result(kind: str, *reason: Column | str) -> Column:
@@ -252,7 +252,7 @@ def unreadable_summary(rejects: DataFrame) -> DataFrame:
     )
 
 
-def rx_evaluate(truth: DataFrame, rx: DataFrame, catalog: DataFrame, order: Sequence[str], bucket: Column) -> DataFrame:
+def rx_evaluate(truth: DataFrame, rx: DataFrame, catalog: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rule quality against labelled prescriptions ``(patient_id, drug, ts, anomaly_type)``.
 
     Of several records with one key the last arrival counts, at the place of its
@@ -261,7 +261,7 @@ def rx_evaluate(truth: DataFrame, rx: DataFrame, catalog: DataFrame, order: Sequ
     """
     value = F.struct("dose", "unit")
     arrival = F.struct(*order)
-    placed = previous_same_drug(rx, order, bucket).select(
+    placed = previous_same_drug(rx, order).select(
         "patient_id", "drug", "ts", value.alias("_v"), arrival.alias("_a"), F.struct("prev").alias("_p")
     )
     copies = placed.groupBy("patient_id", "drug", "ts", "_v").agg(

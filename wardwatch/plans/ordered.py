@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardwatch.plans.materialise import written
+
 CHUNK = "_chunk"
 CORE = "_core"
 DEFAULT_CHUNK = 1 << 17
@@ -157,3 +159,32 @@ def previous_row(
         .withColumn(name, F.coalesce(F.lag("_self").over(here), F.col("_tail")))
         .select(*df.columns, name)
     )
+
+
+def ranged(df: DataFrame, order: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_chunk``, the number of a range of ``order``: Spark samples the range
+    bounds, so ranges hold about as many rows each, wherever keys or times are crowded. Written
+    once, as a second sample could give other bounds. Ties share a range."""
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return written(dealt.withColumn(CHUNK, F.spark_partition_id()))
+
+
+def previous_in_ranges(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], name: str = "prev", parts: int | None = None
+) -> DataFrame:
+    """Struct ``name`` of ``fields`` of the row before this one in its key, as
+    ``previous_row`` gives it, without a bucket to choose: rows are cut into sampled ranges
+    of (keys, order), and only the first row of a range looks at the range before it.
+
+    NULL on the first row of a key; NULL keys are a key of their own; of rows with equal
+    keys and order any one is the earlier.
+    """
+    ordered = [*keys, *order]
+    rows = ranged(df, ordered, parts).withColumns({"_key": F.struct(*keys), "_self": F.struct(*fields)})
+    ends = rows.groupBy(CHUNK).agg(F.max_by(F.struct("_key", "_self"), F.struct(*ordered)).alias("_end"))  # a row for each range
+    ends = ends.select(CHUNK, F.lag("_end").over(Window.orderBy(CHUNK)).alias("_end"))
+    here = Window.partitionBy(CHUNK).orderBy(*ordered)
+    before = F.coalesce(F.lag(F.struct("_key", "_self")).over(here), F.col("_end"))
+    return rows.join(ends, CHUNK).withColumn("_before", before).select(
+        *df.columns, F.when(F.col("_before._key").eqNullSafe(F.col("_key")), F.col("_before._self")).alias(name)
+    )
