@@ -85,14 +85,23 @@ def test_exact_quantile(table):
     values = {"hot": rng.normal(0.5, 0.1, 500).round(3), "flat": np.full(40, 0.25), "one": np.array([0.9])}
     df = table([(k, float(v)) for k, a in values.items() for v in a], "key string, x double")
     for q in [0.0, 0.1, 0.9, 1.0]:
-        got = {r.key: r.quantile for r in exact_quantile(df, ["key"], "x", q, 0.0, 1.0, bins=16).collect()}
+        got = {r.key: r.quantile for r in exact_quantile(df, ["key"], "x", q, parts=5).collect()}
         for k, a in values.items():
             assert got[k] == pytest.approx(np.quantile(a, q), abs=1e-12)
-    nth = {r.key: r.quantile for r in exact_quantile(df, ["key"], "x", 0.9, 0.0, 1.0, bins=16, nth=True).collect()}
+    nth = {r.key: r.quantile for r in exact_quantile(df, ["key"], "x", 0.9, nth=True, parts=5).collect()}
     for k, a in values.items():
         assert nth[k] == sorted(a)[int(0.9 * len(a))]
 
 
+def test_quantile_of_bunched_values_is_spread(table):
+    bunched = [0.5 + i * 1e-12 for i in range(3000)]  # one bin of any equal cut
+    df = table([("a", x) for x in bunched] + [("b", float(i)) for i in range(1000)], "key string, x double")
+    got = {r.key: r.quantile for r in exact_quantile(df, ["key"], "x", 0.25, parts=16).collect()}
+    assert got["a"] == pytest.approx(np.quantile(bunched, 0.25), abs=1e-15) and got["b"] == pytest.approx(249.75)
+    sizes = O.ranged(df, ["key", "x"], 16).groupBy(O.CHUNK).count().toPandas()["count"]
+    assert sizes.max() < 3 * 4000 / 16
+
+
 def test_interval_join_keeps_bounds(table, as_rows):
     points = table([("a", 0), ("a", 5), ("a", 9), ("a", 10), ("b", 3)], "key string, p long")
     spans = table([("a", 0, 5, "x"), ("a", 5, 10, "y"), ("b", 4, 4, "empty")], "key string, s long, e long, name string")

@@ -166,7 +166,7 @@ def isolation_forest(
     schema = ", ".join([*[f"`{c}` {types[c]}" for c in names], "score double"])
     scored = own.groupBy(*KEYS, "_part").cogroup(forests.groupBy(*KEYS, "_part")).applyInPandas(score_part, schema)
     scored = written(scored)
-    limit = exact_quantile(scored, KEYS, "score", 1.0 - contamination, 0.0, 1.0)
+    limit = exact_quantile(scored, KEYS, "score", 1.0 - contamination)
     scored = scored.join(limit, list(KEYS)).select(*names, "score", gt_num(F.col("score"), F.col("quantile")).alias("flag"))
     rest = known.filter(~trained).select(
         *names, F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("flag")

@@ -758,7 +758,7 @@ def track_diagnostics(
         motion.filter(v.isNotNull()).select(*TRACK, "frame_idx", "v"), TRACK, ["frame_idx"], F.floor(f / chunk).cast("long"), "_i"
     )
     streak = runs(listed, TRACK, "_i", F.col("v") > dbl(lim.streak_floor), chunk).groupBy(*TRACK).agg(F.max("run_len").alias("streak"))
-    p90 = nth_smallest(motion.select(*TRACK, "tilt"), TRACK, "tilt", 0.9, 0.0, 180.0)
+    p90 = nth_smallest(motion.select(*TRACK, "tilt"), TRACK, "tilt", 0.9)
     out = base.filter(F.col("n_valid") >= 3).join(extra, list(TRACK)).join(streak, list(TRACK), "left").join(p90, list(TRACK), "left")
     return out.select(
         *TRACK,
@@ -779,9 +779,9 @@ def track_diagnostics(
     )
 
 
-def nth_smallest(df: DataFrame, keys: Sequence[str], value: str, share: float, low: float, high: float) -> DataFrame:
+def nth_smallest(df: DataFrame, keys: Sequence[str], value: str, share: float) -> DataFrame:
     """Element ``int(share * n)`` of the sorted values of each key, as ``nth``."""
-    return exact_quantile(df, keys, value, share, low, high, nth=True).withColumnRenamed("quantile", "nth")
+    return exact_quantile(df, keys, value, share, nth=True).withColumnRenamed("quantile", "nth")
 
 
 # Smallest person box in pixels and as a share of the frame.
